@@ -71,6 +71,6 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = daily.groupBy("run").agg(F.min("day").alias("_d0"))
     return daily.join(first, "run").select(
         "run",
-        F.datediff("day", "_d0").alias("epoch"),
+        F.datediff("day", "_d0").cast("long").alias("epoch"),
         "train_loss", "valid_loss", "start_ts", "end_ts",
     )
