@@ -30,6 +30,7 @@ from tandem.session import bounded_broadcast, cut_lineage
 
 T_BROADCAST_ROWS = 2_000_000     # translation-table rows that may be broadcast
 P_FLOOR = 1e-10                  # fixed value: probability floor in the loss
+PRODUCT_ROWS_PER_TASK = 2_000_000  # joined rows per task in lexicon composition
 
 
 def _counted(a):
@@ -63,15 +64,21 @@ def em_round(cells: DataFrame, t: DataFrame | None, key: Sequence[str] = ("regio
     """One E + M step. ``t is None`` means the constant start table."""
     key = list(key)
     if t is None:
-        w = cells.withColumn("tp", F.lit(1.0))
+        # constant start table: the normaliser Σ_e ce·t is the source length l
+        w = cells
+        frac = F.col("cf") * F.col("ce") / F.col("l")
     else:
         tb, _ = bounded_broadcast(t.select(*key, "e", "f", F.col("p").alias("tp")), broadcast_rows)
         w = cells.join(tb, key + ["e", "f"], "left").withColumn("tp", F.coalesce("tp", F.lit(0.0)))
-    denom = F.sum(F.col("ce") * F.col("tp")).over(Window.partitionBy(*key, sid, "f"))
-    frac = F.when(denom > 0, F.col("cf") * F.col("ce") * F.col("tp") / denom).otherwise(F.lit(0.0))
+        denom = F.sum(F.col("ce") * F.col("tp")).over(Window.partitionBy(*key, sid, "f"))
+        frac = F.when(denom > 0, F.col("cf") * F.col("ce") * F.col("tp") / denom).otherwise(F.lit(0.0))
+    # partial + final sum on (e, f): a hot source word (the empty word above
+    # all) is spread over its targets; the per-e normaliser is then a window
+    # over the aggregated table, whose rows per e are bounded by the target
+    # vocabulary
     counts = w.select(*key, "e", "f", frac.alias("c")).groupBy(*key, "e", "f").agg(F.sum("c").alias("c"))
-    totals = counts.groupBy(*key, "e").agg(F.sum("c").alias("z"))
-    return counts.join(totals, key + ["e"]).select(*key, "e", "f", (F.col("c") / F.col("z")).alias("p"))
+    z = F.sum("c").over(Window.partitionBy(*key, "e"))
+    return counts.select(*key, "e", "f", (F.col("c") / z).alias("p"))
 
 
 def learn_lexicon(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: float = 0.0,
@@ -178,19 +185,45 @@ def pivot_translate(df: DataFrame, tokens, lex1: DataFrame, lex2: DataFrame, key
 
 
 def compose_lexicons(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",),
-                     min_p: float = 0.0) -> DataFrame:
+                     min_p: float = 0.0, broadcast_rows: int = T_BROADCAST_ROWS) -> DataFrame:
     """``p(d2 | d1) = Σ_s p(s | d1) · p(d2 | s)`` (triangulation through the
     pivot language): a sparse matrix product, join on ``s`` + aggregate.
-    ``min_p`` (default 0: exact) prunes both inputs first."""
+
+    ``lex1`` is hash-partitioned by ``(key, d1)`` and ``lex2`` broadcast when its
+    size check passes, so the join output stays partitioned by ``(key, d1)``
+    and the sum per ``(key, d1, d2)`` needs no shuffle of the (large) product.
+    Beyond the bound the join shuffles on ``(key, s)``. ``min_p`` (default 0:
+    exact) prunes both inputs first.
+    """
     key = list(key)
     a = lex1.filter(F.col("p") >= min_p) if min_p > 0 else lex1
     b = lex2.filter(F.col("p") >= min_p) if min_p > 0 else lex2
     a = a.select(*key, F.col("e").alias("d1"), F.col("f").alias("s"), F.col("p").alias("p1"))
     b = b.select(*key, F.col("e").alias("s"), F.col("f").alias("d2"), F.col("p").alias("p2"))
-    return a.join(b, key + ["s"]).groupBy(*key, F.col("d1").alias("e"), F.col("d2").alias("f")).agg(
+    bb, is_b = bounded_broadcast(b, broadcast_rows)
+    if is_b:
+        # size the (key, d1) partitioning from the exact product size, computed
+        # from per-pivot entry counts (two small aggregates), so every task's
+        # hash table of (d1, d2) sums stays in memory
+        na = a.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("na"))
+        nb = b.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("nb"))
+        cells = na.join(nb, key + ["s"]).agg(F.sum(F.col("na") * F.col("nb")).alias("n")).first()["n"] or 0
+        base = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a = a.repartition(max(base, -(-int(cells) // PRODUCT_ROWS_PER_TASK)), *key, "d1")
+    return a.join(bb, key + ["s"]).groupBy(*key, F.col("d1").alias("e"), F.col("d2").alias("f")).agg(
         F.sum(F.col("p1") * F.col("p2")).alias("p"))
 
 
+def best_composed(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",), digits: int = 6,
+                  **kw) -> DataFrame:
+    """Arg-max ``d2`` of every ``d1`` under the full composed distribution,
+    with its probability (rounded to ``digits``; ties by token)."""
+    key = list(key)
+    c = compose_lexicons(lex1, lex2, key, **kw)
+    b = c.groupBy(*key, "e").agg(F.min(F.struct((-F.round("p", digits)).alias("n"), F.col("f").alias("f"))).alias("b"))
+    return b.select(*key, "e", F.col("b.f").alias("f"), (-F.col("b.n")).alias("p"))
+
+
 def zip_pairs(a: DataFrame, b: DataFrame, order_a: str = "sid", order_b: str = "sid") -> DataFrame:
     """Positional pairing of two tables (stops at the shorter): equi-join on
     their dense indexes. Columns of ``b`` that clash get a ``b_`` prefix."""

@@ -434,10 +434,8 @@ def q_pivot_translate(spark, sf):
 def q_compose_lexicons(spark, sf):
     lex1 = I.lexicon(spark, sf, src="dialect", trg="standard")
     lex2 = I.lexicon(spark, sf, src="standard", trg="dialect2")
-    c = L.compose_lexicons(lex1, lex2)
-    # report the arg-max target of every source token under the full composed distribution
-    b = c.groupBy("region", "e").agg(F.min(F.struct((-F.round("p", 6)).alias("n"), F.col("f").alias("f"))).alias("b"))
-    return b.select("region", "e", F.col("b.f").alias("f"), (-F.col("b.n")).alias("p"))
+    # the arg-max target of every source token under the full composed distribution
+    return L.best_composed(lex1, lex2)
 
 
 # ---------------------------------------------------------------- evaluation

@@ -58,10 +58,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tandem-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (keeps output partitioning)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back: the plan below it is cut, and a lost executor re-reads
+    the table instead of recomputing the lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
@@ -77,4 +80,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True
-    return df, False
+    # too large to ship to every executor: keep the planner from broadcasting
+    # it on a (possibly stale) size estimate
+    return df.hint("shuffle_hash"), False
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Hash-repartition a scan that yields fewer partitions than the cluster
+    can run at once (e.g. one large row group); a no-op for wide inputs."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, *cols)
+    return df

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tandem.session import spread
+
 # Line stride of sids, and the two dialect rewrite chains.
 LINE_STRIDE = 100_000
 DIALECT_RULES = [("th", "d"), ("qu", "k"), ("sch", "sh")]
@@ -32,7 +34,7 @@ def rewrite(c, rules):
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     lines = docs.select(
         "doc_id", "lang", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line")
     )
