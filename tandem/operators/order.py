@@ -24,6 +24,7 @@ from tandem.functions.common import as_col
 
 DEFAULT_WIDTH = 1 << 22     # sids per bucket when the order key is numeric
 SUPER = 4096                # buckets per super-bucket in the prefix sum
+SUPER_PREFIX = 48           # characters of a string bucket forming its super-bucket
 
 
 def sid_bucket(c, width: int = DEFAULT_WIDTH) -> Column:
@@ -64,8 +65,13 @@ def dense_index(
     )
     keys = pnames + bnames
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # level 2: super-buckets (last bucket column divided by SUPER)
-    sup = F.floor(F.col(bnames[-1]) / F.lit(SUPER)).cast("long")
+    # level 2: super-buckets: the last bucket column divided by SUPER, or for
+    # a string bucket (a path, a token) a fixed-length prefix, which keeps order
+    from pyspark.sql.types import NumericType
+    if isinstance(keyed.schema[bnames[-1]].dataType, NumericType):
+        sup = F.floor(F.col(bnames[-1]) / F.lit(SUPER)).cast("long")
+    else:
+        sup = F.substring(F.col(bnames[-1]).cast("string"), 1, SUPER_PREFIX)
     counts = counts.withColumn("_s", sup)
     sup_keys = pnames + bnames[:-1] + ["_s"]
     sup_tot = counts.groupBy(*sup_keys).agg(F.sum("_n").alias("_sn"))
