@@ -1,19 +1,17 @@
 import json
 import os
 
-from tandem.operators.clean import clean_pairs
+from tandem.streaming.cleaning import start_cleaning
 
 
 def test_clean_pairs_on_a_stream(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)
-    rows = [{"sid": 1, "standard": "나는  학교에   간다!", "dialect": "나넌 핵교에 간다."},
-            {"sid": 2, "standard": "안녕하세", "dialect": "안녕"}]
+    rows = [{"sid": 1, "region": "gw", "standard": "나는  학교에   간다!", "dialect": "나넌 핵교에 간다."},
+            {"sid": 2, "region": "gw", "standard": "안녕하세", "dialect": "안녕"}]
     with open(os.path.join(src, "part-0.json"), "w", encoding="utf-8") as fh:
         fh.write("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
-    stream = spark.readStream.schema("sid long, standard string, dialect string").json(src)
-    q = (clean_pairs(stream).writeStream.format("memory").queryName("cleaned_stream")
-         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt")).trigger(availableNow=True).start())
+    q = start_cleaning(spark, src, "cleaned_stream", os.path.join(tmp_dir, "ckpt"), sink_format="memory")
     q.awaitTermination(120)
     out = spark.sql("SELECT sid, standard FROM cleaned_stream").collect()
     assert [(r.sid, r.standard) for r in out] == [(1, "나는 학교에  간다")]
