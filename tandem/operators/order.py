@@ -4,10 +4,10 @@ The reference gives meaning to row position (split points, first-seen ids, log
 ids). A global ``row_number()`` would pull every row into one task, so the
 index is computed in two passes over coarse buckets of the order key:
 
-1. count rows per bucket (partial + final aggregate: a small table),
-2. prefix-sum the bucket counts (two levels, so even the bucket table is never
-   ordered in one task when it is large),
-3. ``row_number`` *within* a bucket plus the bucket's offset.
+1. ``row_number`` *within* each bucket (one shuffle of the data by bucket),
+2. bucket sizes from those ranks (no further shuffle: a small table),
+3. prefix-sum the bucket sizes (two levels, so even the bucket table is never
+   ordered in one task when it is large) and add each bucket's offset.
 
 Buckets are bounded by construction (``floor(sid / width)`` holds at most
 ``width`` distinct sids), so no task ever sorts more than one bucket.
@@ -64,7 +64,11 @@ def dense_index(
         "*", *[c.alias(n) for c, n in zip(part, pnames)], *[c.alias(n) for c, n in zip(bcols, bnames)]
     )
     keys = pnames + bnames
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # rank inside buckets first; the bucket sizes come from the ranked rows
+    # (already partitioned by bucket), so the input is scanned and shuffled once
+    w_row = Window.partitionBy(*keys).orderBy(*order_cols)
+    ranked = keyed.withColumn("_r", F.row_number().over(w_row))
+    counts = ranked.groupBy(*keys).agg(F.max("_r").cast("long").alias("_n"))
     # level 2: super-buckets: the last bucket column divided by SUPER, or for
     # a string bucket (a path, a token) a fixed-length prefix, which keeps order
     from pyspark.sql.types import NumericType
@@ -89,8 +93,6 @@ def dense_index(
     offs = offs.join(sup_tot.drop("_sn"), sup_keys).select(
         *keys, (F.col("_off") + F.col("_soff")).alias("_base"), *([total] if total else [])
     )
-    w_row = Window.partitionBy(*keys).orderBy(*order_cols)
-    ranked = keyed.withColumn("_r", F.row_number().over(w_row))
     out = ranked.join(offs, keys).withColumn(
         name, (F.col("_base") + F.col("_r") - 1 + F.lit(start)).cast("long")
     )

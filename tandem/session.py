@@ -88,7 +88,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 def spread(df: DataFrame, *cols) -> DataFrame:
     """Hash-repartition a scan that yields fewer partitions than the cluster
     can run at once (e.g. one large row group); a no-op for wide inputs."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *cols)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave it to AQE
+        return df
+    return df.repartition(target, *cols) if narrow else df
