@@ -88,16 +88,38 @@ def learn_lexicon(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: fl
 
     ``min_p`` (default 0: exact) drops entries below it after every round.
     """
-    cells = cut_lineage(cooccurrence(pairs, src, trg, key, sid, null))
+    key = list(key)
+    s = F.concat(F.array(F.lit(NULL_TOKEN)), as_col(src)) if null else as_col(src)
+    pairs = pairs.select(*key, sid, s.alias("_s"), as_col(trg).alias("_t"))
+    codes = _token_codes(pairs, key)
+    if codes is not None:
+        # run the rounds on 64-bit codes: narrower shuffles and cheaper hashing
+        code = lambda a: F.transform(a, lambda x: F.xxhash64(x))
+        pairs = pairs.select(*key, sid, code(F.col("_s")).alias("_s"), code(F.col("_t")).alias("_t"))
+    cells = cut_lineage(cooccurrence(pairs, "_s", "_t", key, sid, null=False))
     t = None
     for _ in range(iters):
         t = em_round(cells, t, key, sid, broadcast_rows)
         if min_p > 0:
             t = t.filter(F.col("p") >= min_p)
         t = cut_lineage(t)
+    if codes is not None:
+        cb, _ = bounded_broadcast(codes, broadcast_rows)
+        t = t.join(cb.select(*key, F.col("code").alias("e"), F.col("token").alias("_e")), key + ["e"]) \
+             .join(cb.select(*key, F.col("code").alias("f"), F.col("token").alias("_f")), key + ["f"]) \
+             .select(*key, F.col("_e").alias("e"), F.col("_f").alias("f"), "p")
     return t
 
 
+def _token_codes(pairs: DataFrame, key: list[str]) -> DataFrame | None:
+    """``(key.., token, code)`` with ``code = xxhash64(token)``, materialised,
+    or None when two tokens of one key share a code (then strings are used)."""
+    toks = pairs.select(*key, F.explode(F.concat("_s", "_t")).alias("token")).distinct()
+    codes = cut_lineage(toks.withColumn("code", F.xxhash64("token")), "em-codes")
+    clash = codes.groupBy(*key, "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).count()
+    return None if clash else codes
+
+
 def sentence_nll(pairs: DataFrame, t: DataFrame, src="src_tokens", trg="trg_tokens",
                  key: Sequence[str] = ("region",), sid: str = "sid", null: bool = True,
                  broadcast_rows: int = T_BROADCAST_ROWS) -> DataFrame:
