@@ -26,7 +26,7 @@ from tandem.operators import order as O
 from tandem.operators import tokens as K
 from tandem.operators import vocab as W
 from tandem.plans import inputs as I
-from tandem.session import scratch_path
+from tandem.session import cut_lineage, scratch_path
 from tandem.sources import io
 from tandem.sources.testdata import conv_pairs, epoch_log, read_table
 
@@ -213,7 +213,8 @@ def q_cohesion_scores(spark, sf):
 
 
 def q_tokenize_lr(spark, sf):
-    cw = _clean_words(spark, sf)
+    # the cleaned words feed three branches (scores, splits, occurrences): materialise once
+    cw = cut_lineage(_clean_words(spark, sf), "clean-words")
     sc = K.cohesion_scores(cw, "w")
     t = K.tokenize_lr(cw, "w", sc)
     return t.select("sid", F.array_join("lr_tokens", " ").alias("toks"))
