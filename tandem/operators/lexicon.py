@@ -31,6 +31,7 @@ from tandem.session import bounded_broadcast, cut_lineage
 T_BROADCAST_ROWS = 2_000_000     # translation-table rows that may be broadcast
 P_FLOOR = 1e-10                  # fixed value: probability floor in the loss
 PRODUCT_ROWS_PER_TASK = 2_000_000  # joined rows per task in lexicon composition
+SALT = 32                          # tasks a hot source word of a composition is split over
 
 
 def _counted(a):
@@ -213,9 +214,13 @@ def compose_lexicons(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("re
 
     ``lex1`` is hash-partitioned by ``(key, d1)`` and ``lex2`` broadcast when its
     size check passes, so the join output stays partitioned by ``(key, d1)``
-    and the sum per ``(key, d1, d2)`` needs no shuffle of the (large) product.
-    Beyond the bound the join shuffles on ``(key, s)``. ``min_p`` (default 0:
-    exact) prunes both inputs first.
+    and the sum per ``(key, d1, d2)`` needs no shuffle of the product. A hot
+    ``d1`` (the empty word pairs with every pivot word) is split over
+    ``SALT`` tasks by a hash of ``s``; only its partial sums are shuffled and
+    added up again. The partition count and the hot set come from the exact
+    product sizes, computed from per-pivot entry counts (small aggregates).
+    Beyond the broadcast bound the join shuffles on ``(key, s)``. ``min_p``
+    (default 0: exact) prunes both inputs first.
     """
     key = list(key)
     a = lex1.filter(F.col("p") >= min_p) if min_p > 0 else lex1
@@ -223,17 +228,24 @@ def compose_lexicons(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("re
     a = a.select(*key, F.col("e").alias("d1"), F.col("f").alias("s"), F.col("p").alias("p1"))
     b = b.select(*key, F.col("e").alias("s"), F.col("f").alias("d2"), F.col("p").alias("p2"))
     bb, is_b = bounded_broadcast(b, broadcast_rows)
-    if is_b:
-        # size the (key, d1) partitioning from the exact product size, computed
-        # from per-pivot entry counts (two small aggregates), so every task's
-        # hash table of (d1, d2) sums stays in memory
-        na = a.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("na"))
-        nb = b.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("nb"))
-        cells = na.join(nb, key + ["s"]).agg(F.sum(F.col("na") * F.col("nb")).alias("n")).first()["n"] or 0
-        base = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a = a.repartition(max(base, -(-int(cells) // PRODUCT_ROWS_PER_TASK)), *key, "d1")
-    return a.join(bb, key + ["s"]).groupBy(*key, F.col("d1").alias("e"), F.col("d2").alias("f")).agg(
+    if not is_b:
+        return a.join(bb, key + ["s"]).groupBy(*key, F.col("d1").alias("e"), F.col("d2").alias("f")).agg(
+            F.sum(F.col("p1") * F.col("p2")).alias("p"))
+    nb = b.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("nb"))
+    per_d1 = cut_lineage(a.join(nb, key + ["s"]).groupBy(*key, "d1").agg(F.sum("nb").alias("cells")), "compose-sizes")
+    total = per_d1.agg(F.sum("cells")).first()[0] or 0
+    base = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(base, -(-int(total) // PRODUCT_ROWS_PER_TASK))
+    hot, _ = bounded_broadcast(per_d1.filter(F.col("cells") > PRODUCT_ROWS_PER_TASK)
+                               .select(*key, "d1", F.lit(True).alias("_hot")), broadcast_rows)
+    a = a.join(hot, key + ["d1"], "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("s"), F.lit(SALT))).otherwise(F.lit(0)))
+    a = a.repartition(parts, *key, "d1", "_salt")
+    part = a.join(bb, key + ["s"]).groupBy(*key, "d1", "_salt", "_hot", "d2").agg(
         F.sum(F.col("p1") * F.col("p2")).alias("p"))
+    cold = part.filter(F.col("_hot").isNull()).select(*key, "d1", "d2", "p")
+    warm = part.filter(F.col("_hot")).groupBy(*key, "d1", "d2").agg(F.sum("p").alias("p"))
+    return cold.unionByName(warm).select(*key, F.col("d1").alias("e"), F.col("d2").alias("f"), "p")
 
 
 def best_composed(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",), digits: int = 6,
@@ -275,13 +287,15 @@ def pivot_pairs(p1: DataFrame, p2: DataFrame, on: str = "standard", order: str =
 def copy_generate_mix(gen: DataFrame, copies: DataFrame, key: str = "sid", eps: float = P_FLOOR) -> DataFrame:
     """One softmax over generate scores and (position-summed) copy scores;
     p(token) = generate part + copy part; returns the top token per key with
-    ``ln(p + eps)`` (ties by token)."""
+    ``ln(p + eps)`` (ties by token). The softmax maximum and normaliser are
+    partial + final aggregates joined back, so a large key is never one task."""
     c = copies.groupBy(key, "token").agg(F.sum("score").alias("score"))
     allsc = gen.select(key, "token", "score").unionByName(c)
-    w = Window.partitionBy(key)
-    e = allsc.withColumn("_x", F.exp(F.col("score") - F.max("score").over(w)))
-    e = e.withColumn("prob", F.col("_x") / F.sum("_x").over(w))
-    per = e.groupBy(key, "token").agg(F.log(F.sum("prob") + F.lit(eps)).alias("logp"))
+    mx = allsc.groupBy(key).agg(F.max("score").alias("_m"))
+    e = allsc.join(mx, key).withColumn("_x", F.exp(F.col("score") - F.col("_m")))
+    z = e.groupBy(key).agg(F.sum("_x").alias("_z"))
+    per = e.join(z, key).groupBy(key, "token").agg(
+        F.log(F.sum(F.col("_x") / F.col("_z")) + F.lit(eps)).alias("logp"))
     best = per.groupBy(key).agg(F.min(F.struct((-F.round("logp", 6)).alias("n"), F.col("token").alias("t"),
                                               F.col("logp").alias("lp"))).alias("_b"))
     return best.select(key, F.col("_b.t").alias("token"), F.col("_b.lp").alias("logp"))
@@ -293,9 +307,9 @@ def selective_read(copies: DataFrame, vectors: DataFrame, chosen: DataFrame, key
     token at that position, L1-normalised (floor ``floor``), zero elsewhere.
     ``vectors(key, pos, vec)`` → ``(key, dim, value)``."""
     sel = copies.join(chosen.select(key, "token"), [key, "token"])
-    norm = F.greatest(F.sum(F.abs("score")).over(Window.partitionBy(key)), F.lit(floor))
-    wts = sel.select(key, "pos", (F.col("score") / norm).alias("w")).groupBy(key, "pos").agg(
-        F.sum("w").alias("w"))
+    norm = sel.groupBy(key).agg(F.greatest(F.sum(F.abs("score")), F.lit(floor)).alias("_z"))
+    wts = sel.join(norm, key).select(key, "pos", (F.col("score") / F.col("_z")).alias("w")) \
+        .groupBy(key, "pos").agg(F.sum("w").alias("w"))
     vx = vectors.select(key, "pos", F.posexplode("vec").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
     j = vx.join(wts, [key, "pos"], "left")
     return j.groupBy(key, "dim").agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("x")).alias("value"))

@@ -48,14 +48,17 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = read_table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = conv.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"),
-    )
-    return nxt.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
+    """A user turn and the assistant turn right after it. Turn order inside a
+    conversation is a bucketed dense index, and the next turn is found by an
+    equi-join on (conversation, position + 1): unique keys, no hot group."""
+    from tandem.operators.order import dense_index, sid_bucket
+
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ix = dense_index(conv, ["turn"], bucket=sid_bucket("turn"), partition_by=["conv_id"], name="k")
+    nxt = ix.select("conv_id", (F.col("k") - 1).alias("k"), F.col("role").alias("next_role"),
+                    F.col("text").alias("next_text"))
+    j = ix.join(nxt, ["conv_id", "k"])
+    return j.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
         (F.col("conv_id") * TURN_STRIDE + F.col("turn")).alias("sid"),
         F.col("text").alias("standard"),
         F.col("next_text").alias("dialect"),
