@@ -15,8 +15,11 @@ def oov_to_unk(a, n: int, unk: int = UNK_ID, inclusive: bool = False) -> Column:
     )
 
 
-def one_hot(a, n) -> Column:
-    """Dense indicator vectors: each id becomes an array of ``n`` 0/1 ints."""
+def one_hot(a, n=None) -> Column:
+    """Dense indicator vectors: each id becomes an array of ``n`` 0/1 ints
+    (default ``n``: the largest id of the array plus one)."""
+    if n is None:
+        n = F.array_max(as_col(a)) + 1
     n = F.lit(n) if isinstance(n, int) else as_col(n)
     return F.transform(
         as_col(a),

@@ -136,10 +136,26 @@ def sentence_nll(pairs: DataFrame, t: DataFrame, src="src_tokens", trg="trg_toke
     return per_f.groupBy(*key, sid).agg((F.sum(loss) / F.sum("cf")).alias("nll"))
 
 
-def nll(pairs: DataFrame, t: DataFrame, key: Sequence[str] = ("region",), **kw) -> DataFrame:
-    """Mean over sentences of the sentence loss, with its perplexity."""
-    s = sentence_nll(pairs, t, key=key, **kw)
-    return s.groupBy(*key).agg(F.avg("nll").alias("loss")).withColumn("ppl", F.exp("loss"))
+def nll(pairs: DataFrame, t: DataFrame, key: Sequence[str] = ("region",), by: str = "sentence",
+        batch: str = "batch", sid: str = "sid", **kw) -> DataFrame:
+    """Loss with its perplexity.
+
+    ``by="sentence"``: mean over sentences of the sentence loss (batches of one
+    pair). ``by="batch"``: per batch (column ``batch`` of ``pairs``), the mean
+    over all its target tokens, then the mean over batches.
+    """
+    key = list(key)
+    s = sentence_nll(pairs, t, key=key, sid=sid, **kw)
+    if by == "sentence":
+        out = s.groupBy(*key).agg(F.avg("nll").alias("loss"))
+    elif by == "batch":
+        n = pairs.select(*key, sid, batch, F.size(kw.get("trg", "trg_tokens")).alias("_n"))
+        b = s.join(n, key + [sid]).groupBy(*key, batch).agg(
+            (F.sum(F.col("nll") * F.col("_n")) / F.sum("_n")).alias("_l"))
+        out = b.groupBy(*key).agg(F.avg("_l").alias("loss"))
+    else:
+        raise ValueError(by)
+    return out.withColumn("ppl", F.exp("loss"))
 
 
 def align(pairs: DataFrame, t: DataFrame, src="src_tokens", trg="trg_tokens",

@@ -65,3 +65,14 @@ def test_pivot_and_zip_pair_by_occurrence(spark):
     assert out == [(1, 3, 0), (5, 4, 1)]
     z = sorted((r.idx, r.sid, r.b_sid) for r in zip_pairs(a.select("sid"), b.select("sid")).collect())
     assert z == [(0, 1, 3), (1, 2, 4), (2, 5, 9)]
+
+
+def test_nll_by_batch(spark):
+    p = _pairs(spark, [("a b", "x y"), ("a", "x")])
+    t = learn_lexicon(p, iters=1, null=False)
+    pb = p.withColumn("batch", F.lit(0))
+    by_s = nll(p, t, null=False).first().loss
+    by_b = nll(pb, t, by="batch", null=False).first().loss
+    per = {r.sid: r.nll for r in sentence_nll(p, t, null=False).collect()}
+    assert by_s == pytest.approx((per[0] + per[1]) / 2)
+    assert by_b == pytest.approx((per[0] * 2 + per[1] * 1) / 3)

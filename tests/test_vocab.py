@@ -73,3 +73,8 @@ def test_array_functions_golden(spark):
     assert r.t1 == [5, 7, 2] and r.l1 == 3 and r.t2 == [5, 7] and r.l2 == 2
     assert r.p == [1, 2, 3, 0, 0] and r.m == [False, False, False, True, True]
     assert r.e == [5, 7, 2] and r.u == [5, 7, 2, 0] and r.h == [[0, 1, 0], [1, 0, 0]]
+
+
+def test_one_hot_default_width(spark):
+    df = spark.createDataFrame([([2, 0],)], "a array<int>")
+    assert df.select(A.one_hot("a").alias("h")).first().h == [[0, 0, 1], [1, 0, 0]]
