@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.common import as_col
 from tandem.operators.vocab import explode_tokens
 
 MAX_LEFT_LENGTH = 10   # fixed value: longest prefix counted
