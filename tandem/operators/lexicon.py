@@ -73,13 +73,12 @@ def em_round(cells: DataFrame, t: DataFrame | None, key: Sequence[str] = ("regio
         w = cells.join(tb, key + ["e", "f"], "left").withColumn("tp", F.coalesce("tp", F.lit(0.0)))
         denom = F.sum(F.col("ce") * F.col("tp")).over(Window.partitionBy(*key, sid, "f"))
         frac = F.when(denom > 0, F.col("cf") * F.col("ce") * F.col("tp") / denom).otherwise(F.lit(0.0))
-    # partial + final sum on (e, f): a hot source word (the empty word above
-    # all) is spread over its targets; the per-e normaliser is then a window
-    # over the aggregated table, whose rows per e are bounded by the target
-    # vocabulary
+    # partial + final sums on (e, f) and on e: a hot source word (the empty
+    # word above all) is combined map-side in both, and its totals are joined
+    # back (a vocabulary-sized table; AQE broadcasts it or splits a skewed side)
     counts = w.select(*key, "e", "f", frac.alias("c")).groupBy(*key, "e", "f").agg(F.sum("c").alias("c"))
-    z = F.sum("c").over(Window.partitionBy(*key, "e"))
-    return counts.select(*key, "e", "f", (F.col("c") / z).alias("p"))
+    totals = counts.groupBy(*key, "e").agg(F.sum("c").alias("z"))
+    return counts.join(totals, key + ["e"]).select(*key, "e", "f", (F.col("c") / F.col("z")).alias("p"))
 
 
 def learn_lexicon(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: float = 0.0,
