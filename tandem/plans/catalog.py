@@ -459,8 +459,7 @@ def q_sentence_bleu(spark, sf):
 
 
 def q_corpus_bleu_mean(spark, sf):
-    d = _bleu_input(spark, sf)
-    b = V.sentence_bleu(d).join(d.select("sid", "region"), "sid")
+    b = V.sentence_bleu(_bleu_input(spark, sf), carry=("region",))
     m = V.corpus_bleu_mean(b, ["region"])
     return m.select("region", *_bleu_cols(m))
 
@@ -476,7 +475,7 @@ def q_translate_bleu(spark, sf):
     tr = q_translate(spark, sf)
     ref = I.pairs(spark, sf).select("region", "sid", X.words("standard").alias("ref_tokens"))
     d = ref.join(tr, ["region", "sid"]).withColumn("hyp_tokens", X.words("inference"))
-    b = V.sentence_bleu(d).join(d.select("sid", "region"), "sid")
+    b = V.sentence_bleu(d, carry=("region",))
     m = V.corpus_bleu_mean(b, ["region"])
     return m.select("region", *_bleu_cols(m))
 

@@ -77,7 +77,7 @@ def train_and_score(pairs: DataFrame, level: str = "word", dia2std: bool = True,
         io.write_inference_log(logged, log_path, keys={"model": "lexicon", "level": level,
                                                        "direction": "dia2std" if dia2std else "std2dia"})
     scored = logged.select("region", "sid", X.words("trg").alias("ref_tokens"), X.words("inference").alias("hyp_tokens"))
-    bleu = V.corpus_bleu_mean(V.sentence_bleu(scored).join(scored.select("sid", "region"), "sid"), ["region"])
+    bleu = V.corpus_bleu_mean(V.sentence_bleu(scored, carry=("region",)), ["region"])
     return ScoreReport(lex, loss, logged, bleu)
 
 
