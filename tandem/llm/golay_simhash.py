@@ -7,13 +7,19 @@ where over half of the hashes have it. Fingerprints link within ``distance``
 The perfect binary Golay code (23, 12, 7) puts every 23-bit word within 3 bits
 of exactly one codeword, so a codeword's 12-bit index is a key that tolerates
 errors. A fingerprint is cut into three segments (22, 21 and 21 bits, padded
-with zeros). At most 3 differing bits leave two segments with at most one
-each. If two words differ by one bit, the codeword nearest to the one lies
-within 4 bits of the other; there are at most 6 such codewords, and they are
-looked up in a table made from the code. So one side gives the nearest index
-of each of two segments as its key, the other side all pairs of indices within
-4 bits, and an equi-join on (pair of segments, key) misses no pair. Distances
-are then verified on whole fingerprints.
+with zeros), and at most 3 differing bits fall on them in one of two ways:
+
+* One segment has none. The other two have at most 3, so one of them has at
+  most one. If two words differ by one bit, the codeword nearest to the one
+  lies within 4 bits of the other; there are at most 6 such codewords, and
+  they are looked up in a table made from the code. So one side gives
+  (segment, nearest index of another segment) as its key, the other side
+  (segment, each index within 4 bits): 6 ordered pairs, 33 or 34 bits a key.
+* Each has one. Then one half of each segment has none: 8 choices of three
+  halves, 32 bits a key, the same on both sides.
+
+An equi-join on the keys misses no pair; distances are then verified on whole
+fingerprints. Random pairs that share a key are some 4e-9 of all.
 
 Only distinct fingerprints are joined: copies never multiply. A key that over
 ``SMALL`` distinct fingerprints share is dealt over blocks of ``BLOCK`` rows,
@@ -39,12 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandem.llm.common import append_columns, smallest_reachable
+from tandem.llm.common import append_columns, broadcast_if, smallest_reachable
 from tandem.session import cut_lineage
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+HALF = 11
+#: Keys of few fingerprints that may go to all tasks (24 bytes each); beyond, a sort-merge join.
+BROADCAST_KEYS = 1_000_000
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SMALL, BLOCK = 64, 2048
 _U = np.uint64
@@ -138,17 +147,27 @@ def _keys(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            near = [near_indices(s) for s in segments(fp)]
-            for p, (i, j) in enumerate(PAIRS):
-                (a, na), (c, nc) = near[i], near[j]
-                key = (p << 24) | (a[:, :, None] << 12) | c[:, None, :]
-                ok = (np.arange(6)[None, :, None] < na[:, None, None]) & (np.arange(6)[None, None, :] < nc[:, None, None])
-                row, x, y = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row, x, y].astype(np.int32)), pa.array(fp[row]), pa.array((x == 0) & (y == 0))],
-                    names=["key", "fp", "own"])
-
-    return distinct.mapInArrow(run, "key int, fp long, own boolean")
+            segs = segments(fp)
+            near = [near_indices(x) for x in segs]
+            keys, rows, own = [], [], []
+            for kind, (i, j) in enumerate(PAIRS):
+                index, count = near[j]
+                row, x = np.nonzero(np.arange(6)[None, :] < count[:, None])
+                keys.append(kind << 40 | segs[i][row] << 12 | index[row, x])
+                rows.append(row)
+                own.append(x == 0)
+            for choice in range(8):
+                key = np.zeros(len(fp), np.int64)
+                for i, x in enumerate(segs):
+                    key = key << HALF | (x >> HALF if choice >> i & 1 else x & ((1 << HALF) - 1))
+                keys.append((len(PAIRS) + choice) << 40 | key)
+                rows.append(np.arange(len(fp)))
+                own.append(np.ones(len(fp), bool))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys)), pa.array(fp[np.concatenate(rows)]), pa.array(np.concatenate(own))],
+                names=["key", "fp", "own"])
+
+    return distinct.mapInArrow(run, "key long, fp long, own boolean")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -174,14 +193,14 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     # a key only matters where one fingerprint has it as its own and another has it too
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 and owned")
     sizes = cut_lineage(sizes.select("key", "n"), "golay-sizes")
-    few = keys.join(sizes.where(F.col("n") <= SMALL).select("key"), "key")
+    few = cut_lineage(keys.join(broadcast_if(sizes, BROADCAST_KEYS), "key").where(F.col("n") <= SMALL).select("key", "fp", "own"), "golay-few")
     own = few.where("own").select("key", F.col("fp").alias("a"))
     pairs = own.join(few.select("key", F.col("fp").alias("b")), "key").where(
         (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # hot keys: every block meets every other one of its key
     many = sizes.where(F.col("n") > SMALL).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    hot = keys.join(many, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    hot = keys.join(broadcast_if(many, BROADCAST_KEYS), "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     meet = hot.select("key", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))).alias("m")).alias("m"), "i")
 
