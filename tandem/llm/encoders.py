@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import json
 import os
 import struct
 from collections.abc import Callable
 
-KEEP = 400_000
+KEEP = 600_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # one piece as a run behind letters; no apostrophe
 
 
@@ -126,6 +127,7 @@ def hf_encoder(path: str) -> Callable[[bytes], bytes]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
+    gc.set_threshold(100_000, 50, 100)  # the chunks kept are bytes that no cycle can hold; walking them is in vain
     full = Tokenizer.from_file(path)
     full.encode_special_tokens = True
     spec = json.loads(full.to_str())

@@ -1,7 +1,8 @@
 """Token ids in ORC: integer run-length encoding, row indexes, Bloom filters on document ids.
 
 Documents are dealt out by ranges of their id and sorted, encoded, and written
-by Spark's ORC writer, so that the files hold them in ascending order. A row is
+by Spark's ORC writer, so that the files hold them in ascending order (run-length
+encoded ids gain little from a compressor, so there is none). A row is
 ``(doc_id, shard, first, n_tokens, ids)``: ``shard`` is the writing task and
 ``first`` counts the ids before the row in it. Readers take the stripes of a
 file in parallel; a filter on ``doc_id`` skips stripes and row groups by their
@@ -54,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
     out = src.mapInArrow(run, SCHEMA)
     (out.write.option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_ROWS)
      .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id")
-     .option("orc.bloom.filter.fpp", FPP).option("compression", "zstd").orc(path))
+     .option("orc.bloom.filter.fpp", FPP).option("compression", "none").orc(path))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
