@@ -66,7 +66,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "flat-tokens")
     placed = write_flat(table(spark, sf_dir, "documents", "doc_id", "text"), path, BYTE_BPE, 50256)
-    return placed.join(scan(spark, path, 50256), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return placed.hint("merge").join(scan(spark, path, 50256), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
