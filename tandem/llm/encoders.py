@@ -18,7 +18,7 @@ import os
 import struct
 from collections.abc import Callable
 
-KEEP = 600_000
+KEEP = 800_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # one piece as a run behind letters; no apostrophe
 
 
@@ -94,7 +94,7 @@ class ByteEncoder:
     def _new(self, w: bytes) -> bytes | None:
         if not w or w[-1:].isspace() or not w[-1:].isascii() and w.decode()[-1].isspace():
             return None
-        if _plain(w):
+        if w.isalpha() or _plain(w):
             return self.piece(b" " + w)
         body = w.rstrip(_MARKS)
         if body != w and _plain(body[1:] if w[0] == 10 else body):
@@ -139,7 +139,12 @@ def hf_encoder(path: str) -> Callable[[bytes], bytes]:
     names = byte_letters()
 
     def merged(piece: bytes) -> bytes:
-        text = piece.decode() if piece.isalpha() else "".join([names[x] for x in piece])
+        if piece.isalpha():
+            text = piece.decode()
+        elif piece[0] == 32 and piece[1:].isalpha():
+            text = names[32] + piece[1:].decode()
+        else:
+            text = "".join([names[x] for x in piece])
         return pack_ids([t.id for t in model.tokenize(text)])
 
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:

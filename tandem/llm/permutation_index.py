@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its ``PREFIX`` nearest pivots in order. Index rows
-are dealt over blocks; in each block the pivots' inverted files hold (vector,
-place of the pivot in its order). A query walks the files of its own pivots
-and adds up ``min(m - a, m - b)`` for places a and b: up to a constant this is
+are dealt over blocks; in each block the pivots' inverted files hold the place
+of the pivot in each vector's order (dense: a pivot is in the prefix of a
+quarter of the vectors). A query walks the files of its own pivots and adds up ``min(m - a, m - b)`` for places a and b: up to a constant this is
 Spearman's footrule between the two prefixes, pivots outside a prefix standing
 at its end. The ``SHARE`` best of a block are reranked by the exact inner
 product in double precision, and the best of all blocks are merged.
@@ -63,19 +63,15 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     """Each query's best ``k`` of one block."""
     n, m = len(x), min(prefix, len(pivots))
     order = _orders(_lift(x, norm), pivots, m)
-    # inverted files: postings sorted by pivot
-    by = np.argsort(order.ravel(), kind="stable")
-    who = (by // m).astype(np.int64)
-    weight = (m - by % m).astype(np.float32)
-    start = np.searchsorted(order.ravel()[by], np.arange(len(pivots) + 1))
+    # inverted files: for each pivot the places it has in the orders, 0 where it isn't in a prefix
+    files = np.zeros((len(pivots), n), np.uint16)
+    files[order, np.arange(n)[:, None]] = m - np.arange(m, dtype=np.uint16)
     qorder = _orders(np.concatenate((q, np.zeros((len(q), 1))), axis=1), pivots, m)
     take = min(n, max(50 * k, int(np.ceil(share * n))))
+    own = (m - np.arange(m, dtype=np.uint16))[:, None]  # at most m * m / 2 in all: fits in 16 bits
     out = []
     for i in range(len(q)):
-        score = np.zeros(n, np.float32)
-        for a, p in enumerate(qorder[i].tolist()):
-            files = slice(start[p], start[p + 1])
-            score[who[files]] += np.minimum(weight[files], m - a)
+        score = np.add.reduce(np.minimum(files[qorder[i]], own), axis=0, dtype=np.uint16).astype(np.int32)
         near = np.argpartition(-score, take - 1)[:take] if take < n else np.arange(n)
         near = near[ids[near] != qids[i]]
         exact = x[near] @ q[i]

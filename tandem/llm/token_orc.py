@@ -78,7 +78,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column(b.num_columns - 1)
-            flat = memoryview(col.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes())
+            flat = memoryview(col.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False).view(np.uint8))
             ends = np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) * 4
             crcs = [zlib.crc32(flat[s:e]) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crcs, pa.int64())], names=[*(f.name for f in rest), "ids_crc32"])

@@ -6,19 +6,22 @@ Vectors link when their labels are equal and their cosine is at least
 1. *Overlapping cluster shards.* Centroids come from a bounded sample of each
    label (``SAMPLE`` rows, the smallest hashes; k-means). A vector visits the shards
    of its ``overlap`` nearest centroids and belongs to the nearest one. A shard
-   of over ``SHARD`` vectors is dealt over blocks: members are split, visitors
-   search every block.
+   of over ``SHARD`` vectors is dealt over blocks, and any two blocks meet in a
+   group of their own.
 2. *Graph.* In each shard a vector gets its nearest visitors as candidates,
    robustly pruned (a candidate goes when a kept one is nearer to it by the
-   factor ``ALPHA``). The adjacency lists of all shards are united.
+   factor ``ALPHA``). The adjacency lists of all shards are united, and read in
+   both directions.
 3. *Search.* Every visitor runs a greedy beam search over the united lists,
    all at once in numpy, from the shard's medoid; what lies in range is then
    expanded through its neighbours until nothing new is in range.
-4. *Verify, audit.* Hits are checked by the cosine in double precision. A link
-   counts where its partner belongs, so overlap counts nothing twice and counts
-   are sums; the links themselves leave a shard as a spanning forest only.
+4. *Verify, audit.* Hits are checked by the cosine in double precision and
+   leave a shard as a spanning forest only, which joins them to components. The
+   links of a vector are then counted inside its component, exactly, by blocks
+   of ``BLOCK`` x ``BLOCK``: in a dense group every vector gets all its links.
    The recall of a sample is measured against brute force, and while it is
-   below ``RECALL`` the search runs again with twice the overlap.
+   below ``RECALL`` the search runs again with twice the overlap, candidates,
+   degree and beam (the factors in ``EFFORTS``).
 
 Copies of a vector are one node, with their number as its weight.
 
@@ -42,10 +45,10 @@ from tandem.llm.common import prepare, smallest_reachable
 from tandem.llm.permutation_index import matrix
 from tandem.session import cut_lineage
 
-THRESHOLD, OVERLAP = 0.93, 4
-CLUSTER, SHARD, SAMPLE, MAX_CLUSTERS = 1000, 6000, 4096, 256
+THRESHOLD, OVERLAP = 0.93, 2
+CLUSTER, SHARD, SAMPLE, MAX_CLUSTERS = 4000, 12000, 4096, 256
 CANDIDATES, DEGREE, ALPHA, BEAM, ENTRIES = 48, 24, 1.2, 32, 4
-AUDIT, RECALL = 256, 0.999
+AUDIT, RECALL, EFFORTS, BLOCK = 256, 0.999, (1, 2, 4), 2048
 
 
 def prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -66,28 +69,39 @@ def prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int = DEGRE
     return out
 
 
-def build(x: np.ndarray) -> list[np.ndarray]:
+def build(x: np.ndarray, effort: int = 1) -> list[np.ndarray]:
     """Pruned adjacency lists among the rows of ``x`` (unit vectors)."""
     n = len(x)
     if n < 2:
         return [np.zeros(0, np.int64)] * n
-    k, out = min(CANDIDATES, n - 1), []
+    k, out = min(CANDIDATES * effort, n - 1), []
     for lo in range(0, n, 512):
         s = x[lo : lo + 512] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
         near = np.argpartition(-s, k - 1, axis=1)[:, :k]
         sims = np.take_along_axis(s, near, 1)
         order = np.argsort(-sims, axis=1, kind="stable")
-        out += prune(x, np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1))
+        out += prune(x, np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1), DEGREE * effort)
     return out
 
 
-def _padded(lists: list[np.ndarray], n: int) -> np.ndarray:
-    """Adjacency as a matrix; the row's own number fills up."""
-    width = max([1, *(len(v) for v in lists)])
-    out = np.repeat(np.arange(n)[:, None], width, axis=1)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+def _padded(lists: list[np.ndarray], n: int, x: np.ndarray) -> np.ndarray:
+    """Adjacency in both directions as a matrix; the row's own number fills up.
+
+    A row that very many lists name keeps its own list and the nearest
+    ``DEGREE`` of those that name it; the others still name it.
+    """
+    size = np.array([len(v) for v in lists], np.int64)
+    a, b = np.repeat(np.arange(n), size), np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+    sims = np.einsum("ij,ij->i", x[a], x[b])
+    order = np.lexsort((-sims, b))
+    rank = np.arange(len(b)) - np.searchsorted(b[order], b[order])
+    back = order[rank < DEGREE]
+    pairs = np.unique(np.concatenate((a * n + b, b[back] * n + a[back])))
+    a, b = pairs // n, pairs % n
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    out = np.repeat(np.arange(n)[:, None], int(place.max(initial=0)) + 1, axis=1)
+    out[a, place] = b
     return out
 
 
@@ -206,7 +220,7 @@ def _centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _visits(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) -> DataFrame:
-    """(label, shard, node, v, weight, home): a row for each shard that a vector visits."""
+    """(label, shard, block, node, v): a row for each shard that a vector visits."""
     sent = nodes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(it):
@@ -218,28 +232,35 @@ def _visits(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) ->
                 for dim in np.unique(dims):
                     p = part[dims == dim]
                     if c is None or c.shape[1] != dim:
-                        out.append(p.assign(shard=-int(dim), home=True))
+                        out.append(p.assign(shard=-int(dim)))
                         continue
                     t = min(overlap, len(c))
                     best = np.argsort(-(_unit(matrix(p["v"])) @ c.T), axis=1, kind="stable")[:, :t]
                     rep = p.loc[p.index.repeat(t)]
-                    out.append(rep.assign(shard=best.ravel(), home=np.tile(np.arange(t) == 0, len(p))))
+                    out.append(rep.assign(shard=best.ravel()))
             if out:
-                yield pd.concat(out)[["label", "shard", "node", "v", "weight", "home"]]
+                yield pd.concat(out)[["label", "shard", "node", "v"]]
 
-    visits = cut_lineage(nodes.select("label", "node", "v", "weight").mapInPandas(
-        run, "label string, shard int, node long, v array<double>, weight long, home boolean"), "visits")
+    visits = cut_lineage(nodes.select("label", "node", "v").mapInPandas(
+        run, "label string, shard int, node long, v array<double>"), "visits")
     blocks = visits.groupBy("label", "shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
-    # members of a block: all visitors of a small shard, a part of them (by hash) in a large one, which all visitors search
-    spread = visits.join(blocks, ["label", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = F.pmod(F.xxhash64("node"), F.col("blocks")) == F.col("block")
-    return spread.withColumn("home", F.col("home") & member).drop("blocks")
+    # a large shard: its visitors are dealt over blocks, and any two blocks meet in one group
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(
+        "-", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))).alias("block")
+    return visits.join(blocks, ["label", "shard"]).withColumn("own", own).select("label", "shard", meet, "node", "v")
 
 
-def _links(visits: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, n): weight of partners found; (a, b): a forest of the links."""
+def _links(visits: DataFrame, threshold: float, effort: int) -> DataFrame:
+    """(a, b): a forest of the verified links of each shard."""
     group = ["label", "shard", "block"]
-    lists = visits.groupBy(*group).applyInPandas(_build_group, "node long, near array<long>")
+
+    def build_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy(np.int64)
+        lists = build(_unit(matrix(pdf["v"])).astype(np.float32), effort)
+        return pd.DataFrame({"node": node, "near": [node[v] for v in lists]})
+
+    lists = visits.groupBy(*group).applyInPandas(build_group, "node long, near array<long>")
     united = cut_lineage(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -247,24 +268,30 @@ def _links(visits: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         x, place = v.astype(np.float32), {int(n): i for i, n in enumerate(pdf["node"])}
         lists = [np.array([place[int(j)] for j in near if int(j) in place], np.int64) if near is not None else np.zeros(0, np.int64)
                  for near in pdf["near"]]
-        found = range_search(x, _padded(lists, len(x)), threshold)
+        found = range_search(x, _padded(lists, len(x), x), threshold, BEAM * effort)
         found = [f[v[f] @ v[i] >= threshold] if len(f) else f for i, f in enumerate(found)]
-        home, weight, node = pdf["home"].to_numpy(bool), pdf["weight"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
-        counts = np.array([int(weight[f][home[f]].sum()) for f in found], np.int64)
-        tree = _forest(found)
-        return pd.concat([pd.DataFrame({"node": node, "n": counts, "other": None}),
-                          pd.DataFrame({"node": [int(node[a]) for a, _ in tree], "n": None, "other": [int(node[b]) for _, b in tree]})]
-                         ).astype({"node": "int64", "n": "Int64", "other": "Int64"})
+        node, tree = pdf["node"].to_numpy(np.int64), _forest(found)
+        return pd.DataFrame({"a": [int(node[a]) for a, _ in tree], "b": [int(node[b]) for _, b in tree]}, dtype="int64")
+
+    return visits.join(united, "node", "left").groupBy(*group).applyInPandas(search, "a long, b long")
+
 
-    found = cut_lineage(visits.join(united, "node", "left").groupBy(*group).applyInPandas(search, "node long, n long, other long"), "found")
-    return (found.where("other is null").groupBy("node").agg(F.sum("n").alias("n")),
-            found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+def _counts(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, n): the weight of the others of its component that each node links with; ``members``: node, root, v, weight."""
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = own.select("root", "node", "v", "weight", "own", other)
+    sides = rows.select("root", F.col("own").alias("i"), F.col("other").alias("j"), "node", "v", "weight", F.lit(True).alias("asks")).union(
+        rows.select("root", "other", "own", "node", "v", "weight", F.lit(False)))
 
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, x = pdf["asks"].to_numpy(bool), _unit(matrix(pdf["v"]))
+        node, weight = pdf["node"].to_numpy(np.int64), pdf["weight"].to_numpy(np.int64)
+        hit = (x[asks] @ x[~asks].T >= threshold) & (node[asks][:, None] != node[~asks][None, :])
+        return pd.DataFrame({"node": node[asks], "n": hit @ weight[~asks]})
 
-def _build_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    node = pdf["node"].to_numpy(np.int64)
-    lists = build(_unit(matrix(pdf["v"])).astype(np.float32))
-    return pd.DataFrame({"node": node, "near": [node[v] for v in lists]})
+    return sides.groupBy("root", "i", "j").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
@@ -298,13 +325,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
         F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.min("label").alias("label"), F.min("v").alias("v")).select(
         F.col("same").alias("node"), "label", "v", "weight", "first"), "nodes")
     centroids = _centroids(nodes)
-    most = max([1, *(len(c) for c in centroids.values())])
-    while True:
-        counts, links = _links(cut_lineage(_visits(nodes, centroids, overlap), "shards"), threshold)
-        if overlap >= most or audit(nodes, counts, threshold) >= RECALL:
+    for effort in EFFORTS:
+        links = _links(cut_lineage(_visits(nodes, centroids, overlap * effort), "shards"), threshold, effort)
+        roots = smallest_reachable(links, name="vectors").select("node", "root")
+        counts = cut_lineage(_counts(nodes.select("node", "v", "weight").join(roots, "node"), threshold), "counts")
+        if audit(nodes, counts, threshold) >= RECALL:
             break
-        overlap *= 2
-    roots = smallest_reachable(links, name="vectors").select("node", "root")
     named = nodes.join(roots, "node", "left").select("node", "first", "weight", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component"))
     known = named.join(names, "root").join(counts, "node", "left").select(
