@@ -37,7 +37,7 @@ PRIOR = 600
 #: An n-gram gets an embedding where this many documents of the sample have it, or this share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.005
 TOXIC_SHARE = 0.6
-MAX_TOXIC, MAX_CLEAN = 2500, 4000
+MAX_TOXIC, MAX_CLEAN = 2000, 3200
 _FOLD = np.arange(256, dtype=np.uint8)  # letters A-Z to lower case; white space, control and ASCII marks to a blank
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123)]] = 32
@@ -131,13 +131,16 @@ def train(texts, labels, dim: int = DIM, epochs: int = 12, batch: int = 64, rate
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
-    bags = [bag(t) for t in _encoded(texts)]
+    bags, held = [], np.zeros(1 << BITS, np.int64)
+    for t in texts:  # one text at once: a few MB of counts stay of each thousand documents
+        ids, n = bag(_encoded([t])[0])
+        held[ids] += 1
+        bags.append((ids.astype(np.int32), (n / (n.sum() + PRIOR)).astype(np.float32)))
     rng = np.random.default_rng(seed)
-    held = np.bincount(np.concatenate([b[0] for b in bags]), minlength=1 << BITS)
     often = held >= max(MIN_DOCS, MIN_SHARE * len(bags))  # rarer rows stay neutral
-    used, place = np.flatnonzero(often), np.cumsum(often) - 1
-    sums = [c.sum() + PRIOR for _, c in bags]
-    bags = [(place[i[k]], (c[k] / n).astype(np.float32)) for (i, c), n in zip(bags, sums, strict=True) for k in [often[i]]]
+    used, place = np.flatnonzero(often), (np.cumsum(often) - 1).astype(np.int32)
+    for r, (ids, share) in enumerate(bags):
+        bags[r] = (place[ids[often[ids]]], share[often[ids]])
     emb = rng.normal(0, 0.1, (len(used), dim)).astype(np.float32)
     out = rng.normal(0, 0.1, dim).astype(np.float32)
     bias = np.zeros(1, np.float32)
