@@ -1,7 +1,7 @@
 """Encoders that run public tokenizers over whole texts, one blank-separated chunk at a time.
 
 Texts repeat their words, so a worker keeps the ids of the chunks it has met
-(two generations, ``KEEP`` chunks each) and asks the tokenizer for new ones
+(two generations, ``KEEP_WORDS`` or ``KEEP_CHUNKS`` each) and asks the tokenizer for new ones
 only. The chunks are cut where no token of the tokenizer can cross, so the
 ids equal those of the whole text; texts where that isn't certain (runs of
 blanks) go to the tokenizer as a whole. Ids are little-endian unsigned 32-bit
@@ -18,7 +18,7 @@ import os
 import struct
 from collections.abc import Callable
 
-KEEP = 800_000
+KEEP_WORDS, KEEP_CHUNKS = 400_000, 800_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # one piece as a run behind letters; no apostrophe
 
 
@@ -29,7 +29,7 @@ def pack_ids(ids) -> bytes:
 class _Chunks(dict):
     """Ids of chunks; ``make`` gives those of a new one, None where a chunk can't stand alone."""
 
-    def __init__(self, make: Callable, keep: int = KEEP):
+    def __init__(self, make: Callable, keep: int):
         super().__init__()
         self.make, self.keep, self.old = make, keep, {}
 
@@ -60,7 +60,7 @@ class WordEncoder:
 
     def __init__(self, whole: Callable[[bytes], bytes], letters: Callable[[bytes], bytes]):
         self.whole, self.letters = whole, letters
-        self.chunks = _Chunks(self._new)
+        self.chunks = _Chunks(self._new, KEEP_WORDS)
 
     def _new(self, w: bytes) -> bytes:
         if _plain(w):
@@ -88,7 +88,7 @@ class ByteEncoder:
 
     def __init__(self, whole: Callable[[bytes], bytes], piece: Callable[[bytes], bytes]):
         self.whole, self.piece = whole, piece
-        self.chunks = _Chunks(self._new)
+        self.chunks = _Chunks(self._new, KEEP_CHUNKS)
         self.marks = _Chunks(piece, 10_000)
 
     def _new(self, w: bytes) -> bytes | None:
