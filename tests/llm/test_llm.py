@@ -176,7 +176,7 @@ def test_toxicity_learns_stems():
     rng = np.random.default_rng(0)
     plain = lambda: " ".join("".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(60))
     texts = [plain() + (f" grobxx{'aeiou'[i // 2 % 5]} " if i % 2 else " ") + plain() for i in range(300)]
-    m = toxicity.train(texts, [i % 2 for i in range(300)], epochs=40)
+    m = toxicity.train(texts, [i % 2 for i in range(300)], epochs=40, batch=8)
     new = [plain() + " grobxxzz " + plain() for _ in range(20)], [plain() + " " + plain() for _ in range(20)]
     assert m.scores(new[0]).mean() > m.scores(new[1]).mean() + 0.2
     assert len(m.scores([None, "", "a"])) == 3 and toxicity.train([], []).scores([""])[0] < 0.01
