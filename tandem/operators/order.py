@@ -39,6 +39,15 @@ def _cols(xs) -> list[Column]:
     return [as_col(x) for x in xs]
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL, so that no row is lost."""
+    renamed = right.withColumnsRenamed({k: f"{k}_right" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_right"))
+    return left.join(renamed, cond).drop(*[f"{k}_right" for k in keys])
+
+
 def dense_index(
     df: DataFrame,
     order: Sequence,
@@ -53,7 +62,8 @@ def dense_index(
     ``bucket`` must be non-decreasing along ``order`` (default: the first
     order key divided by ``DEFAULT_WIDTH``). With ``partition_by`` the index
     restarts per partition. With ``total`` the row count of the partition is
-    attached under that name.
+    attached under that name. Rows with NULL keys or partitions keep their
+    place (NULL first).
     """
     order_cols = _cols(order)
     bcols = _cols(bucket) if bucket is not None else [sid_bucket(order_cols[0])]
@@ -90,10 +100,10 @@ def dense_index(
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w_in.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    offs = offs.join(sup_tot.drop("_sn"), sup_keys).select(
+    offs = _join_null_safe(offs, sup_tot.drop("_sn"), sup_keys).select(
         *keys, (F.col("_off") + F.col("_soff")).alias("_base"), *([total] if total else [])
     )
-    out = ranked.join(offs, keys).withColumn(
+    out = _join_null_safe(ranked, offs, keys).withColumn(
         name, (F.col("_base") + F.col("_r") - 1 + F.lit(start)).cast("long")
     )
     return out.drop(*keys, "_r", "_base")

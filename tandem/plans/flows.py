@@ -30,11 +30,12 @@ from tandem.session import cut_lineage
 from tandem.sources import io
 
 
-def prepare_corpus(spark: SparkSession, root: str, out: str | None = None, files_per_region: int = 600,
+def prepare_corpus(spark: SparkSession, root: str, out: str | None = None, files_per_region: int | None = None,
                    **clean_kw) -> DataFrame:
     """Raw regional utterance files → cleaned, indexed, split pairs."""
     u = io.read_utterances(spark, root)
-    u = O.cap_per_group(u, ["region"], ["path"], n=files_per_region)
+    if files_per_region is not None:
+        u = O.cap_per_group(u, ["region"], ["path"], n=files_per_region)
     u = io.index_utterances(u)
     pairs = u.select("sid", "region", F.col("standard_form").alias("standard"),
                      F.col("dialect_form").alias("dialect"))
@@ -103,7 +104,7 @@ def bridge_dialects(p1: DataFrame, p2: DataFrame, iters: int = 5, composed: bool
 
 
 def batch_table(pairs: DataFrame, batch_size: int = 64, min_frequency: int = K.MIN_FREQUENCY,
-                max_size: int = W.VOCAB_LIMIT) -> DataFrame:
+                max_size: int | None = None) -> DataFrame:
     """Length-bucketed, padded id batches of the standard side.
 
     Returns ``(sid, batch, rank_in_batch, ids, mask, positions)``.
@@ -113,7 +114,7 @@ def batch_table(pairs: DataFrame, batch_size: int = 64, min_frequency: int = K.M
     scores = K.cohesion_scores(w, "w", min_frequency=min_frequency)
     lr = K.tokenize_lr(w, "w", scores).select("sid", X.lower_tokens("lr_tokens").alias("t"))
     vocab = W.vocab_by_freq(lr, "t", max_size=max_size)
-    enc = W.encode(lr, "t", vocab, vocab_bound=max_size + 4)
+    enc = W.encode(lr, "t", vocab, vocab_bound=None if max_size is None else max_size + 4)
     batched = B.bucket_batches(lr, F.size("t"), batch_size).join(enc, "sid")
     padded = B.pad_batch(batched, "ids")
     return padded.select("sid", "batch", "rank_in_batch", "ids", A.pad_mask("ids").alias("mask"),

@@ -44,3 +44,12 @@ def test_union_and_head_and_cap(spark):
     d = spark.createDataFrame([(g, i) for g in "pq" for i in range(10)], "g string, i long")
     kept = cap_per_group(d, ["g"], ["i"], n=3)
     assert sorted((r.g, r.i) for r in kept.collect()) == [("p", 0), ("p", 1), ("p", 2), ("q", 0), ("q", 1), ("q", 2)]
+
+
+def test_null_keys_and_partitions_keep_their_rows(spark):
+    from tandem.operators.order import dense_index, split_ordered
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "a")], "sid long, g string")
+    assert dense_index(df, ["sid"]).count() == 3
+    assert sorted(r["idx"] for r in dense_index(df, ["sid"]).collect()) == [0, 1, 2]
+    assert split_ordered(df.where("sid is not null"), partition_by=["g"]).count() == 2
