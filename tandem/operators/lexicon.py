@@ -1,19 +1,18 @@
 """Lexical translation tables learned with distributed EM (IBM Model 1),
 alignment, translation, pivoting and lexicon composition.
 
-Co-occurrence cells are produced *inside each sentence row* (two explodes of
-the distinct tokens with their counts), so building them needs no join. The
-sentence table is hash-partitioned by ``(key, sid)`` once; every cell of a
-sentence then lives in one partition, and Spark can compute the per-sentence
-E-step normaliser (a window over ``(key, sid, f)``) without a shuffle. The
-translation table ``t`` is broadcast into the E-step only after a bounded
-size check; beyond the bound the join shuffles on ``(key, e, f)`` and AQE
-splits hot keys. The M-step is a partial + final aggregate on ``(key, e, f)``.
-Each round ends with a reliable checkpoint of ``t`` into the shared folder.
-
-A sentence contributes ``|distinct src| × |distinct trg|`` cells; inputs are
-length-bounded first (``filter_max_len``, < 30 words a side by default), so a
-sentence never yields more than 29 × 30 cells.
+Only the narrow sentence table is stored. Each round makes the co-occurrence
+cells *inside each sentence row* (two explodes of the distinct tokens with
+their counts), so they need no join and are never written. Sentences are dealt
+by ``(key, sid)`` before that; while ``t`` is broadcast (behind a size check)
+the per-sentence E-step normaliser, a window over ``(key, sid, f)``, needs no
+exchange of the cells. Beyond the bound a sort-merge join deals the cells on
+``(key, e, f)`` and AQE splits hot keys. The M-step is a partial + final
+aggregate on ``(key, e, f)``. Each round writes ``t`` into the shared folder.
+
+A sentence contributes ``|distinct src| × |distinct trg|`` cells. ``segments``
+cuts long pairs into short consecutive ones and drops no word, so the cells
+grow with the text and not with the square of a line's length.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from tandem.operators.order import dense_index, sid_bucket
 from tandem.session import bounded_broadcast, cut_lineage
 
 T_BROADCAST_ROWS = 2_000_000     # translation-table rows that may be broadcast
+SEGMENT = 10                     # words a side of a segment (drops nothing)
 P_FLOOR = 1e-10                  # fixed value: probability floor in the loss
 PRODUCT_ROWS_PER_TASK = 2_000_000  # joined rows per task in lexicon composition
 SALT = 32                          # tasks a hot source word of a composition is split over
@@ -40,8 +40,33 @@ def _counted(a):
         x.alias("tok"), F.size(F.filter(a, lambda y: y == x)).alias("c")))
 
 
+def segments(pairs: DataFrame, size: int = SEGMENT, src: str = "src_tokens", trg: str = "trg_tokens",
+             sid: str = "sid") -> DataFrame:
+    """Every pair cut into consecutive pieces of at most ``size`` words a side.
+
+    The sides are cut at the same share of their lengths, so sides of equal
+    length are cut at the same words. No word is lost; pairs without any word
+    (NULL or empty on both sides) give no piece. ``sid`` becomes
+    ``struct(sid, seg)``; other columns are kept.
+    """
+    none = F.array().cast("array<string>")
+    s, t = F.coalesce(as_col(src), none), F.coalesce(as_col(trg), none)
+    longest = F.greatest(F.size(s), F.size(t))
+    k = F.ceil(longest / F.lit(size)).cast("int")
+
+    def piece(a, i):
+        at = lambda j: F.floor(j * F.size(a) / k).cast("int")
+        return F.slice(a, at(i) + 1, at(i + 1) - at(i))
+
+    pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(piece(s, i).alias("s"), piece(t, i).alias("t")))
+    rest = [c for c in pairs.columns if c not in (sid, src, trg)]
+    cut = pairs.where(longest > 0).select(*rest, sid, F.posexplode(pieces).alias("_seg", "_piece"))
+    return cut.select(*rest, F.struct(F.col(sid).alias("sid"), F.col("_seg").cast("long").alias("seg")).alias(sid),
+                      F.col("_piece.s").alias(src), F.col("_piece.t").alias(trg))
+
+
 def cooccurrence(pairs: DataFrame, src="src_tokens", trg="trg_tokens", key: Sequence[str] = ("region",),
-                 sid: str = "sid", null: bool = True, partitions: int | None = None) -> DataFrame:
+                 sid: str = "sid", null: bool = True) -> DataFrame:
     """Cells ``(key.., sid, l, e, ce, f, cf)`` of every sentence pair.
 
     ``l`` is the number of source tokens (plus one for the empty word).
@@ -50,8 +75,7 @@ def cooccurrence(pairs: DataFrame, src="src_tokens", trg="trg_tokens", key: Sequ
     s = as_col(src)
     if null:
         s = F.concat(F.array(F.lit(NULL_TOKEN)), s)
-    n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.select(*key, sid, s.alias("_s"), as_col(trg).alias("_t")).repartition(n, *key, sid)
+    rows = pairs.select(*key, sid, s.alias("_s"), as_col(trg).alias("_t")).repartition(*key, sid)
     cells = rows.select(
         *key, sid, F.size("_s").alias("l"),
         F.explode(_counted(F.col("_s"))).alias("_e"), F.col("_t"),
@@ -71,8 +95,8 @@ def em_round(cells: DataFrame, t: DataFrame | None, key: Sequence[str] = ("regio
     else:
         tb, _ = bounded_broadcast(t.select(*key, "e", "f", F.col("p").alias("tp")), broadcast_rows)
         w = cells.join(tb, key + ["e", "f"], "left").withColumn("tp", F.coalesce("tp", F.lit(0.0)))
-        denom = F.sum(F.col("ce") * F.col("tp")).over(Window.partitionBy(*key, sid, "f"))
-        frac = F.when(denom > 0, F.col("cf") * F.col("ce") * F.col("tp") / denom).otherwise(F.lit(0.0))
+        w = w.withColumn("dn", F.sum(F.col("ce") * F.col("tp")).over(Window.partitionBy(*key, sid, "f")))
+        frac = F.when(F.col("dn") > 0, F.col("cf") * F.col("ce") * F.col("tp") / F.col("dn")).otherwise(F.lit(0.0))
     # partial + final sums on (e, f) and on e: a hot source word (the empty
     # word above all) is combined map-side in both, and its totals are joined
     # back (a vocabulary-sized table; AQE broadcasts it or splits a skewed side)
@@ -90,13 +114,13 @@ def learn_lexicon(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: fl
     """
     key = list(key)
     s = F.concat(F.array(F.lit(NULL_TOKEN)), as_col(src)) if null else as_col(src)
-    pairs = pairs.select(*key, sid, s.alias("_s"), as_col(trg).alias("_t"))
+    pairs = cut_lineage(pairs.select(*key, sid, s.alias("_s"), as_col(trg).alias("_t")), "em-pairs")
     codes = _token_codes(pairs, key)
     if codes is not None:
         # run the rounds on 64-bit codes: narrower shuffles and cheaper hashing
         code = lambda a: F.transform(a, lambda x: F.xxhash64(x))
-        pairs = pairs.select(*key, sid, code(F.col("_s")).alias("_s"), code(F.col("_t")).alias("_t"))
-    cells = cut_lineage(cooccurrence(pairs, "_s", "_t", key, sid, null=False))
+        pairs = cut_lineage(pairs.select(*key, sid, code(F.col("_s")).alias("_s"), code(F.col("_t")).alias("_t")), "em-coded")
+    cells = cooccurrence(pairs, "_s", "_t", key, sid, null=False)
     t = None
     for _ in range(iters):
         t = em_round(cells, t, key, sid, broadcast_rows)
@@ -166,8 +190,9 @@ def align(pairs: DataFrame, t: DataFrame, src="src_tokens", trg="trg_tokens",
         .select(*key, sid, "s_pos", "e", F.posexplode("_t").alias("t_pos", "f"))
     j = grid.join(t.select(*key, "e", "f", "p"), key + ["e", "f"], "left").withColumn(
         "p", F.coalesce("p", F.lit(0.0)))
-    z = F.sum("p").over(Window.partitionBy(*key, sid, "t_pos"))
-    return j.select(*key, sid, F.col("t_pos").cast("long").alias("t_pos"), F.col("s_pos").cast("long").alias("s_pos"), F.when(z > 0, F.col("p") / z).otherwise(F.lit(0.0)).alias("p"))
+    j = j.withColumn("_z", F.sum("p").over(Window.partitionBy(*key, sid, "t_pos")))
+    return j.select(*key, sid, F.col("t_pos").cast("long").alias("t_pos"), F.col("s_pos").cast("long").alias("s_pos"),
+                    F.when(F.col("_z") > 0, F.col("p") / F.col("_z")).otherwise(F.lit(0.0)).alias("p"))
 
 
 def best_translations(t: DataFrame, key: Sequence[str] = ("region",), digits: int = 6) -> DataFrame:
@@ -263,14 +288,17 @@ def compose_lexicons(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("re
     return cold.unionByName(warm).select(*key, F.col("d1").alias("e"), F.col("d2").alias("f"), "p")
 
 
-def best_composed(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",), digits: int = 6,
-                  **kw) -> DataFrame:
-    """Arg-max ``d2`` of every ``d1`` under the full composed distribution,
-    with its probability (rounded to ``digits``; ties by token)."""
+def composed_summary(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",), digits: int = 6,
+                     **kw) -> DataFrame:
+    """Every ``d1``'s full composed distribution in one row: its number of
+    targets, Σp and Σp², and the arg-max target with its probability (rounded
+    to ``digits``; ties by token)."""
     key = list(key)
     c = compose_lexicons(lex1, lex2, key, **kw)
-    b = c.groupBy(*key, "e").agg(F.min(F.struct((-F.round("p", digits)).alias("n"), F.col("f").alias("f"))).alias("b"))
-    return b.select(*key, "e", F.col("b.f").alias("f"), (-F.col("b.n")).alias("p"))
+    b = c.groupBy(*key, "e").agg(
+        F.min(F.struct((-F.round("p", digits)).alias("n"), F.col("f").alias("f"))).alias("b"),
+        F.count(F.lit(1)).alias("targets"), F.sum("p").alias("sum_p"), F.sum(F.col("p") * F.col("p")).alias("sum_p2"))
+    return b.select(*key, "e", F.col("b.f").alias("f"), (-F.col("b.n")).alias("p"), "targets", "sum_p", "sum_p2")
 
 
 def zip_pairs(a: DataFrame, b: DataFrame, order_a: str = "sid", order_b: str = "sid") -> DataFrame:
@@ -284,19 +312,17 @@ def zip_pairs(a: DataFrame, b: DataFrame, order_a: str = "sid", order_b: str = "
 
 def pivot_pairs(p1: DataFrame, p2: DataFrame, on: str = "standard", order: str = "sid",
                 d1: str = "dialect", d2: str = "dialect") -> DataFrame:
-    """Dialect-1 / dialect-2 pairs that share the same standard sentence.
+    """Every row of ``p1`` with a dialect-2 form of its standard sentence.
 
-    The k-th occurrence of a standard sentence on one side is paired with its
-    k-th occurrence on the other (occurrences ordered by ``order``), so every
-    row is used at most once and a sentence repeated many times never turns
-    into all of its pairs. The rank inside a sentence is a bucketed dense
-    index, safe for a sentence that holds a large share of all rows.
+    ``p2`` gives one row per standard sentence, the one of lowest ``order``, so
+    the result has exactly the rows of ``p1`` and no group of duplicates turns
+    into all of its pairs. ``sid2`` and ``d2`` are NULL where ``p2`` lacks the
+    sentence (a NULL sentence matches none). Swap the sides for the reverse.
     """
     a = p1.select(F.col(on).alias("standard"), F.col(order).alias("sid1"), F.col(d1).alias("d1"))
-    b = p2.select(F.col(on).alias("standard"), F.col(order).alias("sid2"), F.col(d2).alias("d2"))
-    ia = dense_index(a, ["sid1"], bucket=sid_bucket("sid1"), partition_by=["standard"], name="k")
-    ib = dense_index(b, ["sid2"], bucket=sid_bucket("sid2"), partition_by=["standard"], name="k")
-    return ia.join(ib, ["standard", "k"])
+    first = p2.groupBy(F.col(on).alias("standard")).agg(
+        F.min(F.struct(F.col(order).alias("sid2"), F.col(d2).alias("d2"))).alias("_first"))
+    return a.join(first, "standard", "left").select("standard", "sid1", "d1", "_first.sid2", "_first.d2")
 
 
 def copy_generate_mix(gen: DataFrame, copies: DataFrame, key: str = "sid", eps: float = P_FLOOR) -> DataFrame:

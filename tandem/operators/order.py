@@ -75,7 +75,8 @@ def dense_index(
     )
     keys = pnames + bnames
     # rank inside buckets first; the bucket sizes come from the ranked rows
-    # (already partitioned by bucket), so the input is scanned and shuffled once
+    # (already partitioned by bucket), which Spark computes a second time
+    # where the exchange isn't reused
     w_row = Window.partitionBy(*keys).orderBy(*order_cols)
     ranked = keyed.withColumn("_r", F.row_number().over(w_row))
     counts = ranked.groupBy(*keys).agg(F.max("_r").cast("long").alias("_n"))
@@ -137,15 +138,20 @@ def split_half(df: DataFrame, order: Sequence = ("sid",), bucket=None, partition
     ).drop("_i", "_t")
 
 
+def reindex_regions(df: DataFrame, region: str = "region", order: str = "sid", name: str = "sid") -> DataFrame:
+    """All regions of one frame, re-indexed in (region, old order) order from 0."""
+    u = df.withColumnRenamed(order, "_old")
+    ix = dense_index(u, [region, "_old"], bucket=[F.col(region), sid_bucket("_old")], name=name)
+    return ix.drop("_old")
+
+
 def union_regions(*dfs: DataFrame, order: str = "sid", name: str = "sid") -> DataFrame:
     """UNION ALL of frames, re-indexed in (frame, old order) order from 0."""
     parts = [d.withColumn("_part", F.lit(i)) for i, d in enumerate(dfs)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    u = u.withColumnRenamed(order, "_old")
-    ix = dense_index(u, ["_part", "_old"], bucket=[F.col("_part"), sid_bucket("_old")], name=name)
-    return ix.drop("_part", "_old")
+    return reindex_regions(u, "_part", order, name).drop("_part")
 
 
 def cap_per_group(df: DataFrame, group: Sequence, order: Sequence, n: int = 600) -> DataFrame:

@@ -50,14 +50,18 @@ def cohesion_scores(df: DataFrame, tokens, min_frequency: int = MIN_FREQUENCY,
     )
 
 
-def lr_splits(df: DataFrame, tokens, scores: DataFrame, key: str = "sid") -> DataFrame:
+def lr_splits(df: DataFrame, tokens, scores: DataFrame, key: str = "sid", max_len: int = MAX_LEFT_LENGTH) -> DataFrame:
     """For each distinct word longer than 2: the best left part and the rest.
 
     Candidates are prefixes of length 2..len; best = highest (score, length),
     an unscored prefix counts 0, so with no scored prefix the word stays whole.
+    Prefixes over ``max_len`` (the limit of ``scores``) have no score and lose
+    to the whole word, so only the shorter ones and the word itself are made:
+    linear in the length of a word.
     """
     wc = word_counts(df, tokens, key).filter(F.length("word") > 2).select("word")
-    cand = wc.select("word", F.explode(F.sequence(F.lit(2), F.length("word"))).alias("k")).withColumn(
+    cand = wc.select("word", F.explode(F.array_union(
+        F.sequence(F.lit(2), F.least(F.length("word"), F.lit(max_len))), F.array(F.length("word")))).alias("k")).withColumn(
         "prefix", F.substring("word", F.lit(1), F.col("k")))
     sc = scores.select(F.col("word").alias("prefix"), F.col("cohesion").alias("score"))
     j = cand.join(sc, "prefix", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

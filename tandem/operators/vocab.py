@@ -2,7 +2,7 @@
 
 ``vocab(token STRING, id INT, freq BIGINT)`` is a table: it is joined, never
 collected. Token occurrences are exploded with their position, joined on the
-token (broadcast when the vocabulary has a proven bound, otherwise a shuffle
+token (broadcast when the vocabulary passes a check of its size, otherwise a shuffle
 join that AQE may still turn into a broadcast or split when skewed) and put
 back in order with a sorted ``collect_list`` per sentence.
 """
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tandem.functions.common import EOS_ID, SOS_ID, SPECIALS, UNK, UNK_ID, UNKNOWN_TEXT, as_col
 from tandem.operators.order import dense_index, sid_bucket
+from tandem.session import bounded_broadcast
 
-VOCAB_LIMIT = 33_000        # fixed value: default vocabulary cap per side
+VOCAB_LIMIT = 33_000        # fixed value: cap of the frequency vocabulary, where the caller asks for one
 
 
 def specials_table(spark: SparkSession) -> DataFrame:
@@ -60,9 +61,10 @@ def shared_vocab(df: DataFrame, first, second, key: str = "sid", start: int = 4)
     return specials_table(df.sparkSession).unionByName(out)
 
 
-def vocab_by_freq(df: DataFrame, tokens, max_size: int | None = VOCAB_LIMIT, key: str = "sid",
+def vocab_by_freq(df: DataFrame, tokens, max_size: int | None = None, key: str = "sid",
                   min_freq: int = 1) -> DataFrame:
-    """Ids 4.. by frequency desc, token asc; at most ``max_size`` real tokens."""
+    """Ids 4.. by frequency desc, token asc; at most ``max_size`` real tokens
+    (default: all)."""
     counts = token_freq(df, tokens, key).filter(F.col("freq") >= min_freq)
     if max_size is not None:
         # bounded top-k: per-partition heads merged in one small task
@@ -91,7 +93,7 @@ def top_tokens(vocab: DataFrame, k: int = 20) -> DataFrame:
 
 def _lookup(vocab: DataFrame, bound: int | None):
     v = vocab.select("token", "id")
-    return F.broadcast(v) if bound is not None else v
+    return v if bound is None else bounded_broadcast(v, bound)[0]
 
 
 def _regroup(occ: DataFrame, key: str, value: Column, out: str, keep_empty: bool = True) -> DataFrame:

@@ -37,10 +37,6 @@ def r6(c) -> F.Column:
     return F.round(as_col(c).cast("double"), 6)
 
 
-def _vocab_bound():
-    return W.VOCAB_LIMIT + 4
-
-
 # ---------------------------------------------------------------- sources / sinks
 def q_read_utterances(spark, sf):
     p = I.pairs(spark, sf).select(
@@ -177,8 +173,7 @@ def q_head_rows(spark, sf):
 # ---------------------------------------------------------------- set ops / splits
 def q_union_regions(spark, sf):
     p = I.pairs(spark, sf).select("sid", "region")
-    parts = [p.filter(F.col("region") == r) for r in ("de", "en", "es", "fr")]
-    return O.union_regions(*parts)
+    return O.reindex_regions(p)
 
 
 def q_split_ordered(spark, sf):
@@ -230,7 +225,8 @@ def q_vocab_first_seen(spark, sf):
 
 
 def q_vocab_by_freq(spark, sf):
-    return W.vocab_by_freq(I.pairs(spark, sf).select("sid", I.lower_words("standard").alias("w")), "w")
+    return W.vocab_by_freq(I.pairs(spark, sf).select("sid", I.lower_words("standard").alias("w")), "w",
+                           max_size=W.VOCAB_LIMIT)
 
 
 def q_shared_vocab(spark, sf):
@@ -251,9 +247,8 @@ def q_top_tokens(spark, sf):
 
 
 def _encoded(spark, sf, sos=True, eos=True, side="dialect"):
-    v = I.freq_vocab(spark, sf)
     p = I.pairs(spark, sf).select("sid", X.words(side).alias("w"))
-    return W.encode(p, "w", v, sos=sos, eos=eos, vocab_bound=_vocab_bound())
+    return W.encode(p, "w", I.side_vocab(spark, sf, side), sos=sos, eos=eos)
 
 
 def q_encode(spark, sf):
@@ -261,16 +256,13 @@ def q_encode(spark, sf):
 
 
 def q_decode(spark, sf):
-    v = I.freq_vocab(spark, sf)
-    d = W.decode(_encoded(spark, sf), "ids", v, vocab_bound=_vocab_bound())
+    d = W.decode(_encoded(spark, sf), "ids", I.side_vocab(spark, sf, "dialect"))
     return d.select("sid", F.array_join("tokens", " ").alias("text"))
 
 
 def q_encode_pairs(spark, sf):
     p = I.pairs(spark, sf).select("sid", X.words("dialect").alias("s"), X.words("standard").alias("t"))
-    sv = W.vocab_by_freq(p, "s")
-    tv = W.vocab_by_freq(p, "t")
-    e = W.encode_pairs(p, sv, tv, "s", "t", vocab_bound=_vocab_bound())
+    e = W.encode_pairs(p, W.vocab_first_seen(p, "s"), W.vocab_first_seen(p, "t"), "s", "t")
     return e.select("sid", A.ids_text("src_ids").alias("src_ids"), A.ids_text("trg_ids").alias("trg_ids"))
 
 
@@ -281,12 +273,11 @@ def q_join_tokens(spark, sf):
 
 
 def _extended(spark, sf):
-    v = I.freq_vocab(spark, sf)
-    size = W.VOCAB_LIMIT + 4
+    v = cut_lineage(I.side_vocab(spark, sf, "standard"), "vocab")
     n = v.count()
     p = I.pairs(spark, sf).select("sid", X.words("dialect").alias("dw"), X.words("standard").alias("sw"))
-    inp = W.encode_extended(p, "dw", v, n, out="in_ids", vocab_bound=size)
-    outp = W.encode_extended(p, "sw", v, n, input_tokens="dw", out="out_ids", vocab_bound=size)
+    inp = W.encode_extended(p, "dw", v, n, out="in_ids")
+    outp = W.encode_extended(p, "sw", v, n, input_tokens="dw", out="out_ids")
     return p, v, n, inp.join(outp, "sid")
 
 
@@ -298,7 +289,7 @@ def q_encode_extended(spark, sf):
 def q_decode_extended(spark, sf):
     p, v, n, e = _extended(spark, sf)
     j = e.join(p.select("sid", "dw"), "sid")
-    return W.decode_extended(j, "out_ids", v, n, input_tokens="dw", vocab_bound=W.VOCAB_LIMIT + 4)
+    return W.decode_extended(j, "out_ids", v, n, input_tokens="dw")
 
 
 def q_oov_to_unk(spark, sf):
@@ -306,9 +297,8 @@ def q_oov_to_unk(spark, sf):
 
 
 def q_one_hot(spark, sf):
-    oh = A.one_hot(A.oov_to_unk("ids", 7, 0), 8)
-    return _encoded(spark, sf).select(
-        "sid", F.array_join(F.transform(oh, lambda r: F.array_join(r.cast("array<string>"), "")), " ").alias("bits"))
+    """Sparse form: the set bit of every position."""
+    return B.one_hot_cells(_encoded(spark, sf), "ids").select("sid", F.col("pos").cast("long").alias("pos"), "id")
 
 
 def q_trim_at(spark, sf):
@@ -320,8 +310,7 @@ def q_seq_length(spark, sf):
 
 
 def q_truncate_at_special(spark, sf):
-    v = I.freq_vocab(spark, sf)
-    d = W.decode(_encoded(spark, sf), "ids", v, vocab_bound=_vocab_bound())
+    d = W.decode(_encoded(spark, sf), "ids", I.side_vocab(spark, sf, "dialect"))
     return d.select("sid", X.truncate_at_special("tokens", "word").alias("text"))
 
 
@@ -374,8 +363,10 @@ def q_zip_pairs(spark, sf):
 
 def q_pivot_pairs(spark, sf):
     p = I.pairs(spark, sf)
-    pp = L.pivot_pairs(p, p, d1="dialect", d2="dialect2")
-    return pp.select("sid1", "sid2", "k", "d1", "d2")
+    a, b = p.filter(F.col("dialect") != F.col("standard")), p.filter(F.col("dialect2") != F.col("standard"))
+    pp = L.pivot_pairs(a, b, d1="dialect", d2="dialect2")
+    return pp.select("sid1", F.coalesce("sid2", F.lit(-1)).alias("sid2"), "d1", F.coalesce("d2", F.lit("")).alias("d2"),
+                     F.col("sid2").isNotNull().alias("matched"))
 
 
 def q_learn_lexicon(spark, sf):
@@ -385,8 +376,8 @@ def q_learn_lexicon(spark, sf):
 
 def q_align(spark, sf):
     t = I.lexicon(spark, sf)
-    a = L.align(I.bounded(spark, sf), t)
-    return a.select("region", "sid", "t_pos", "s_pos", r6("p").alias("p"))
+    a = L.align(I.segmented(spark, sf), t)
+    return a.select("region", "sid.sid", "sid.seg", "t_pos", "s_pos", r6("p").alias("p"))
 
 
 def q_translate(spark, sf):
@@ -396,14 +387,14 @@ def q_translate(spark, sf):
 
 
 def q_copy_generate_mix(spark, sf):
-    b = I.bounded(spark, sf)
+    b = I.segmented(spark, sf)
     freq = W.token_freq(b, "trg_tokens")
     gen = b.select("sid", F.explode(F.array_distinct("trg_tokens")).alias("token")).join(freq, "token") \
         .select("sid", "token", r6(F.log("freq")).alias("score"))
     copies = b.select("sid", F.posexplode("src_tokens").alias("pos", "token")).withColumn(
         "score", 1.0 / (F.col("pos") + 1))
     m = L.copy_generate_mix(gen, copies)
-    return m.select("sid", "token", r6("logp").alias("logp"))
+    return m.select("sid.sid", "sid.seg", "token", r6("logp").alias("logp"))
 
 
 def _copy_inputs(spark, sf):
@@ -433,10 +424,11 @@ def q_pivot_translate(spark, sf):
 
 
 def q_compose_lexicons(spark, sf):
-    lex1 = I.lexicon(spark, sf, src="dialect", trg="standard")
-    lex2 = I.lexicon(spark, sf, src="standard", trg="dialect2")
-    # the arg-max target of every source token under the full composed distribution
-    return L.best_composed(lex1, lex2)
+    lex1 = I.lexicon(spark, sf, src="dialect", trg="standard", size=I.COMPOSE_SEGMENT)
+    lex2 = I.lexicon(spark, sf, src="standard", trg="dialect2", size=I.COMPOSE_SEGMENT)
+    # one row per source token, over its full composed distribution
+    c = L.composed_summary(lex1, lex2)
+    return c.select("region", "e", "f", r6("p").alias("p"), "targets", r6("sum_p").alias("sum_p"), r6("sum_p2").alias("sum_p2"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -482,13 +474,13 @@ def q_translate_bleu(spark, sf):
 
 def q_nll(spark, sf):
     t = I.lexicon(spark, sf)
-    n = L.nll(I.bounded(spark, sf), t)
+    n = L.nll(I.segmented(spark, sf), t)
     return n.select("region", r6("loss").alias("loss"))
 
 
 def q_perplexity(spark, sf):
     t = I.lexicon(spark, sf)
-    n = L.nll(I.bounded(spark, sf), t)
+    n = L.nll(I.segmented(spark, sf), t)
     ppl, ppl_int = V.perplexity("loss")
     return n.select("region", r6("loss").alias("loss"), r6(ppl).alias("ppl"), ppl_int.alias("ppl_int"))
 
@@ -503,8 +495,7 @@ def q_length_histogram(spark, sf):
 
 
 def q_token_freq(spark, sf):
-    return W.token_freq(I.pairs(spark, sf).select("sid", X.words("standard").alias("w")), "w") \
-        .withColumnRenamed("token", "token")
+    return W.token_freq(I.pairs(spark, sf).select("sid", X.words("standard").alias("w")), "w")
 
 
 # ---------------------------------------------------------------- epochs

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tandem.functions.text import lower_tokens, words
-from tandem.operators.clean import clean_pairs, filter_max_len, orient
-from tandem.operators.lexicon import learn_lexicon
-from tandem.operators.vocab import vocab_by_freq
+from tandem.operators.clean import clean_pairs
+from tandem.operators.lexicon import SEGMENT, learn_lexicon, segments
+from tandem.operators.vocab import vocab_first_seen
+from tandem.session import scratch_path
 from tandem.sources.testdata import line_pairs
 
 # Fixed values for the Latin-script test corpus (it has no Hangul): the
@@ -16,8 +16,11 @@ from tandem.sources.testdata import line_pairs
 LATIN_KEEP = "a-zA-ZÀ-ÿ"
 LATIN_NORMALIZE_KEEP = "a-zA-ZÀ-ÿ "
 LATIN_REJECT = "[0-9]"
-EM_ROUNDS = 2
+EM_ROUNDS = 5
 BATCH_SIZE = 64
+COMPOSE_SEGMENT = 2   # words a side where two lexicons are multiplied: the product grows with the square of a word's partners
+
+_LEXICONS: dict[tuple, str] = {}
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,27 +31,25 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return clean_pairs(pairs(spark, sf), keep=LATIN_KEEP, reject=LATIN_REJECT)
 
 
-def worded(spark: SparkSession, sf: str) -> DataFrame:
-    p = pairs(spark, sf)
-    return p.select("sid", "region", "standard", "dialect", "dialect2",
-                    words("standard").alias("sw"), words("dialect").alias("dw"), words("dialect2").alias("d2w"))
-
-
-def bounded(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard") -> DataFrame:
-    """Length-bounded, non-empty token pairs for the lexical model."""
-    p = orient(pairs(spark, sf).select("sid", "region", F.col(trg).alias("standard"), F.col(src).alias("dialect")))
-    b = filter_max_len(p, 30, "word")
-    return b.select("region", "sid", words("src").alias("src_tokens"), words("trg").alias("trg_tokens")).filter(
-        (F.size("src_tokens") > 0) & (F.size("trg_tokens") > 0))
+def segmented(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard", size: int = SEGMENT) -> DataFrame:
+    """All words of all line pairs, as short segments for the lexical model."""
+    p = pairs(spark, sf).select("region", "sid", words(src).alias("src_tokens"), words(trg).alias("trg_tokens"))
+    return segments(p, size)
 
 
-def lexicon(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard") -> DataFrame:
-    return learn_lexicon(bounded(spark, sf, src, trg), iters=EM_ROUNDS)
+def lexicon(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard", size: int = SEGMENT) -> DataFrame:
+    """The lexicon of the whole corpus: learned once per session and input, kept as a table."""
+    key = (spark.sparkContext.applicationId, sf, src, trg, size)
+    if key not in _LEXICONS:
+        path = scratch_path(spark, "lexicon")
+        learn_lexicon(segmented(spark, sf, src, trg, size), iters=EM_ROUNDS).write.parquet(path)
+        _LEXICONS[key] = path
+    return spark.read.parquet(_LEXICONS[key])
 
 
-def freq_vocab(spark: SparkSession, sf: str, col: str = "standard") -> DataFrame:
-    p = pairs(spark, sf)
-    return vocab_by_freq(p.select("sid", words(col).alias("w")), "w")
+def side_vocab(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    """Every word of one side, numbered as first seen."""
+    return vocab_first_seen(pairs(spark, sf).select("sid", words(side).alias("w")), "w")
 
 
 def lower_words(c):

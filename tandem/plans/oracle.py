@@ -12,6 +12,9 @@ from __future__ import annotations
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 KEEP = "a-zA-ZÀ-ÿ"
+# Words a side of a segment, rounds of learning, and room for a line's segments in a segment's number.
+SEGMENT, EM_ROUNDS, COMPOSE_SEGMENT, SEG = 10, 5, 2, 1048576
+# The characters that clean_text deletes.
 CLEAN_CHARS = "-=+,#/?:^$.@*~&%ㆍ!()[]<>"
 
 
@@ -61,6 +64,11 @@ def first_seen(tok_cte: str) -> str:
 UNION ALL {SPECIALS}"""
 
 
+def seen_vocab(col: str, name: str = "V") -> str:
+    return f"""{name}T AS (SELECT sid AS k, unnest({col}) AS token, unnest(range(len({col}))) AS pos FROM PW),
+{name} AS ({first_seen(name + "T")})"""
+
+
 def freq_vocab(src: str, col: str, name: str = "V", limit: int = 33000) -> str:
     return f"""{name}T AS (SELECT unnest({col}) AS token FROM {src}),
 {name} AS (SELECT token, (row_number() OVER (ORDER BY freq DESC, token) + 3)::INT AS id, freq FROM (
@@ -77,16 +85,21 @@ def encode_cte(src: str, col: str, vocab: str, name: str, sos=True, eos=True) ->
 {name} AS (SELECT {src}.sid, {pre}coalesce({name}G.ids, []::INT[]){post} AS ids FROM {src} LEFT JOIN {name}G USING (sid))"""
 
 
-def em(src: str = "dw", trg: str = "sw", name: str = "T2", rounds: int = 2) -> str:
-    """IBM Model 1 with the empty word, unrolled ``rounds`` times."""
+def em(src: str = "dw", trg: str = "sw", name: str = "T2", rounds: int = EM_ROUNDS, size: int = SEGMENT) -> str:
+    """IBM Model 1 with the empty word, unrolled ``rounds`` times, on segments of at most ``size`` words a side.
+
+    ``sid`` is the line's sid times ``SEG`` plus the segment's number.
+    """
     n = name
-    s = f"""{n}B AS (SELECT region, sid, ['<null>'] || {src} AS s, {trg} AS t FROM PW
-       WHERE len({src}) BETWEEN 1 AND 29 AND len({trg}) BETWEEN 1 AND 29),
+    s = f"""{n}S0 AS (SELECT region, sid, {src} AS a, {trg} AS b, ceil(greatest(len({src}), len({trg})) / {size}.0)::BIGINT AS k FROM PW),
+{n}S1 AS (SELECT *, unnest(range(k)) AS i FROM {n}S0),
+{n}B AS MATERIALIZED (SELECT region, sid * {SEG} + i AS sid, ['<null>'] || a[i * len(a) // k + 1 : (i + 1) * len(a) // k] AS s,
+       b[i * len(b) // k + 1 : (i + 1) * len(b) // k] AS t FROM {n}S1),
 {n}ES AS (SELECT region, sid, l, e, count(*) AS ce FROM
        (SELECT region, sid, len(s) AS l, unnest(s) AS e FROM {n}B) GROUP BY region, sid, l, e),
 {n}FS AS (SELECT region, sid, f, count(*) AS cf FROM
        (SELECT region, sid, unnest(t) AS f FROM {n}B) GROUP BY region, sid, f),
-{n}CE AS (SELECT {n}ES.region, {n}ES.sid, l, e, ce, f, cf FROM {n}ES JOIN {n}FS USING (region, sid)),
+{n}CE AS MATERIALIZED (SELECT {n}ES.region, {n}ES.sid, l, e, ce, f, cf FROM {n}ES JOIN {n}FS USING (region, sid)),
 {n}W1 AS (SELECT *, 1.0::DOUBLE AS tp FROM {n}CE)"""
     for r in range(1, rounds + 1):
         if r > 1:
@@ -96,7 +109,7 @@ def em(src: str = "dw", trg: str = "sw", name: str = "T2", rounds: int = 2) -> s
 {n}D{r} AS (SELECT *, sum(ce * tp) OVER (PARTITION BY region, sid, f) AS dn FROM {n}W{r}),
 {n}R{r} AS (SELECT region, e, f, sum(CASE WHEN dn > 0 THEN cf * ce * tp / dn ELSE 0 END) AS c
        FROM {n}D{r} GROUP BY region, e, f),
-{n}T{r} AS (SELECT region, e, f, c / sum(c) OVER (PARTITION BY region, e) AS p FROM {n}R{r})"""
+{n}T{r} AS MATERIALIZED (SELECT region, e, f, c / sum(c) OVER (PARTITION BY region, e) AS p FROM {n}R{r})"""
     s += f""",
 {n} AS (SELECT * FROM {n}T{rounds})"""
     return s
@@ -203,8 +216,7 @@ UNION ALL SELECT sid, 'syl' AS level FROM PW WHERE length(dialect) < 110 AND len
     q["head_rows"] = w + P + "\nSELECT sid, region, standard FROM P ORDER BY sid LIMIT 100"
     # set ops / splits
     q["union_regions"] = w + P + """
-SELECT row_number() OVER (ORDER BY CASE region WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END, sid) - 1 AS sid,
-       region FROM P WHERE region IN ('de', 'en', 'es', 'fr')"""
+SELECT row_number() OVER (ORDER BY region NULLS FIRST, sid) - 1 AS sid, region FROM P"""
     split = """CI AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS i, count(*) OVER () AS n FROM C)"""
     q["split_ordered"] = w + CLEAN + ",\n" + split + """
 SELECT sid, CASE WHEN i < n * 9 // 10 THEN 'train' WHEN i < n * 95 // 100 THEN 'valid' ELSE 'test' END AS split FROM CI"""
@@ -218,10 +230,10 @@ SELECT sid, len(s) AS n, array_to_string(s, '|') AS toks FROM S"""
     prefix = CLEAN + f""",
 CW AS (SELECT sid, {words('standard')} AS w FROM C),
 WC AS (SELECT token AS word, count(*) AS n FROM (SELECT unnest(w) AS token FROM CW) GROUP BY token),
-PC AS (SELECT substring(word, 1, k) AS prefix, sum(n)::BIGINT AS cnt FROM (
+PC AS MATERIALIZED (SELECT substring(word, 1, k) AS prefix, sum(n)::BIGINT AS cnt FROM (
         SELECT word, n, unnest(range(1, least(length(word), 10) + 1)) AS k FROM WC) GROUP BY prefix),
 CO AS (SELECT p.prefix AS word, pow(p.cnt / f.cnt, 1.0 / (length(p.prefix) - 1)) AS cohesion
-       FROM PC p JOIN PC f ON f.prefix = substring(p.prefix, 1, 1)
+       FROM PC p JOIN (SELECT * FROM PC WHERE length(prefix) = 1) f ON f.prefix = substring(p.prefix, 1, 1)
        WHERE length(p.prefix) >= 2 AND p.cnt >= 5)"""
     q["prefix_counts"] = w + prefix + "\nSELECT prefix, cnt FROM PC"
     q["cohesion_scores"] = w + prefix + "\nSELECT word, round(cohesion, 6) AS cohesion FROM CO"
@@ -255,7 +267,7 @@ UNION ALL SELECT 'dialect' AS side, (count(DISTINCT t) + 4) AS vocab_size FROM (
     q["top_tokens"] = w + PW + """,
 LW AS (SELECT sid, list_transform(sw, lambda t: lower(t)) AS lw FROM PW),
 """ + freq_vocab("LW", "lw") + "\nSELECT token, freq FROM V WHERE id >= 4 ORDER BY freq DESC, token LIMIT 20"
-    enc = w + PW + ",\n" + freq_vocab("PW", "sw") + ",\n" + encode_cte("PW", "dw", "V", "EN")
+    enc = w + PW + ",\n" + seen_vocab("dw") + ",\n" + encode_cte("PW", "dw", "V", "EN")
     q["encode"] = enc + f"\nSELECT sid, {ids_text('ids')} AS ids FROM EN"
     dec = enc + """,
 DX AS (SELECT sid, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM EN),
@@ -266,13 +278,13 @@ DEC AS (SELECT sid, list(token ORDER BY pos) AS tokens FROM DJ GROUP BY sid)"""
 TJ AS (SELECT sid, array_to_string(tokens[2:], ' ') AS j FROM DEC)
 SELECT sid, CASE WHEN strpos(j, '<') > 0
   THEN regexp_replace(substring(j, 1, strpos(j, '<') - 1), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') ELSE j END AS text FROM TJ"""
-    q["encode_pairs"] = w + PW + ",\n" + freq_vocab("PW", "dw", "SV") + ",\n" + freq_vocab("PW", "sw", "TV") + ",\n" \
+    q["encode_pairs"] = w + PW + ",\n" + seen_vocab("dw", "SV") + ",\n" + seen_vocab("sw", "TV") + ",\n" \
         + encode_cte("PW", "dw", "SV", "ES") + ",\n" + encode_cte("PW", "sw", "TV", "ET") + f"""
 SELECT ES.sid, {ids_text('ES.ids')} AS src_ids, {ids_text('ET.ids')} AS trg_ids FROM ES JOIN ET USING (sid)"""
     q["join_tokens"] = w + PW + """
 SELECT sid, array_to_string(list_filter(string_split(standard, ''), lambda t: t <> ''), '') AS syl_text,
        array_to_string(sw, ' ') AS word_text FROM PW"""
-    ext = w + PW + ",\n" + freq_vocab("PW", "sw") + """,
+    ext = w + PW + ",\n" + seen_vocab("sw") + """,
 VN AS (SELECT count(*) AS n FROM V),
 IX AS (SELECT sid, unnest(dw) AS token, unnest(range(len(dw))) AS pos FROM PW),
 IJ AS (SELECT IX.sid, pos, coalesce(V.id, (SELECT n FROM VN) + pos)::INT AS id FROM IX LEFT JOIN V USING (token)),
@@ -292,9 +304,7 @@ HJ AS (SELECT HX.sid, pos, CASE WHEN HX.id < (SELECT n FROM VN) THEN coalesce(V.
 HG AS (SELECT sid, string_agg(w, ' ' ORDER BY pos) AS text FROM HJ GROUP BY sid)
 SELECT EXT.sid, coalesce(HG.text, '') AS text FROM EXT LEFT JOIN HG USING (sid)"""
     q["oov_to_unk"] = enc + "\nSELECT sid, array_to_string(list_transform(ids, lambda x: CASE WHEN x > 1000 THEN 0 ELSE x END), ',') AS ids FROM EN"
-    q["one_hot"] = enc + """
-SELECT sid, array_to_string(list_transform(list_transform(ids, lambda x: CASE WHEN x > 7 THEN 0 ELSE x END),
-    lambda x: array_to_string(list_transform(range(8), lambda j: (j = x)::INT), '')), ' ') AS bits FROM EN"""
+    q["one_hot"] = enc + "\nSELECT sid, unnest(range(len(ids))) AS pos, unnest(ids) AS id FROM EN"
     q["trim_at"] = enc + """
 SELECT sid, array_to_string(CASE WHEN list_position(ids, 5) IS NOT NULL THEN ids[1 : list_position(ids, 5)] ELSE ids END, ',') AS ids FROM EN"""
     q["seq_length"] = enc + "\nSELECT sid, coalesce(list_position(ids, 5), len(ids))::INT AS n FROM EN"
@@ -308,7 +318,7 @@ ORDER BY value DESC, vec_id, col LIMIT 10"""
 BI AS (SELECT sid, len(sw) AS l, (row_number() OVER (ORDER BY len(sw), sid) - 1) // 64 AS batch FROM PW),
 BB AS (SELECT sid, batch, row_number() OVER (PARTITION BY batch ORDER BY l DESC, sid) AS rank_in_batch FROM BI)"""
     q["bucket_batches"] = batch + "\nSELECT sid, batch, rank_in_batch FROM BB"
-    pad = batch + ",\n" + freq_vocab("PW", "sw") + ",\n" + encode_cte("PW", "sw", "V", "EN") + """,
+    pad = batch + ",\n" + seen_vocab("sw") + ",\n" + encode_cte("PW", "sw", "V", "EN") + """,
 PD AS (SELECT BB.sid, batch, ids, max(len(ids)) OVER (PARTITION BY batch) AS m FROM BB JOIN EN USING (sid)),
 PA AS (SELECT sid, batch, ids || list_transform(range(m - len(ids)), lambda x: 1) AS ids FROM PD)"""
     q["pad_batch"] = pad + "\nSELECT sid, batch, array_to_string(ids, ',') AS ids FROM PA"
@@ -321,9 +331,9 @@ ZA AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS idx FROM P WHERE dial
 ZB AS (SELECT sid AS b_sid, row_number() OVER (ORDER BY sid) - 1 AS idx FROM P WHERE dialect2 <> standard)
 SELECT idx, sid, b_sid FROM ZA JOIN ZB USING (idx)"""
     q["pivot_pairs"] = w + P + """,
-PA AS (SELECT standard, sid AS sid1, dialect AS d1, row_number() OVER (PARTITION BY standard ORDER BY sid) - 1 AS k FROM P),
-PB AS (SELECT standard, sid AS sid2, dialect2 AS d2, row_number() OVER (PARTITION BY standard ORDER BY sid) - 1 AS k FROM P)
-SELECT sid1, sid2, k, d1, d2 FROM PA JOIN PB USING (standard, k)"""
+PB AS (SELECT standard, min(sid) AS sid2, arg_min(dialect2, sid) AS d2 FROM P WHERE dialect2 <> standard GROUP BY standard)
+SELECT sid AS sid1, coalesce(sid2, -1) AS sid2, dialect AS d1, coalesce(d2, '') AS d2, sid2 IS NOT NULL AS matched
+FROM P LEFT JOIN PB USING (standard) WHERE dialect <> standard"""
     lex = _lexicon_pw()
     q["learn_lexicon"] = lex + "\nSELECT region, e, f, round(p, 6) AS p FROM T2"
     q["align"] = lex + """,
@@ -331,7 +341,7 @@ AX AS (SELECT region, sid, e, s_pos, t FROM (SELECT region, sid, t, unnest(s[2:]
 AY AS (SELECT region, sid, e, s_pos, unnest(t) AS f, unnest(range(len(t))) AS t_pos FROM AX),
 AJ AS (SELECT AY.region, sid, t_pos, s_pos, coalesce(T2.p, 0) AS p FROM AY LEFT JOIN T2 USING (region, e, f)),
 AZ AS (SELECT *, sum(p) OVER (PARTITION BY region, sid, t_pos) AS z FROM AJ)
-SELECT region, sid, t_pos, s_pos, round(CASE WHEN z > 0 THEN p / z ELSE 0 END, 6) AS p FROM AZ"""
+SELECT region, sid // {SEG} AS sid, sid % {SEG} AS seg, t_pos, s_pos, round(CASE WHEN z > 0 THEN p / z ELSE 0 END, 6) AS p FROM AZ"""
     tr = lex + ",\n" + best("T2", "BT") + ",\n" + translate_cte("PW", "dw", "BT", "TR")
     q["translate"] = tr + "\nSELECT region, sid, inference FROM TR"
     q["write_inference_log"] = tr + """
@@ -352,7 +362,7 @@ AL AS (SELECT sid, token, score FROM GEN UNION ALL SELECT sid, token, score FROM
 EX AS (SELECT sid, token, exp(score - max(score) OVER (PARTITION BY sid)) AS x FROM AL),
 PR AS (SELECT sid, token, x / sum(x) OVER (PARTITION BY sid) AS prob FROM EX),
 PT AS (SELECT sid, token, ln(sum(prob) + 1e-10) AS logp FROM PR GROUP BY sid, token)
-SELECT sid, token, round(logp, 6) AS logp FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(logp, 6) DESC, token) AS rn FROM PT) WHERE rn = 1"""
+SELECT sid // {SEG} AS sid, sid % {SEG} AS seg, token, round(logp, 6) AS logp FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(logp, 6) DESC, token) AS rn FROM PT) WHERE rn = 1"""
     q["selective_read"] = """WITH E AS (SELECT label AS key, vec_id AS pos,
     CASE WHEN embedding[1] >= 0 THEN 'pos' ELSE 'neg' END AS token, embedding[2]::DOUBLE AS score, embedding FROM embeddings),
 CH AS (SELECT key, token FROM (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY sum(score) DESC, token) AS rn
@@ -369,10 +379,12 @@ MC AS (SELECT region, sid, CASE WHEN strpos(inference, '<') > 0 THEN regexp_repl
 MW AS (SELECT region, sid, middle, {words('middle')} AS mw FROM MC),
 """ + translate_cte("MW", "mw", "B2", "M2") + """
 SELECT MW.region, MW.sid, MW.middle, M2.inference FROM MW JOIN M2 USING (region, sid)"""
-    q["compose_lexicons"] = two + """,
-CP AS (SELECT a.region, a.e, b.f, round(sum(a.p * b.p), 6) AS p FROM L1 a JOIN L2 b ON a.region = b.region AND a.f = b.e
+    small = "WITH " + PW + ",\n" + em("dw", "sw", "L1", size=COMPOSE_SEGMENT) + ",\n" + em("sw", "d2w", "L2", size=COMPOSE_SEGMENT)
+    q["compose_lexicons"] = small + """,
+CP AS (SELECT a.region, a.e, b.f, sum(a.p * b.p) AS p FROM L1 a JOIN L2 b ON a.region = b.region AND a.f = b.e
        GROUP BY a.region, a.e, b.f)
-SELECT region, e, f, p FROM (SELECT *, row_number() OVER (PARTITION BY region, e ORDER BY p DESC, f) AS rn FROM CP) WHERE rn = 1"""
+SELECT region, e, arg_min(f, (-round(p, 6), f)) AS f, max(round(p, 6)) AS p, count(*) AS targets,
+  round(sum(p), 6) AS sum_p, round(sum(p * p), 6) AS sum_p2 FROM CP GROUP BY region, e"""
     nll = lex + """,
 NJ AS (SELECT T2CE.region, sid, l, f, cf, ce * coalesce(T2.p, 0) AS v FROM T2CE LEFT JOIN T2 USING (region, e, f)),
 NF AS (SELECT region, sid, f, sum(v) / any_value(l) AS pf, any_value(cf) AS cf FROM NJ GROUP BY region, sid, f),
@@ -423,7 +435,7 @@ FROM (SELECT run, epoch, min(CASE WHEN floor(exp(valid_loss)) > 20000 OR streak_
     q["elapsed"] = w + EPOCHS + """,
 US AS (SELECT run, epoch, datediff('microsecond', start_ts, end_ts) AS us FROM EL)
 SELECT run, epoch, (us // 60000000)::BIGINT AS elapsed_mins, ((us - (us // 60000000) * 60000000) // 1000000)::BIGINT AS elapsed_secs FROM US"""
-    return q
+    return {k: v.replace("{SEG}", str(SEG)) for k, v in q.items()}
 
 
 ORACLE = build()

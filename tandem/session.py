@@ -71,9 +71,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows, so it is cheap on a
-    materialised (checkpointed) table. Beyond the bound the plain DataFrame is
-    returned and Spark picks a shuffle join (AQE may still convert it at run
-    time from real sizes).
+    materialised (checkpointed) table. Beyond the bound the join is pinned to
+    sort-merge, which spills and whose skewed partitions AQE splits.
     """
     from pyspark.sql import functions as F
 
@@ -82,7 +81,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
         return F.broadcast(df), True
     # too large to ship to every executor: keep the planner from broadcasting
     # it on a (possibly stale) size estimate
-    return df.hint("shuffle_hash"), False
+    return df.hint("merge"), False
 
 
 def spread(df: DataFrame, *cols) -> DataFrame:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandem.functions.text import words
-from tandem.operators.lexicon import (align, compose_lexicons, learn_lexicon, nll, pivot_pairs, sentence_nll,
-                                      translate, zip_pairs)
+from tandem.operators.lexicon import (align, compose_lexicons, learn_lexicon, nll, pivot_pairs, segments,
+                                      sentence_nll, translate, zip_pairs)
 
 
 def _pairs(spark, rows):
@@ -58,11 +58,11 @@ def test_compose_is_a_distribution(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in c.groupBy("e").agg(F.sum("p").alias("s")).collect())
 
 
-def test_pivot_and_zip_pair_by_occurrence(spark):
+def test_pivot_and_zip(spark):
     a = spark.createDataFrame([("s", 1, "d1"), ("s", 5, "d2"), ("u", 2, "d3")], "standard string, sid long, dialect string")
     b = spark.createDataFrame([("s", 3, "e1"), ("s", 4, "e2"), ("s", 9, "e3")], "standard string, sid long, dialect string")
-    out = sorted((r.sid1, r.sid2, r.k) for r in pivot_pairs(a, b).collect())
-    assert out == [(1, 3, 0), (5, 4, 1)]
+    out = sorted((r.sid1, r.sid2, r.d2) for r in pivot_pairs(a, b).collect())
+    assert out == [(1, 3, "e1"), (2, None, None), (5, 3, "e1")]
     z = sorted((r.idx, r.sid, r.b_sid) for r in zip_pairs(a.select("sid"), b.select("sid")).collect())
     assert z == [(0, 1, 3), (1, 2, 4), (2, 5, 9)]
 
@@ -76,3 +76,26 @@ def test_nll_by_batch(spark):
     per = {r.sid: r.nll for r in sentence_nll(p, t, null=False).collect()}
     assert by_s == pytest.approx((per[0] + per[1]) / 2)
     assert by_b == pytest.approx((per[0] * 2 + per[1] * 1) / 3)
+
+
+def test_segments_lose_no_word(spark):
+    rows = [("", ""), ("a b c", ""), ("", "x"), (" ".join(f"s{i}" for i in range(47)), " ".join(f"t{i}" for i in range(23))),
+            (" ".join(f"u{i}" for i in range(31)), " ".join(f"v{i}" for i in range(31)))]
+    p = _pairs(spark, rows)
+    out = sorted(segments(p, 10).collect(), key=lambda r: (r.sid.sid, r.sid.seg))
+    for i, (s, t) in enumerate(rows):
+        mine = [r for r in out if r.sid.sid == i]
+        assert [w for r in mine for w in r.src_tokens] == s.split() and [w for r in mine for w in r.trg_tokens] == t.split()
+        assert all(len(r.src_tokens) <= 10 and len(r.trg_tokens) <= 10 for r in mine)
+    assert all(a[1:] == b[1:] for r in out if r.sid.sid == 4 for a, b in zip(r.src_tokens, r.trg_tokens, strict=True))
+
+
+def test_rounds_deal_no_cells_by_sentence_while_the_table_is_broadcast(spark):
+    from tandem.operators.lexicon import cooccurrence, em_round
+    from tandem.session import cut_lineage
+
+    p = _pairs(spark, [("a b", "x y"), ("a", "x")])
+    t = cut_lineage(learn_lexicon(p, iters=1))
+    plan = em_round(cooccurrence(p), t)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(region" in line]
+    assert not any("sid#" in line and "f#" in line.split("hashpartitioning")[1] for line in dealt), plan
