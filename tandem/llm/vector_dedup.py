@@ -41,14 +41,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import prepare, smallest_reachable
+from tandem.llm.common import broadcast_if, prepare, smallest_reachable
 from tandem.llm.permutation_index import matrix
 from tandem.session import cut_lineage
 
 THRESHOLD, OVERLAP = 0.93, 2
 CLUSTER, SHARD, SAMPLE, MAX_CLUSTERS = 4000, 12000, 4096, 256
 CANDIDATES, DEGREE, ALPHA, BEAM, ENTRIES = 48, 24, 1.2, 32, 4
-AUDIT, RECALL, EFFORTS, BLOCK = 256, 0.999, (1, 2, 4), 2048
+AUDIT, RECALL, EFFORTS, BLOCK, LARGE = 256, 0.999, (1, 2, 4), 2048, 1_000_000
 
 
 def prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -278,8 +278,11 @@ def _links(visits: DataFrame, threshold: float, effort: int) -> DataFrame:
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, n): the weight of the others of its component that each node links with; ``members``: node, root, v, weight."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # components of one block need no look-up; the others are few (rows / BLOCK at most), so no member is dealt by its root alone
+    members = cut_lineage(members, "members")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    own = members.join(broadcast_if(sizes, LARGE), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = own.select("root", "node", "v", "weight", "own", other)
     sides = rows.select("root", F.col("own").alias("i"), F.col("other").alias("j"), "node", "v", "weight", F.lit(True).alias("asks")).union(
