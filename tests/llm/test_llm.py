@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
@@ -161,6 +162,34 @@ def test_permutation_index(spark):
     assert permutation_index.search(df.limit(0), df, 5).count() == 0
 
 
+def test_permutation_index_with_a_hot_vector(spark):
+    """Several full blocks, a third of all rows copies of one vector: copies are answered by smallest id."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(24000, 16))
+    x[::3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    asked = [0, 3, 30, 12000, 23997] + list(range(1, 24000, 600))
+    queries = df.where(F.col("vec_id").isin(asked))
+    found = permutation_index.search(df, queries, 20)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in asked[:5]:
+        s = x @ x[0]
+        want = [j for j in np.lexsort((np.arange(len(x)), -np.round(s, 9))) if j != q][:20]
+        assert got[q] == want
+    assert permutation_index.audit_recall(df, found, queries, 20) >= 0.9
+
+
+def test_permutation_index_ids_with_several_vectors(spark):
+    """An id whose many vectors are all near takes one place, and the smaller ids of copies come first."""
+    rows = [(7, [1.0, 0.001 * i]) for i in range(60)] + [(100 + i, [0.5, 0.0]) for i in range(30)] + [(1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = permutation_index.search(df, df.where("vec_id = 1"), 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [7, 100, 101, 102, 103]
+
+
 def test_byte_bpe(docs):
     import public_tokenizers as P
     import tiktoken
