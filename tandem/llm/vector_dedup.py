@@ -19,9 +19,11 @@ Vectors link when their labels are equal and their cosine is at least
    leave a shard as a spanning forest only, which joins them to components. The
    links of a vector are then counted inside its component, exactly, by blocks
    of ``BLOCK`` x ``BLOCK``: in a dense group every vector gets all its links.
-   The recall of a sample is measured against brute force, and while it is
-   below ``RECALL`` the search runs again with twice the overlap, candidates,
-   degree and beam (the factors in ``EFFORTS``).
+   The recall of a sample is measured against brute force, node by node, and
+   while it is below ``RECALL`` the search runs again with twice the overlap,
+   candidates, degree and beam (the factors in ``EFFORTS``). Nodes with over
+   ``DENSE`` links are judged apart, so that they can't speak for the others.
+   When the last effort falls short too, any two blocks of a label meet.
 
 Copies of a vector are one node, with their number as its weight.
 
@@ -48,7 +50,7 @@ from tandem.session import cut_lineage
 THRESHOLD, OVERLAP = 0.93, 2
 CLUSTER, SHARD, SAMPLE, MAX_CLUSTERS = 4000, 12000, 4096, 256
 CANDIDATES, DEGREE, ALPHA, BEAM, ENTRIES = 48, 24, 1.2, 32, 4
-AUDIT, RECALL, EFFORTS, BLOCK, LARGE = 256, 0.999, (1, 2, 4), 2048, 1_000_000
+AUDIT, DENSE, RECALL, EFFORTS, BLOCK, LARGE = 4096, 64, 0.999, (1, 2, 4), 2048, 1_000_000
 
 
 def prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -297,25 +299,71 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
     return sides.groupBy("root", "i", "j").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _trees(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, place) that join what ``hit`` joins; places: the rows, then the columns."""
+    n, a, b = len(hit), [], []
+    row_left, col_left = np.ones(n, bool), np.ones(hit.shape[1], bool)
+    for s in range(n):
+        front = np.array([s]) if row_left[s] else np.zeros(0, np.int64)
+        row_left[front] = False
+        while len(front):
+            cols = np.flatnonzero(hit[front].any(0) & col_left)
+            col_left[cols] = False
+            front = np.flatnonzero(hit[:, cols].any(1) & row_left)
+            row_left[front] = False
+            b += [n + cols, front]
+            a.append(np.full(len(cols) + len(front), s))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a forest of the links of any two blocks of a label, exactly; the cost is the square of a label's size."""
+    kind = F.concat(F.size("v").cast("string"), F.lit(":"), "label").alias("kind")
+    rows = cut_lineage(nodes.select(kind, "node", "v"), "kinds")
+    sizes = rows.groupBy("kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(broadcast_if(sizes, LARGE), "kind").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    later = F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j")
+    earlier = F.explode(F.sequence(F.lit(0), "own")).alias("i")
+    sides = own.select("kind", F.col("own").alias("i"), later, "node", "v", F.lit(True).alias("asks")).union(
+        own.select("kind", earlier, F.col("own").alias("j"), "node", "v", F.lit(False)))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, x, node = pdf["asks"].to_numpy(bool), _unit(matrix(pdf["v"])), pdf["node"].to_numpy(np.int64)
+        node = np.concatenate((node[asks], node[~asks]))
+        a, b = _trees(x[asks] @ x[~asks].T >= threshold)
+        return pd.DataFrame({"a": node[a], "b": node[b]}, dtype="int64")
+
+    return sides.groupBy("kind", "i", "j").applyInPandas(link, "a long, b long")
+
+
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of at most ``sample`` nodes (smallest hashes) that ``counts`` holds, against brute force over all nodes."""
+    """Mean share of its links that ``counts`` holds, over those of ``sample`` nodes (smallest hashes) that have links by brute force.
+
+    Nodes of over ``DENSE`` links and the others have a mean each; the lower one counts.
+    """
     asked = nodes.orderBy("node").limit(sample).join(counts, "node", "left").select("node", "label", "v", F.coalesce("n", F.lit(0)).alias("n")).collect()
     if not asked:
         return 1.0
-    sent = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["label"], np.array(r["v"])) for r in asked])
+    by: dict[tuple, list] = {}
+    for r in asked:
+        by.setdefault((r["label"], len(r["v"])), []).append(r)
+    sent = nodes.sparkSession.sparkContext.broadcast(
+        {k: (np.array([r["node"] for r in v], np.int64), _unit(matrix([r["v"] for r in v]))) for k, v in by.items()})
 
     def run(it):
         for pdf in it:
-            x = [np.asarray(v) for v in pdf["v"]]
-            for node, label, q in sent.value:
-                ok = np.flatnonzero((pdf["label"] == label).to_numpy() & (pdf["node"] != node).to_numpy())
-                ok = [i for i in ok if len(x[i]) == len(q)]
-                if ok:
-                    hit = _unit(matrix([x[i] for i in ok])) @ (q / np.linalg.norm(q)) >= threshold
-                    yield pd.DataFrame({"n": [int(pdf["weight"].to_numpy()[ok][hit].sum())]})
+            for (name, dim), part in pdf.groupby([pdf["label"], pdf["v"].map(len)], sort=False):
+                if (name, dim) in sent.value:
+                    node, q = sent.value[name, dim]
+                    hit = (q @ _unit(matrix(part["v"])).T >= threshold) & (node[:, None] != part["node"].to_numpy(np.int64)[None, :])
+                    n = hit @ part["weight"].to_numpy(np.int64)
+                    yield pd.DataFrame({"node": node[n > 0], "n": n[n > 0]})
 
-    true = nodes.select("node", "label", "v", "weight").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
-    return min(1.0, sum(r["n"] for r in asked) / true) if true else 1.0
+    true = {r["node"]: r["n"] for r in nodes.select("node", "label", "v", "weight").mapInPandas(run, "node long, n long").groupBy(
+        "node").agg(F.sum("n").alias("n")).collect()}  # sample rows at most
+    shares = [(true[r["node"]] > DENSE, min(1.0, r["n"] / true[r["node"]])) for r in asked if r["node"] in true]
+    return min((float(np.mean([x for d, x in shares if d == dense])) for dense in {d for d, _ in shares}), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, key: str = "vec_id",
@@ -328,11 +376,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
         F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.min("label").alias("label"), F.min("v").alias("v")).select(
         F.col("same").alias("node"), "label", "v", "weight", "first"), "nodes")
     centroids = _centroids(nodes)
-    for effort in EFFORTS:
-        links = _links(cut_lineage(_visits(nodes, centroids, overlap * effort), "shards"), threshold, effort)
+    for effort in (*EFFORTS, None):
+        links = _all_links(nodes, threshold) if effort is None else _links(
+            cut_lineage(_visits(nodes, centroids, overlap * effort), "shards"), threshold, effort)
         roots = smallest_reachable(links, name="vectors").select("node", "root")
         counts = cut_lineage(_counts(nodes.select("node", "v", "weight").join(roots, "node"), threshold), "counts")
-        if audit(nodes, counts, threshold) >= RECALL:
+        if effort is None or audit(nodes, counts, threshold) >= RECALL:
             break
     named = nodes.join(roots, "node", "left").select("node", "first", "weight", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component"))

@@ -149,6 +149,35 @@ def test_vectors_in_overlapping_shards(spark, monkeypatch):
     assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values())
 
 
+def _hot_and_sparse(n, dim=32, seed=6):
+    """A third of ``n`` rows nearly one vector, the others in pairs."""
+    rng = np.random.default_rng(seed)
+    hot, base = rng.normal(size=dim), rng.normal(size=(n // 3, dim))
+    near = lambda v: (v + 0.03 * rng.normal(size=dim)).tolist()
+    return [(i, 0, near(hot) if i % 3 == 0 else near(base[i // 3])) for i in range(n)]
+
+
+def test_vector_audit_sees_lost_sparse_links(spark):
+    """All links of the pairs are lost, those of the hot group are there: the audit must not pass."""
+    rows = _hot_and_sparse(9000)
+    df = spark.createDataFrame(rows, "node long, label string, v array<double>").withColumn("weight", F.lit(1).cast("long"))
+    counts = spark.createDataFrame([(i, 2999) for i in range(0, 9000, 3)], "node long, n long")
+    assert vector_dedup.audit(df, counts, 0.93) < vector_dedup.RECALL
+    whole = counts.union(spark.createDataFrame([(i, 1) for i in range(9000) if i % 3], "node long, n long"))
+    assert vector_dedup.audit(df, whole, 0.93) == 1.0
+
+
+def test_vectors_when_every_search_falls_short(spark, monkeypatch):
+    """A search that finds nothing at all ends in whole links, across blocks, labels and dimensions."""
+    rows = _hot_and_sparse(900) + [(1000 + i, 1, v) for i, _, v in _hot_and_sparse(30, seed=9)] + [(2000 + i, 1, [1.0, i / 9]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(vector_dedup, "BLOCK", 200)
+    monkeypatch.setattr(vector_dedup, "EFFORTS", (1,))
+    monkeypatch.setattr(vector_dedup, "_links", lambda visits, *_: visits.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df).collect()}
+    assert got == brute.vector_links(rows)
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(7)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 24)))]
