@@ -91,7 +91,31 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.warc import read_archives, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tandem.llm.vector_codes import books_sha256, learn, with_label_error
+
+    coded, books = learn(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return with_label_error(coded).select("vec_id", code.alias("code"), "error", "label_error",
+                                          F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_line_dedup, op3_vector_dedup, op4_substring_dedup, op5_byte_bpe, op6_toxicity, op7_token_counts,
-    op8_permutation_index, op9_simhash, op10_token_orc)}
+    op8_permutation_index, op9_simhash, op10_token_orc, op11_warc, op12_spelling,
+    op13_vector_codes)}
 ORACLE: dict[str, str] = {}

@@ -152,3 +152,84 @@ def nearest(rows, queries, k):
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
         out[q] = [(int(ids[j]), float(s[j])) for j in order]
     return out
+
+
+def warc(pages):
+    """{(page_id, digest): (payload_bytes, record_type, refers_to)} of (page_id, html) rows."""
+    import base64
+
+    kept = {}
+    for p, html in pages:
+        body = (html or "").encode()
+        if body not in kept or kept[body] is None or (p is not None and p > kept[body]):
+            kept[body] = p
+    out = []
+    for p, html in pages:
+        body = (html or "").encode()
+        same = p == kept[body]
+        out.append((p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if same else "revisit",
+                    None if same else kept[body]))
+    return out
+
+
+def _one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(docs, min_length=5, min_count=3):
+    """{word: (form, root, n, n_near, form_n)}."""
+    counts = defaultdict(int)
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                i = h % len(run)
+                run = run[:i] + run[i + 1 :]
+            if len(run) >= min_length:
+                counts[run] += 1
+    n = {w: c for w, c in counts.items() if c >= min_count}
+    near = {w: [v for v in n if _one_edit(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None)
+    return out
+
+
+def vector_codes(rows, parts=4, entries=256, rounds=4):
+    """([(vec_id, code, error, label_error)], codebooks) of (vec_id, label, vector) rows, in Python integers."""
+    import math
+
+    good = [(i, lab, [math.floor(1024 * x) for x in v]) for i, lab, v in rows
+            if v and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted(good, key=lambda r: (r[0] is None, r[0] or 0, r[2]))[:entries]
+    w = len(good[0][2]) // parts
+    books = [[r[2][p * w : (p + 1) * w] for r in first] for p in range(parts)]
+
+    def best(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), k) for k, c in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            held = defaultdict(list)
+            for r in good:
+                x = r[2][p * w : (p + 1) * w]
+                held[best(x, books[p])[1]].append(x)
+            books[p] = [[sum(c) // len(held[k]) for c in zip(*held[k], strict=True)] if held[k] else e for k, e in enumerate(books[p])]
+    coded = [(r[0], r[1], [best(r[2][p * w : (p + 1) * w], books[p]) for p in range(parts)]) for r in good]
+    total = defaultdict(int)
+    for _, lab, b in coded:
+        total[lab] += sum(d for d, _ in b)
+    return [(i, "".join(f"{k:02x}" for _, k in b), sum(d for d, _ in b), total[lab]) for i, lab, b in coded], books
