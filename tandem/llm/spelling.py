@@ -247,13 +247,9 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", min_le
     return found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
-def _common_prefix(low: str, high: str) -> str:
-    return os.path.commonprefix((low, high))
-
-
 def partitions(words: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(bin, prefix, rest, role, deep, word, n)``: the words of each initial state, at heavy prefixes once in either role."""
-    shared = F.udf(_common_prefix, "string")  # of heavy prefixes alone: at most words / limit of them a level
+    shared = F.udf(lambda low, high: os.path.commonprefix((low, high)), "string")  # of heavy prefixes alone: at most words / limit of them a level
 
     def grown(groups: DataFrame) -> DataFrame:
         return groups.where(F.col("count") > limit).select("child", shared("low", "high").alias("next"))
@@ -306,7 +302,8 @@ def near_counts(words: DataFrame, limit: int = LIMIT) -> DataFrame:
         a, b = a[order], b[order]
         word, at, near = np.unique(a, return_index=True, return_counts=True)
         text = [p + r for p, r in zip(prefix, rests, strict=True)]
-        return pd.DataFrame({"word": [text[k] for k in word], "n_near": near, "minus": -n[b[at]], "best": [text[k] for k in b[at]]})
+        text = np.array([*text, None], object)  # an object column whatever it holds
+        return pd.DataFrame({"word": text[word], "n_near": near, "minus": -n[b[at]], "best": text[b[at]]}).astype({"word": object, "best": object})
 
     found = partitions(words, limit).groupBy("bin").applyInPandas(run, "word string, n_near long, minus long, best string")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct(F.col("minus").alias("minus"), F.col("best").alias("word"))).alias("best"))
