@@ -13,17 +13,18 @@ Vectors link when their labels are equal and their cosine is at least
    factor ``ALPHA``). The adjacency lists of all shards are united, and read in
    both directions.
 3. *Search.* Every visitor runs a greedy beam search over the united lists,
-   all at once in numpy, from the shard's medoid; what lies in range is then
-   expanded through its neighbours until nothing new is in range.
+   all at once in numpy, from the shard's medoid and from the visitor's own list (a
+   dense group's lists name its members alone, so the medoid need not reach the others);
+   what lies in range is then expanded through its neighbours until nothing new is in range.
 4. *Verify, audit.* Hits are checked by the cosine in double precision and
    leave a shard as a spanning forest only, which joins them to components. The
    links of a vector are then counted inside its component, exactly, by blocks
    of ``BLOCK`` x ``BLOCK``: in a dense group every vector gets all its links.
    The recall of a sample is measured against brute force, node by node, and
-   while it is below ``RECALL`` the search runs again with twice the overlap,
-   candidates, degree and beam (the factors in ``EFFORTS``). Nodes with over
-   ``DENSE`` links are judged apart, so that they can't speak for the others.
-   When the last effort falls short too, any two blocks of a label meet.
+   while it is below ``RECALL`` each vector visits further shards (``OVERLAPS``), whose
+   links join those already found. Nodes with over ``DENSE`` links are judged apart, so
+   that they can't speak for the others. When the last overlap falls short too, or all
+   vectors of a label share one shard already, any two blocks of a label meet.
 
 Copies of a vector are one node, with their number as its weight.
 
@@ -40,17 +41,17 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.llm.common import broadcast_if, prepare, smallest_reachable
 from tandem.llm.permutation_index import matrix
 from tandem.session import cut_lineage
 
-THRESHOLD, OVERLAP = 0.93, 2
+THRESHOLD, OVERLAPS = 0.93, (2, 4, 8)
 CLUSTER, SHARD, SAMPLE, MAX_CLUSTERS = 4000, 12000, 4096, 256
 CANDIDATES, DEGREE, ALPHA, BEAM, ENTRIES = 48, 24, 1.2, 32, 4
-AUDIT, DENSE, RECALL, EFFORTS, BLOCK, LARGE = 4096, 64, 0.999, (1, 2, 4), 2048, 1_000_000
+AUDIT, DENSE, RECALL, BLOCK, LABEL_BLOCK, LARGE = 4096, 64, 0.999, 256, 2048, 1_000_000
 
 
 def prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -71,19 +72,19 @@ def prune(x: np.ndarray, near: np.ndarray, sims: np.ndarray, degree: int = DEGRE
     return out
 
 
-def build(x: np.ndarray, effort: int = 1) -> list[np.ndarray]:
+def build(x: np.ndarray) -> list[np.ndarray]:
     """Pruned adjacency lists among the rows of ``x`` (unit vectors)."""
     n = len(x)
     if n < 2:
         return [np.zeros(0, np.int64)] * n
-    k, out = min(CANDIDATES * effort, n - 1), []
+    k, out = min(CANDIDATES, n - 1), []
     for lo in range(0, n, 512):
         s = x[lo : lo + 512] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
         near = np.argpartition(-s, k - 1, axis=1)[:, :k]
         sims = np.take_along_axis(s, near, 1)
         order = np.argsort(-sims, axis=1, kind="stable")
-        out += prune(x, np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1), DEGREE * effort)
+        out += prune(x, np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1))
     return out
 
 
@@ -123,9 +124,16 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, threshold: float, beam: i
         ids = np.full((m, beam), -1, np.int64)
         sims = np.full((m, beam), -9.0, np.float32)
         open_ = np.zeros((m, beam), bool)
-        seen[:, entries] = True
-        k = min(beam, len(entries))
-        ids[:, :k], sims[:, :k], open_[:, :k] = entries[:k], q @ x[entries[:k]].T, True
+        rows = np.arange(m)
+        start = np.concatenate((adjacency[lo : lo + m], np.broadcast_to(entries, (m, len(entries)))), axis=1)
+        fresh = np.zeros(start.shape, bool)
+        for j in range(start.shape[1]):  # a list is filled up with the row's own number, and may name an entry
+            fresh[:, j] = ~seen[rows, start[:, j]]
+            seen[rows, start[:, j]] = True
+        first = np.where(fresh, np.einsum("ijk,ik->ij", x[start], q, optimize=False), np.float32(-9))
+        top = np.argsort(-first, axis=1, kind="stable")[:, :beam]
+        k = top.shape[1]
+        ids[:, :k], sims[:, :k], open_[:, :k] = (np.take_along_axis(v, top, 1) for v in (start, first, fresh))
         rows = np.arange(m)
         while len(rows):
             best = np.where(open_[rows], sims[rows], -9).argmax(1)
@@ -209,20 +217,26 @@ def _rows(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 
 def _centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Centroids of the labels that need more than one shard, from SAMPLE rows of each at most."""
-    sizes = nodes.groupBy("label").count().where(F.col("count") > 2 * CLUSTER)
-    big = {r["label"]: r["count"] for r in sizes.toLocalIterator()}  # fewer than rows / (2 * CLUSTER)
-    out = {}
-    for name, n in big.items():
-        some = nodes.where(F.col("label") == name).orderBy("node").limit(SAMPLE).select("v").collect()
-        dim = len(some[0]["v"])
-        x = _unit(matrix([r["v"] for r in some if len(r["v"]) == dim]))
-        out[name] = _kmeans(x, min(MAX_CLUSTERS, max(2, round(n / CLUSTER))))
-    return out
+    """Centroids of the labels that need more than one shard, from SAMPLE rows of each at most; one for CLUSTER vectors or more."""
+    big = nodes.groupBy("label").count().where(F.col("count") > 2 * CLUSTER)
+    ranked = nodes.join(broadcast_if(cut_lineage(big, "labels"), LARGE), "label").select(
+        "label", "count", "node", "v", F.row_number().over(Window.partitionBy("label").orderBy("node")).alias("rank"))
+
+    def centres(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        dim = len(pdf["v"].iloc[0])
+        x = _unit(matrix([v for v in pdf["v"] if len(v) == dim]))
+        c = _kmeans(x, min(MAX_CLUSTERS, max(2, round(int(pdf["count"].iloc[0]) / CLUSTER))))
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]] * len(c), "c": list(c)})
+
+    got: dict[str, list] = {}
+    for r in ranked.where(F.col("rank") <= SAMPLE).groupBy("label").applyInPandas(centres, "label string, c array<double>").toLocalIterator():
+        got.setdefault(r["label"], []).append(r["c"])
+    return {k: np.array(v) for k, v in got.items()}
 
 
 def _visits(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) -> DataFrame:
-    """(label, shard, block, node, v): a row for each shard that a vector visits."""
+    """(label, shard, block, node, v): a row for each shard that a vector visits, its ``overlap`` nearest ones."""
     sent = nodes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(it):
@@ -253,13 +267,13 @@ def _visits(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) ->
     return visits.join(blocks, ["label", "shard"]).withColumn("own", own).select("label", "shard", meet, "node", "v")
 
 
-def _links(visits: DataFrame, threshold: float, effort: int) -> DataFrame:
+def _links(visits: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a forest of the verified links of each shard."""
     group = ["label", "shard", "block"]
 
     def build_group(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy(np.int64)
-        lists = build(_unit(matrix(pdf["v"])).astype(np.float32), effort)
+        lists = build(_unit(matrix(pdf["v"])).astype(np.float32))
         return pd.DataFrame({"node": node, "near": [node[v] for v in lists]})
 
     lists = visits.groupBy(*group).applyInPandas(build_group, "node long, near array<long>")
@@ -270,7 +284,7 @@ def _links(visits: DataFrame, threshold: float, effort: int) -> DataFrame:
         x, place = v.astype(np.float32), {int(n): i for i, n in enumerate(pdf["node"])}
         lists = [np.array([place[int(j)] for j in near if int(j) in place], np.int64) if near is not None else np.zeros(0, np.int64)
                  for near in pdf["near"]]
-        found = range_search(x, _padded(lists, len(x), x), threshold, BEAM * effort)
+        found = range_search(x, _padded(lists, len(x), x), threshold)
         found = [f[v[f] @ v[i] >= threshold] if len(f) else f for i, f in enumerate(found)]
         node, tree = pdf["node"].to_numpy(np.int64), _forest(found)
         return pd.DataFrame({"a": [int(node[a]) for a, _ in tree], "b": [int(node[b]) for _, b in tree]}, dtype="int64")
@@ -321,7 +335,7 @@ def _all_links(nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a forest of the links of any two blocks of a label, exactly; the cost is the square of a label's size."""
     kind = F.concat(F.size("v").cast("string"), F.lit(":"), "label").alias("kind")
     rows = cut_lineage(nodes.select(kind, "node", "v"), "kinds")
-    sizes = rows.groupBy("kind").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("kind").agg(F.ceil(F.count("*") / LABEL_BLOCK).cast("int").alias("blocks"))
     own = rows.join(broadcast_if(sizes, LARGE), "kind").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     later = F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j")
     earlier = F.explode(F.sequence(F.lit(0), "own")).alias("i")
@@ -366,7 +380,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int = A
     return min((float(np.mean([x for d, x in shares if d == dense])) for dense in {d for d, _ in shares}), default=1.0)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, key: str = "vec_id",
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlaps: tuple[int, ...] = OVERLAPS, key: str = "vec_id",
                     vector: str = "embedding", label: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``: one row per vector."""
     prepare(vectors.sparkSession, 2048)
@@ -376,12 +390,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
         F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.min("label").alias("label"), F.min("v").alias("v")).select(
         F.col("same").alias("node"), "label", "v", "weight", "first"), "nodes")
     centroids = _centroids(nodes)
-    for effort in (*EFFORTS, None):
-        links = _all_links(nodes, threshold) if effort is None else _links(
-            cut_lineage(_visits(nodes, centroids, overlap * effort), "shards"), threshold, effort)
-        roots = smallest_reachable(links, name="vectors").select("node", "root")
+    most = max((len(c) for c in centroids.values()), default=1)  # a label that has no centroids is one shard
+    found = None
+    for overlap in (*overlaps[:1], *(o for a, o in zip(overlaps, overlaps[1:]) if a < most), None):
+        new = _all_links(nodes, threshold) if overlap is None else _links(cut_lineage(_visits(nodes, centroids, overlap), "shards"), threshold)
+        found = cut_lineage(new if found is None else found.union(new), "links")
+        roots = smallest_reachable(found, name="vectors").select("node", "root")
         counts = cut_lineage(_counts(nodes.select("node", "v", "weight").join(roots, "node"), threshold), "counts")
-        if effort is None or audit(nodes, counts, threshold) >= RECALL:
+        if overlap is None or audit(nodes, counts, threshold) >= RECALL:
             break
     named = nodes.join(roots, "node", "left").select("node", "first", "weight", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component"))

@@ -172,7 +172,6 @@ def test_vectors_when_every_search_falls_short(spark, monkeypatch):
     rows = _hot_and_sparse(900) + [(1000 + i, 1, v) for i, _, v in _hot_and_sparse(30, seed=9)] + [(2000 + i, 1, [1.0, i / 9]) for i in range(5)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     monkeypatch.setattr(vector_dedup, "BLOCK", 200)
-    monkeypatch.setattr(vector_dedup, "EFFORTS", (1,))
     monkeypatch.setattr(vector_dedup, "_links", lambda visits, *_: visits.select(F.col("node").alias("a"), F.col("node").alias("b")))
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df).collect()}
     assert got == brute.vector_links(rows)
@@ -211,6 +210,18 @@ def test_permutation_index_with_a_hot_vector(spark):
     assert permutation_index.audit_recall(df, found, queries, 20) >= 0.9
 
 
+def test_vector_graph_alone_finds_all_beside_a_dense_group(spark, monkeypatch):
+    """A third of the rows nearly one vector: the search finds every link at the first overlap, exact block pairs are never needed."""
+    def unused(*args):
+        raise AssertionError("the graph fell short")
+
+    monkeypatch.setattr(vector_dedup, "_all_links", unused)
+    rows = _hot_and_sparse(3000)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(df, overlaps=(2,)).collect()}
+    assert got == brute.vector_links(rows)
+
+
 def test_permutation_index_ids_with_several_vectors(spark):
     """An id whose many vectors are all near takes one place, and the smaller ids of copies come first."""
     rows = [(7, [1.0, 0.001 * i]) for i in range(60)] + [(100 + i, [0.5, 0.0]) for i in range(30)] + [(1, [1.0, 0.0])]
