@@ -257,7 +257,7 @@ def partitions(words: DataFrame, limit: int = LIMIT) -> DataFrame:
     def sizes(rows: DataFrame) -> DataFrame:
         return rows.groupBy("child").agg(F.count("*").alias("count"), F.min("word").alias("low"), F.max("word").alias("high"))
 
-    rows, light, heavy, total = words.select("word", "n", F.lit("").alias("child")), [], [], 0
+    rows, light, heavy, total = words.select("word", "n", F.substring("word", 1, 0).alias("child")), [], [], 0
     while True:
         big = cut_lineage(grown(sizes(rows)), "heavy")
         dealt = cut_lineage(rows.join(broadcast_if(big, HEAVY), "child", "left"), "prefixes")
