@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.arrays import pad_to
 from tandem.functions.common import PAD_ID, as_col
-from tandem.operators.order import dense_index, sid_bucket
+from tandem.operators.order import dense_index
 
 
 def matrix_cells(df: DataFrame, row: str, vec, value: str = "value") -> DataFrame:
@@ -34,7 +34,7 @@ def bucket_batches(df: DataFrame, length, batch_size: int, key: str = "sid") ->
     ``batch_size`` rows).
     """
     d = df.withColumn("_len", as_col(length).cast("long"))
-    ix = dense_index(d, ["_len", key], bucket=[F.col("_len"), sid_bucket(key)], name="_i")
+    ix = dense_index(d, ["_len", key], name="_i")
     b = ix.withColumn("batch", F.floor(F.col("_i") / batch_size).cast("long"))
     w = Window.partitionBy("batch").orderBy(F.desc("_len"), F.asc(key))
     return b.withColumn("rank_in_batch", F.row_number().over(w).cast("long")).drop("_i", "_len")

@@ -1,35 +1,28 @@
-"""Lexical translation tables learned with distributed EM (IBM Model 1),
+"""Lexical translation tables: learning (see :mod:`tandem.operators.em`), loss,
 alignment, translation, pivoting and lexicon composition.
 
-Only the narrow sentence table is stored. Each round makes the co-occurrence
-cells *inside each sentence row* (two explodes of the distinct tokens with
-their counts), so they need no join and are never written. Sentences are dealt
-by ``(key, sid)`` before that; while ``t`` is broadcast (behind a size check)
-the per-sentence E-step normaliser, a window over ``(key, sid, f)``, needs no
-exchange of the cells. Beyond the bound a sort-merge join deals the cells on
-``(key, e, f)`` and AQE splits hot keys. The M-step is a partial + final
-aggregate on ``(key, e, f)``. Each round writes ``t`` into the shared folder.
-
-A sentence contributes ``|distinct src| × |distinct trg|`` cells. ``segments``
-cuts long pairs into short consecutive ones and drops no word, so the cells
-grow with the text and not with the square of a line's length.
+Sentences are whole: a pair of words of one sentence is a cell wherever the two
+stand in it. Learning, alignment and the loss of learned sentences work on the
+model's blocks; ``sentence_nll`` joins any pairs with any table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.common import NULL_TOKEN, UNK, as_col
 from tandem.functions.text import EDGE_SPACE, words
-from tandem.operators.order import dense_index, sid_bucket
+from tandem.operators.em import P_FLOOR, Model, build
+from tandem.operators.epochs import PPL_LIMIT, STREAK_LIMIT, best_so_far, stop_epoch, truncate_at_stop
+from tandem.operators.order import dense_index
 from tandem.session import bounded_broadcast, cut_lineage
 
 T_BROADCAST_ROWS = 2_000_000     # translation-table rows that may be broadcast
-SEGMENT = 10                     # words a side of a segment (drops nothing)
-P_FLOOR = 1e-10                  # fixed value: probability floor in the loss
 PRODUCT_ROWS_PER_TASK = 2_000_000  # joined rows per task in lexicon composition
 SALT = 32                          # tasks a hot source word of a composition is split over
 
@@ -40,31 +33,6 @@ def _counted(a):
         x.alias("tok"), F.size(F.filter(a, lambda y: y == x)).alias("c")))
 
 
-def segments(pairs: DataFrame, size: int = SEGMENT, src: str = "src_tokens", trg: str = "trg_tokens",
-             sid: str = "sid") -> DataFrame:
-    """Every pair cut into consecutive pieces of at most ``size`` words a side.
-
-    The sides are cut at the same share of their lengths, so sides of equal
-    length are cut at the same words. No word is lost; pairs without any word
-    (NULL or empty on both sides) give no piece. ``sid`` becomes
-    ``struct(sid, seg)``; other columns are kept.
-    """
-    none = F.array().cast("array<string>")
-    s, t = F.coalesce(as_col(src), none), F.coalesce(as_col(trg), none)
-    longest = F.greatest(F.size(s), F.size(t))
-    k = F.ceil(longest / F.lit(size)).cast("int")
-
-    def piece(a, i):
-        at = lambda j: F.floor(j * F.size(a) / k).cast("int")
-        return F.slice(a, at(i) + 1, at(i + 1) - at(i))
-
-    pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(piece(s, i).alias("s"), piece(t, i).alias("t")))
-    rest = [c for c in pairs.columns if c not in (sid, src, trg)]
-    cut = pairs.where(longest > 0).select(*rest, sid, F.posexplode(pieces).alias("_seg", "_piece"))
-    return cut.select(*rest, F.struct(F.col(sid).alias("sid"), F.col("_seg").cast("long").alias("seg")).alias(sid),
-                      F.col("_piece.s").alias(src), F.col("_piece.t").alias(trg))
-
-
 def cooccurrence(pairs: DataFrame, src="src_tokens", trg="trg_tokens", key: Sequence[str] = ("region",),
                  sid: str = "sid", null: bool = True) -> DataFrame:
     """Cells ``(key.., sid, l, e, ce, f, cf)`` of every sentence pair.
@@ -84,64 +52,70 @@ def cooccurrence(pairs: DataFrame, src="src_tokens", trg="trg_tokens", key: Sequ
     return cells.select(*key, sid, "l", "e", "ce", F.col("_f.tok").alias("f"), F.col("_f.c").alias("cf"))
 
 
-def em_round(cells: DataFrame, t: DataFrame | None, key: Sequence[str] = ("region",), sid: str = "sid",
-             broadcast_rows: int = T_BROADCAST_ROWS) -> DataFrame:
-    """One E + M step. ``t is None`` means the constant start table."""
-    key = list(key)
-    if t is None:
-        # constant start table: the normaliser Σ_e ce·t is the source length l
-        w = cells
-        frac = F.col("cf") * F.col("ce") / F.col("l")
-    else:
-        tb, _ = bounded_broadcast(t.select(*key, "e", "f", F.col("p").alias("tp")), broadcast_rows)
-        w = cells.join(tb, key + ["e", "f"], "left").withColumn("tp", F.coalesce("tp", F.lit(0.0)))
-        w = w.withColumn("dn", F.sum(F.col("ce") * F.col("tp")).over(Window.partitionBy(*key, sid, "f")))
-        frac = F.when(F.col("dn") > 0, F.col("cf") * F.col("ce") * F.col("tp") / F.col("dn")).otherwise(F.lit(0.0))
-    # partial + final sums on (e, f) and on e: a hot source word (the empty
-    # word above all) is combined map-side in both, and its totals are joined
-    # back (a vocabulary-sized table; AQE broadcasts it or splits a skewed side)
-    counts = w.select(*key, "e", "f", frac.alias("c")).groupBy(*key, "e", "f").agg(F.sum("c").alias("c"))
-    totals = counts.groupBy(*key, "e").agg(F.sum("c").alias("z"))
-    return counts.join(totals, key + ["e"]).select(*key, "e", "f", (F.col("c") / F.col("z")).alias("p"))
-
-
-def learn_lexicon(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: float = 0.0,
-                  src="src_tokens", trg="trg_tokens", key: Sequence[str] = ("region",), sid: str = "sid",
-                  broadcast_rows: int = T_BROADCAST_ROWS) -> DataFrame:
+def learn_lexicon(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: float = 0.0, src="src_tokens", trg="trg_tokens",
+                  key: Sequence[str] = ("region",), start: DataFrame | None = None) -> DataFrame:
     """``t(f | e)`` as rows ``(key.., e, f, p)``; each ``e`` sums to 1.
 
-    ``min_p`` (default 0: exact) drops entries below it after every round.
+    ``min_p`` (default 0: exact) drops entries below it after every round; ``start`` is a table to go on from.
     """
-    key = list(key)
-    s = F.concat(F.array(F.lit(NULL_TOKEN)), as_col(src)) if null else as_col(src)
-    pairs = cut_lineage(pairs.select(*key, sid, s.alias("_s"), as_col(trg).alias("_t")), "em-pairs")
-    codes = _token_codes(pairs, key)
-    if codes is not None:
-        # run the rounds on 64-bit codes: narrower shuffles and cheaper hashing
-        code = lambda a: F.transform(a, lambda x: F.xxhash64(x))
-        pairs = cut_lineage(pairs.select(*key, sid, code(F.col("_s")).alias("_s"), code(F.col("_t")).alias("_t")), "em-coded")
-    cells = cooccurrence(pairs, "_s", "_t", key, sid, null=False)
-    t = None
+    return learn(pairs, iters, null, min_p, src, trg, key, start).table()
+
+
+def learn(pairs: DataFrame, iters: int = 5, null: bool = True, min_p: float = 0.0, src="src_tokens", trg="trg_tokens",
+          key: Sequence[str] = ("region",), start: DataFrame | None = None) -> Model:
+    """The model of :func:`learn_lexicon` itself, for its table, counts, losses and alignments."""
+    model = build(pairs, null, min_p, src, trg, key, start=start)
     for _ in range(iters):
-        t = em_round(cells, t, key, sid, broadcast_rows)
-        if min_p > 0:
-            t = t.filter(F.col("p") >= min_p)
-        t = cut_lineage(t)
-    if codes is not None:
-        cb, _ = bounded_broadcast(codes, broadcast_rows)
-        t = t.join(cb.select(*key, F.col("code").alias("e"), F.col("token").alias("_e")), key + ["e"]) \
-             .join(cb.select(*key, F.col("code").alias("f"), F.col("token").alias("_f")), key + ["f"]) \
-             .select(*key, F.col("_e").alias("e"), F.col("_f").alias("f"), "p")
-    return t
-
-
-def _token_codes(pairs: DataFrame, key: list[str]) -> DataFrame | None:
-    """``(key.., token, code)`` with ``code = xxhash64(token)``, materialised,
-    or None when two tokens of one key share a code (then strings are used)."""
-    toks = pairs.select(*key, F.explode(F.concat("_s", "_t")).alias("token")).distinct()
-    codes = cut_lineage(toks.withColumn("code", F.xxhash64("token")), "em-codes")
-    clash = codes.groupBy(*key, "code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).count()
-    return None if clash else codes
+        model.step()
+    return model
+
+
+@dataclass
+class History:
+    """``model`` after the last round, the ``epoch_log`` rows, and for each key the table of its best epoch."""
+
+    model: Model
+    log: DataFrame
+    table: DataFrame
+
+
+def learn_with_history(train: DataFrame, valid: DataFrame, max_epochs: int = 50, null: bool = True, src="src_tokens", trg="trg_tokens",
+                       key: Sequence[str] = ("region",), start: DataFrame | None = None, ppl_limit: int = PPL_LIMIT, streak_limit: int = STREAK_LIMIT) -> History:
+    """Learns until the stop rule fires for every key, or ``max_epochs`` is reached.
+
+    After each epoch the losses of its table over ``train`` and ``valid`` are written to the history
+    (``epoch_log(run, epoch, train_loss, valid_loss, start_ts, end_ts)``, a run a key, epochs from 0); the
+    rules of :mod:`tandem.operators.epochs` are asked of it: later epochs of a run that has
+    stopped are left out, and a run's table is that of its last ``is_best`` epoch. A run without
+    held-out sentences has no valid loss: it never stops by it, and its last epoch is the best.
+    """
+    key = list(key)
+    spark = train.sparkSession
+    model = build(train, null, 0.0, src, trg, key, held=valid, start=start)
+    rows: list[tuple] = []
+    snapshots: list[Model] = []
+    schema = "run string, epoch long, train_loss double, valid_loss double, start_ts timestamp, end_ts timestamp"
+    name = lambda r: "|".join("" if r[k] is None else str(r[k]) for k in key)
+    while True:
+        begin = datetime.now()
+        model.step()
+        snapshots.append(replace(model))
+        rows += [(name(r), len(snapshots) - 1, r["train_loss"], r["valid_loss"], begin, datetime.now()) for r in model.losses()]
+        log = spark.createDataFrame(rows, schema)  # a row a key and epoch
+        stops = {r["run"]: r["stop_epoch"] for r in stop_epoch(log, ppl_limit=ppl_limit, streak_limit=streak_limit).collect()}
+        if len(snapshots) >= max_epochs or all(v is not None for v in stops.values()):
+            break
+    kept = truncate_at_stop(log, ppl_limit=ppl_limit, streak_limit=streak_limit)
+    chosen = best_so_far(kept).where(F.col("is_best") | F.col("valid_loss").isNull()).groupBy("run").agg(F.max("epoch").alias("epoch"))
+    best: dict[int, list[str]] = {}
+    for r in chosen.collect():
+        best.setdefault(r["epoch"], []).append(r["run"])
+    run = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    table = None
+    for epoch, runs in sorted(best.items()):
+        part = snapshots[epoch].table().where(run.isin(runs))
+        table = part if table is None else table.unionByName(part)
+    return History(model, cut_lineage(kept, "epoch-log"), table if table is not None else model.table())
 
 
 def sentence_nll(pairs: DataFrame, t: DataFrame, src="src_tokens", trg="trg_tokens",
@@ -181,18 +155,14 @@ def nll(pairs: DataFrame, t: DataFrame, key: Sequence[str] = ("region",), by: st
     return out.withColumn("ppl", F.exp("loss"))
 
 
-def align(pairs: DataFrame, t: DataFrame, src="src_tokens", trg="trg_tokens",
-          key: Sequence[str] = ("region",), sid: str = "sid") -> DataFrame:
-    """Soft alignment ``p(s_pos | t_pos) = t(f|e_s) / Σ_s' t(f|e_s')``; each
-    target position sums to 1 over the real source positions."""
-    key = list(key)
-    grid = pairs.select(*key, sid, F.posexplode(as_col(src)).alias("s_pos", "e"), as_col(trg).alias("_t")) \
-        .select(*key, sid, "s_pos", "e", F.posexplode("_t").alias("t_pos", "f"))
-    j = grid.join(t.select(*key, "e", "f", "p"), key + ["e", "f"], "left").withColumn(
-        "p", F.coalesce("p", F.lit(0.0)))
-    j = j.withColumn("_z", F.sum("p").over(Window.partitionBy(*key, sid, "t_pos")))
-    return j.select(*key, sid, F.col("t_pos").cast("long").alias("t_pos"), F.col("s_pos").cast("long").alias("s_pos"),
-                    F.when(F.col("_z") > 0, F.col("p") / F.col("_z")).otherwise(F.lit(0.0)).alias("p"))
+def align(pairs: DataFrame, model: Model, src="src_tokens", trg="trg_tokens", sid: str = "sid") -> DataFrame:
+    """Soft alignment ``p(s_pos | t_pos) = t(f|e_s) / Σ_s' t(f|e_s')`` over whole sentences that the model knows.
+
+    Probabilities are looked up once for each distinct word pair of each distinct sentence, positions come
+    last; each target position sums to 1 over the real source positions. Cells of probability 0 are not stored.
+    """
+    rows = model.alignments(pairs, src, trg, sid)
+    return rows.select(*model.key, sid, "t_pos", F.posexplode("p").alias("s_pos", "p")).where("p > 0").withColumn("s_pos", F.col("s_pos").cast("long"))
 
 
 def best_translations(t: DataFrame, key: Sequence[str] = ("region",), digits: int = 6) -> DataFrame:
@@ -304,8 +274,8 @@ def composed_summary(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("re
 def zip_pairs(a: DataFrame, b: DataFrame, order_a: str = "sid", order_b: str = "sid") -> DataFrame:
     """Positional pairing of two tables (stops at the shorter): equi-join on
     their dense indexes. Columns of ``b`` that clash get a ``b_`` prefix."""
-    ia = dense_index(a, [order_a], bucket=sid_bucket(order_a), name="idx")
-    ib = dense_index(b, [order_b], bucket=sid_bucket(order_b), name="idx")
+    ia = dense_index(a, [order_a], name="idx")
+    ib = dense_index(b, [order_b], name="idx")
     ib = ib.select("idx", *[F.col(c).alias(c if c not in a.columns else f"b_{c}") for c in b.columns])
     return ia.join(ib, "idx")
 
@@ -346,11 +316,10 @@ def selective_read(copies: DataFrame, vectors: DataFrame, chosen: DataFrame, key
                    floor: float = 1e-12) -> DataFrame:
     """Weighted sum of position vectors: weight = copy score of the chosen
     token at that position, L1-normalised (floor ``floor``), zero elsewhere.
-    ``vectors(key, pos, vec)`` → ``(key, dim, value)``."""
+    ``vectors(key, pos, dim, x)`` are cells → ``(key, dim, value)``."""
     sel = copies.join(chosen.select(key, "token"), [key, "token"])
     norm = sel.groupBy(key).agg(F.greatest(F.sum(F.abs("score")), F.lit(floor)).alias("_z"))
     wts = sel.join(norm, key).select(key, "pos", (F.col("score") / F.col("_z")).alias("w")) \
         .groupBy(key, "pos").agg(F.sum("w").alias("w"))
-    vx = vectors.select(key, "pos", F.posexplode("vec").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
-    j = vx.join(wts, [key, "pos"], "left")
+    j = vectors.select(key, "pos", "dim", "x").join(wts, [key, "pos"], "left")
     return j.groupBy(key, "dim").agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("x")).alias("value"))

@@ -2,15 +2,15 @@
 
 The reference gives meaning to row position (split points, first-seen ids, log
 ids). A global ``row_number()`` would pull every row into one task, so the
-index is computed in two passes over coarse buckets of the order key:
+index is made of sampled ranges of the whole order key:
 
-1. ``row_number`` *within* each bucket (one shuffle of the data by bucket),
-2. bucket sizes from those ranks (no further shuffle: a small table),
-3. prefix-sum the bucket sizes (two levels, so even the bucket table is never
-   ordered in one task when it is large) and add each bucket's offset.
+1. rows are dealt by ranges of the key (Spark samples the bounds, so ranges have
+   like numbers of rows whatever the key's type and however it clusters), sorted
+   inside their range and written with their rank there,
+2. the number of rows of each range (a row a range) is summed up,
+3. the sum of all ranges before is added to each rank.
 
-Buckets are bounded by construction (``floor(sid / width)`` holds at most
-``width`` distinct sids), so no task ever sorts more than one bucket.
+The input is computed once, and no task sorts more than one range.
 """
 
 from __future__ import annotations
@@ -21,14 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.common import as_col
+from tandem.session import bounded_broadcast, cut_lineage
 
-DEFAULT_WIDTH = 1 << 22     # sids per bucket when the order key is numeric
-SUPER = 4096                # buckets per super-bucket in the prefix sum
-SUPER_PREFIX = 48           # characters of a string bucket forming its super-bucket
-
-
-def sid_bucket(c, width: int = DEFAULT_WIDTH) -> Column:
-    return F.floor(as_col(c) / F.lit(width)).cast("long")
+RANK_BITS = 33              # fixed value: monotonically_increasing_id() holds the rank in its lower bits
+GROUP_ROWS = 1_000_000      # rows of a table of ranges or groups that may be broadcast
 
 
 def _cols(xs) -> list[Column]:
@@ -45,13 +41,12 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_right"))
-    return left.join(renamed, cond).drop(*[f"{k}_right" for k in keys])
+    return left.join(bounded_broadcast(renamed, GROUP_ROWS)[0], cond).drop(*[f"{k}_right" for k in keys])
 
 
 def dense_index(
     df: DataFrame,
     order: Sequence,
-    bucket: Sequence | Column | None = None,
     partition_by: Sequence | None = None,
     start: int = 0,
     name: str = "idx",
@@ -59,60 +54,35 @@ def dense_index(
 ) -> DataFrame:
     """Consecutive index of ``df`` in ``order`` (ascending), from ``start``.
 
-    ``bucket`` must be non-decreasing along ``order`` (default: the first
-    order key divided by ``DEFAULT_WIDTH``). With ``partition_by`` the index
-    restarts per partition. With ``total`` the row count of the partition is
-    attached under that name. Rows with NULL keys or partitions keep their
-    place (NULL first).
+    With ``partition_by`` the index restarts per partition. With ``total`` the
+    row count of the partition is attached under that name. Rows with NULL keys
+    or partitions keep their place (NULL first). Rows of one key share a range, so
+    a key should tell rows apart; ties stand in any order.
     """
-    order_cols = _cols(order)
-    bcols = _cols(bucket) if bucket is not None else [sid_bucket(order_cols[0])]
     part = _cols(partition_by)
     pnames = [f"_p{i}" for i in range(len(part))]
-    bnames = [f"_b{i}" for i in range(len(bcols))]
-    keyed = df.select(
-        "*", *[c.alias(n) for c, n in zip(part, pnames)], *[c.alias(n) for c, n in zip(bcols, bnames)]
-    )
-    keys = pnames + bnames
-    # rank inside buckets first; the bucket sizes come from the ranked rows
-    # (already partitioned by bucket), which Spark computes a second time
-    # where the exchange isn't reused
-    w_row = Window.partitionBy(*keys).orderBy(*order_cols)
-    ranked = keyed.withColumn("_r", F.row_number().over(w_row))
-    counts = ranked.groupBy(*keys).agg(F.max("_r").cast("long").alias("_n"))
-    # level 2: super-buckets: the last bucket column divided by SUPER, or for
-    # a string bucket (a path, a token) a fixed-length prefix, which keeps order
-    from pyspark.sql.types import NumericType
-    if isinstance(keyed.schema[bnames[-1]].dataType, NumericType):
-        sup = F.floor(F.col(bnames[-1]) / F.lit(SUPER)).cast("long")
-    else:
-        sup = F.substring(F.col(bnames[-1]).cast("string"), 1, SUPER_PREFIX)
-    counts = counts.withColumn("_s", sup)
-    sup_keys = pnames + bnames[:-1] + ["_s"]
-    sup_tot = counts.groupBy(*sup_keys).agg(F.sum("_n").alias("_sn"))
-    w_sup = Window.partitionBy(*pnames).orderBy(*(bnames[:-1] + ["_s"]))
-    sup_tot = sup_tot.withColumn(
-        "_soff", F.coalesce(F.sum("_sn").over(w_sup.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    if total:
-        sup_tot = sup_tot.withColumn(total, F.sum("_sn").over(Window.partitionBy(*pnames)) if pnames
-                                     else F.sum("_sn").over(Window.partitionBy(F.lit(0))))
-    w_in = Window.partitionBy(*sup_keys).orderBy(bnames[-1])
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(w_in.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    offs = _join_null_safe(offs, sup_tot.drop("_sn"), sup_keys).select(
-        *keys, (F.col("_off") + F.col("_soff")).alias("_base"), *([total] if total else [])
-    )
-    out = _join_null_safe(ranked, offs, keys).withColumn(
-        name, (F.col("_base") + F.col("_r") - 1 + F.lit(start)).cast("long")
-    )
-    return out.drop(*keys, "_r", "_base")
+    onames = [f"_o{i}" for i in range(len(_cols(order)))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(part, pnames)], *[c.alias(n) for c, n in zip(_cols(order), onames)])
+    dealt = keyed.repartitionByRange(*pnames, *onames).sortWithinPartitions(*pnames, *onames).drop(*onames)
+    ranked = cut_lineage(dealt.withColumn("_m", F.monotonically_increasing_id()), "ranked")
+    ranked = ranked.withColumns({"_range": F.shiftright("_m", RANK_BITS), "_r": F.col("_m").bitwiseAND((1 << RANK_BITS) - 1)}).drop("_m")
+    sizes = ranked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = cut_lineage(sizes.select("_range", before.alias("_base")), "ranges")
+    out = ranked.join(bounded_broadcast(bases, GROUP_ROWS)[0], "_range").withColumn("_place", F.col("_base") + F.col("_r")).drop("_range", "_r", "_base")
+    if not part:
+        if total:
+            out = out.withColumn(total, F.lit(ranked.count()).cast("long"))
+        return out.withColumn(name, (F.col("_place") + F.lit(start)).cast("long")).drop("_place")
+    groups = cut_lineage(out.groupBy(*pnames).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias(total or "_total")), "groups")
+    out = _join_null_safe(out, groups if total else groups.drop("_total"), pnames).withColumn(
+        name, (F.col("_place") - F.col("_first") + F.lit(start)).cast("long"))
+    return out.drop(*pnames, "_place", "_first")
 
 
 def split_ordered(
     df: DataFrame, order: Sequence = ("sid",), train: tuple[int, int] = (9, 10),
-    valid: tuple[int, int] = (95, 100), bucket=None, partition_by=None, name: str = "split",
+    valid: tuple[int, int] = (95, 100), partition_by=None, name: str = "split",
 ) -> DataFrame:
     """Contiguous train / valid / test split by row order.
 
@@ -120,7 +90,7 @@ def split_ordered(
     the rest — integer arithmetic, as ``int(n * 0.9)`` gives for the sizes in
     use.
     """
-    ix = dense_index(df, order, bucket=bucket, partition_by=partition_by, name="_i", total="_t")
+    ix = dense_index(df, order, partition_by=partition_by, name="_i", total="_t")
     a = F.floor(F.col("_t") * train[0] / train[1])
     b = F.floor(F.col("_t") * valid[0] / valid[1])
     return ix.withColumn(
@@ -129,10 +99,10 @@ def split_ordered(
     ).drop("_i", "_t")
 
 
-def split_half(df: DataFrame, order: Sequence = ("sid",), bucket=None, partition_by=None,
+def split_half(df: DataFrame, order: Sequence = ("sid",), partition_by=None,
                name: str = "split") -> DataFrame:
     """First ``int(n * 0.5)`` rows → valid, the rest → test."""
-    ix = dense_index(df, order, bucket=bucket, partition_by=partition_by, name="_i", total="_t")
+    ix = dense_index(df, order, partition_by=partition_by, name="_i", total="_t")
     return ix.withColumn(
         name, F.when(F.col("_i") < F.floor(F.col("_t") / 2), F.lit("valid")).otherwise(F.lit("test"))
     ).drop("_i", "_t")
@@ -141,7 +111,7 @@ def split_half(df: DataFrame, order: Sequence = ("sid",), bucket=None, partition
 def reindex_regions(df: DataFrame, region: str = "region", order: str = "sid", name: str = "sid") -> DataFrame:
     """All regions of one frame, re-indexed in (region, old order) order from 0."""
     u = df.withColumnRenamed(order, "_old")
-    ix = dense_index(u, [region, "_old"], bucket=[F.col(region), sid_bucket("_old")], name=name)
+    ix = dense_index(u, [region, "_old"], name=name)
     return ix.drop("_old")
 
 

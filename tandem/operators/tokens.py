@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.vocab import explode_tokens
+from tandem.session import cut_lineage
 
 MAX_LEFT_LENGTH = 10   # fixed value: longest prefix counted
 MIN_FREQUENCY = 5      # fixed value: minimum prefix count for a score
@@ -22,27 +23,26 @@ def word_counts(df: DataFrame, tokens, key: str = "sid") -> DataFrame:
 
 def prefix_counts(df: DataFrame, tokens, max_len: int = MAX_LEFT_LENGTH, key: str = "sid") -> DataFrame:
     """Every prefix of length 1..max_len of every word occurrence, counted."""
-    wc = word_counts(df, tokens, key)
-    ex = wc.select(
-        "word", "n",
-        F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(max_len)))).alias("k"),
-    ).filter(F.length("word") >= 1)
-    return ex.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("prefix")).agg(
-        F.sum("n").alias("cnt"))
+    return _prefixes(word_counts(df, tokens, key), 1, max_len)
+
+
+def _prefixes(wc: DataFrame, low: int, high: int) -> DataFrame:
+    ks = F.sequence(F.lit(low), F.least(F.length("word"), F.lit(high)))
+    ex = wc.where(F.length("word") >= low).select("word", "n", F.explode(ks).alias("k"))
+    return ex.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("prefix")).agg(F.sum("n").alias("cnt"))
 
 
 def cohesion_scores(df: DataFrame, tokens, min_frequency: int = MIN_FREQUENCY,
                     max_len: int = MAX_LEFT_LENGTH, key: str = "sid") -> DataFrame:
     """Forward cohesion ``(cnt(w) / cnt(w[0])) ** (1 / (len(w) - 1))``.
 
-    For prefixes of length >= 2 seen at least ``min_frequency`` times. The
-    first-character table is bounded by the number of distinct characters, so
-    it is broadcast.
+    For prefixes of length >= 2 seen at least ``min_frequency`` times. Words are
+    counted and written once; the first-character table is bounded by the number of
+    distinct characters, so it is broadcast.
     """
-    pc = prefix_counts(df, tokens, max_len, key)
-    first = pc.filter(F.length("prefix") == 1).select(F.col("prefix").alias("c0"), F.col("cnt").alias("cnt0"))
-    words = pc.filter((F.length("prefix") >= 2) & (F.col("cnt") >= min_frequency)).withColumn(
-        "c0", F.substring("prefix", 1, 1))
+    wc = cut_lineage(word_counts(df, tokens, key), "word-counts")
+    first = wc.where(F.length("word") >= 1).groupBy(F.substring("word", 1, 1).alias("c0")).agg(F.sum("n").alias("cnt0"))
+    words = _prefixes(wc, 2, max_len).filter(F.col("cnt") >= min_frequency).withColumn("c0", F.substring("prefix", 1, 1))
     j = words.join(F.broadcast(first), "c0")
     return j.select(
         F.col("prefix").alias("word"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions.common import EOS_ID, SOS_ID, SPECIALS, UNK, UNK_ID, UNKNOWN_TEXT, as_col
-from tandem.operators.order import dense_index, sid_bucket
+from tandem.operators.order import dense_index
 from tandem.session import bounded_broadcast
 
 VOCAB_LIMIT = 33_000        # fixed value: cap of the frequency vocabulary, where the caller asks for one
@@ -42,7 +42,7 @@ def vocab_first_seen(df: DataFrame, tokens, key: str = "sid", start: int = 4) ->
         F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("_f"),
         F.count(F.lit(1)).alias("freq"),
     )
-    ix = dense_index(first, ["_f.k", "_f.p"], bucket=sid_bucket("_f.k"), start=start, name="id")
+    ix = dense_index(first, ["_f.k", "_f.p"], start=start, name="id")
     out = ix.select("token", F.col("id").cast("int").alias("id"), "freq")
     return specials_table(df.sparkSession).unionByName(out)
 
@@ -55,8 +55,7 @@ def shared_vocab(df: DataFrame, first, second, key: str = "sid", start: int = 4)
         F.min(F.struct(F.col("_part").alias("q"), F.col(key).alias("k"), F.col("pos").alias("p"))).alias("_f"),
         F.count(F.lit(1)).alias("freq"),
     )
-    ix = dense_index(first_seen, ["_f.q", "_f.k", "_f.p"],
-                     bucket=[F.col("_f.q"), sid_bucket("_f.k")], start=start, name="id")
+    ix = dense_index(first_seen, ["_f.q", "_f.k", "_f.p"], start=start, name="id")
     out = ix.select("token", F.col("id").cast("int").alias("id"), "freq")
     return specials_table(df.sparkSession).unionByName(out)
 
@@ -72,10 +71,7 @@ def vocab_by_freq(df: DataFrame, tokens, max_size: int | None = None, key: str =
         from pyspark.sql import Window
         ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("freq"), F.asc("token"))) + 3))
     else:
-        ranked = dense_index(
-            counts.withColumn("_nf", -F.col("freq")), ["_nf", "token"],
-            bucket=[F.col("_nf"), F.substring("token", 1, 2)], start=4, name="id",
-        ).drop("_nf")
+        ranked = dense_index(counts, [-F.col("freq"), "token"], start=4, name="id")
     out = ranked.select("token", F.col("id").cast("int").alias("id"), "freq")
     return specials_table(df.sparkSession).unionByName(out)
 
@@ -135,12 +131,12 @@ def encode_pairs(df: DataFrame, src_vocab: DataFrame, trg_vocab: DataFrame, src=
 
 def encode_extended(df: DataFrame, tokens, vocab: DataFrame, vocab_size: int,
                     input_tokens=None, fixed_len: int | None = None, key: str = "sid",
-                    out: str = "ids", vocab_bound: int | None = None) -> DataFrame:
+                    out: str = "ids", vocab_bound: int | None = None, missing_id: int = EOS_ID, pad_id: int = 0) -> DataFrame:
     """Copy encoding with an extended vocabulary of size ``vocab_size`` + input length.
 
     Input side (``input_tokens`` None): an unknown token at position p → V + p.
-    Output side: an unknown token → V + its first position in the input, else 3.
-    ``fixed_len`` zero-pads (sequences longer than it are an error in the
+    Output side: an unknown token → V + its first position in the input, else ``missing_id``.
+    ``fixed_len`` pads with ``pad_id`` (sequences longer than it are an error in the
     reference; here they are left whole).
     """
     t = as_col(tokens)
@@ -156,20 +152,20 @@ def encode_extended(df: DataFrame, tokens, vocab: DataFrame, vocab_size: int,
     if input_tokens is None:
         oov = F.col("pos") + F.lit(vocab_size)
     else:
-        oov = F.when(F.col("ip") > 0, F.col("ip") - 1 + F.lit(vocab_size)).otherwise(F.lit(EOS_ID))
+        oov = F.when(F.col("ip") > 0, F.col("ip") - 1 + F.lit(vocab_size)).otherwise(F.lit(missing_id))
     enc = _regroup(j, key, F.coalesce(F.col("id"), oov).cast("int"), out)
     if fixed_len is not None:
         from tandem.functions.arrays import pad_to
-        enc = enc.withColumn(out, pad_to(out, fixed_len, pad=0))
+        enc = enc.withColumn(out, pad_to(out, fixed_len, pad=pad_id))
     return enc
 
 
 def decode_extended(df: DataFrame, ids, vocab: DataFrame, vocab_size: int, input_tokens=None,
-                    key: str = "sid", out: str = "text", vocab_bound: int | None = None) -> DataFrame:
-    """First count-of-nonzero ids; id < V → token, else ``input[id - V]``
+                    key: str = "sid", out: str = "text", vocab_bound: int | None = None, mask_id: int = 0) -> DataFrame:
+    """As many leading ids as differ from ``mask_id``; id < V → token, else ``input[id - V]``
     (``<???>`` without input or past its end); joined by spaces."""
     a = as_col(ids)
-    head = F.slice(a, F.lit(1), F.size(F.filter(a, lambda x: x != 0)))
+    head = F.slice(a, F.lit(1), F.size(F.filter(a, lambda x: x != mask_id)))
     if input_tokens is None:
         ext = F.transform(head, lambda x: F.struct(x.alias("id"), F.lit(UNKNOWN_TEXT).alias("x")))
     else:

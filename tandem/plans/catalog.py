@@ -28,7 +28,7 @@ from tandem.operators import vocab as W
 from tandem.plans import inputs as I
 from tandem.session import cut_lineage, scratch_path
 from tandem.sources import io
-from tandem.sources.testdata import conv_pairs, epoch_log, read_table
+from tandem.sources.testdata import LINE_STRIDE, conv_pairs, epoch_log, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +40,7 @@ def r6(c) -> F.Column:
 # ---------------------------------------------------------------- sources / sinks
 def q_read_utterances(spark, sf):
     p = I.pairs(spark, sf).select(
-        (F.col("sid") / 100_000).cast("long").alias("doc_id"), (F.col("sid") % 100_000).alias("pos"), "region",
+        F.floor(F.col("sid") / LINE_STRIDE).alias("doc_id"), (F.col("sid") % LINE_STRIDE).alias("pos"), "region",
         F.col("standard").alias("standard_form"), F.col("dialect").alias("dialect_form"))
     path = scratch_path(spark, "utterances")
     io.write_utterance_files(p, path)
@@ -63,13 +63,13 @@ def q_read_pairs_csv(spark, sf):
 
 
 def q_read_column_json(spark, sf):
-    p = I.pairs(spark, sf).select((F.col("sid") / 100_000).cast("long").alias("doc_id"),
-                                  (F.col("sid") % 100_000).alias("pos"), "standard", "dialect")
+    p = I.pairs(spark, sf).select(F.floor(F.col("sid") / LINE_STRIDE).alias("doc_id"),
+                                  (F.col("sid") % LINE_STRIDE).alias("pos"), "standard", "dialect")
     path = scratch_path(spark, "column-json")
     io.write_column_json(p, path)
     r = io.read_column_json(spark, path, key_cols=("doc_id",),
                             extra_schema=[T.StructField("doc_id", T.LongType())])
-    return r.select((F.col("doc_id") * 100_000 + F.col("sid")).alias("sid"), "standard", "dialect")
+    return r.select((F.col("doc_id") * LINE_STRIDE + F.col("sid")).alias("sid"), "standard", "dialect")
 
 
 def q_write_pairs(spark, sf):
@@ -91,11 +91,7 @@ def q_write_inference_log(spark, sf):
     src = I.pairs(spark, sf).select("sid", "region", F.col("dialect").alias("src"), F.col("standard").alias("trg"))
     j = src.join(tr, ["region", "sid"])
     path = scratch_path(spark, "inference-log")
-    io.write_inference_log(j, path, keys={"model": "lexicon", "level": "word", "direction": "dia2std"},
-                           mode="overwrite")
-    schema = ("id long, standard string, dialect string, inference string, "
-              "model string, level string, direction string")
-    return spark.read.schema(schema).json(path)
+    return io.write_inference_log(j, path, keys={"model": "lexicon", "level": "word", "direction": "dia2std"})
 
 
 def q_save_table(spark, sf):
@@ -246,9 +242,14 @@ def q_top_tokens(spark, sf):
     return W.top_tokens(q_vocab_by_freq(spark, sf), 20)
 
 
-def _encoded(spark, sf, sos=True, eos=True, side="dialect"):
+def _encoded(spark, sf, sos=True, eos=True, side="dialect", vocab=None):
     p = I.pairs(spark, sf).select("sid", X.words(side).alias("w"))
-    return W.encode(p, "w", I.side_vocab(spark, sf, side), sos=sos, eos=eos)
+    return W.encode(p, "w", vocab or I.side_vocab(spark, sf, side), sos=sos, eos=eos, vocab_bound=I.VOCAB_BOUND)
+
+
+def _decoded(spark, sf):
+    v = I.side_vocab(spark, sf, "dialect")
+    return W.decode(_encoded(spark, sf, vocab=v), "ids", v, vocab_bound=I.VOCAB_BOUND)
 
 
 def q_encode(spark, sf):
@@ -256,13 +257,12 @@ def q_encode(spark, sf):
 
 
 def q_decode(spark, sf):
-    d = W.decode(_encoded(spark, sf), "ids", I.side_vocab(spark, sf, "dialect"))
-    return d.select("sid", F.array_join("tokens", " ").alias("text"))
+    return _decoded(spark, sf).select("sid", F.array_join("tokens", " ").alias("text"))
 
 
 def q_encode_pairs(spark, sf):
     p = I.pairs(spark, sf).select("sid", X.words("dialect").alias("s"), X.words("standard").alias("t"))
-    e = W.encode_pairs(p, W.vocab_first_seen(p, "s"), W.vocab_first_seen(p, "t"), "s", "t")
+    e = W.encode_pairs(p, I.side_vocab(spark, sf, "dialect"), I.side_vocab(spark, sf, "standard"), "s", "t", vocab_bound=I.VOCAB_BOUND)
     return e.select("sid", A.ids_text("src_ids").alias("src_ids"), A.ids_text("trg_ids").alias("trg_ids"))
 
 
@@ -273,11 +273,11 @@ def q_join_tokens(spark, sf):
 
 
 def _extended(spark, sf):
-    v = cut_lineage(I.side_vocab(spark, sf, "standard"), "vocab")
+    v = I.side_vocab(spark, sf, "standard")
     n = v.count()
     p = I.pairs(spark, sf).select("sid", X.words("dialect").alias("dw"), X.words("standard").alias("sw"))
-    inp = W.encode_extended(p, "dw", v, n, out="in_ids")
-    outp = W.encode_extended(p, "sw", v, n, input_tokens="dw", out="out_ids")
+    inp = W.encode_extended(p, "dw", v, n, out="in_ids", vocab_bound=I.VOCAB_BOUND)
+    outp = W.encode_extended(p, "sw", v, n, input_tokens="dw", out="out_ids", vocab_bound=I.VOCAB_BOUND)
     return p, v, n, inp.join(outp, "sid")
 
 
@@ -289,7 +289,7 @@ def q_encode_extended(spark, sf):
 def q_decode_extended(spark, sf):
     p, v, n, e = _extended(spark, sf)
     j = e.join(p.select("sid", "dw"), "sid")
-    return W.decode_extended(j, "out_ids", v, n, input_tokens="dw")
+    return W.decode_extended(j, "out_ids", v, n, input_tokens="dw", vocab_bound=I.VOCAB_BOUND)
 
 
 def q_oov_to_unk(spark, sf):
@@ -310,8 +310,7 @@ def q_seq_length(spark, sf):
 
 
 def q_truncate_at_special(spark, sf):
-    d = W.decode(_encoded(spark, sf), "ids", I.side_vocab(spark, sf, "dialect"))
-    return d.select("sid", X.truncate_at_special("tokens", "word").alias("text"))
+    return _decoded(spark, sf).select("sid", X.truncate_at_special("tokens", "word").alias("text"))
 
 
 def q_truncate_at_eos(spark, sf):
@@ -375,9 +374,12 @@ def q_learn_lexicon(spark, sf):
 
 
 def q_align(spark, sf):
-    t = I.lexicon(spark, sf)
-    a = L.align(I.segmented(spark, sf), t)
-    return a.select("region", "sid.sid", "sid.seg", "t_pos", "s_pos", r6("p").alias("p"))
+    """Every target position with its alignment over the whole sentence: how many positions, their sum, and the best."""
+    a = L.align(I.sentences(spark, sf), I.model(spark, sf))
+    g = a.groupBy("region", "sid", "t_pos").agg(
+        F.count(F.lit(1)).alias("sources"), r6(F.sum("p")).alias("sum_p"), r6(F.sum(F.col("p") * F.col("p"))).alias("sum_p2"),
+        F.min(F.struct((-F.round("p", 6)).alias("n"), "s_pos")).alias("b"))
+    return g.select("region", "sid.sid", "sid.sent", "t_pos", "sources", "sum_p", "sum_p2", "b.s_pos", r6(-F.col("b.n")).alias("p"))
 
 
 def q_translate(spark, sf):
@@ -386,34 +388,31 @@ def q_translate(spark, sf):
     return L.translate(p, "w", t)
 
 
-def q_copy_generate_mix(spark, sf):
-    b = I.segmented(spark, sf)
-    freq = W.token_freq(b, "trg_tokens")
-    gen = b.select("sid", F.explode(F.array_distinct("trg_tokens")).alias("token")).join(freq, "token") \
-        .select("sid", "token", r6(F.log("freq")).alias("score"))
-    copies = b.select("sid", F.posexplode("src_tokens").alias("pos", "token")).withColumn(
-        "score", 1.0 / (F.col("pos") + 1))
-    m = L.copy_generate_mix(gen, copies)
-    return m.select("sid.sid", "sid.seg", "token", r6("logp").alias("logp"))
+def _copy_inputs(spark, sf):
+    """Scores of a sentence's tokens: ln t(f|e) of each word's best translation, and how much of the alignment its positions have."""
+    m = I.model(spark, sf)
+    s = cut_lineage(I.sentences(spark, sf), "sentences")
+    words = s.where(F.size("trg_tokens") > 0).select("region", "sid", F.posexplode("src_tokens").alias("s_pos", "token"), F.size("trg_tokens").alias("n"))
+    best = m.table().groupBy("region", F.col("e").alias("token")).agg(F.min(F.struct((-F.round("p", 6)).alias("n"), "f")).alias("b")).where("b.n < 0")
+    gen = words.select("region", "sid", "token").distinct().join(best, ["region", "token"]).groupBy("sid", F.col("b.f").alias("token")).agg(
+        F.max(F.log(-F.col("b.n"))).alias("score"))
+    links = cut_lineage(L.align(s, m), "alignment")
+    mass = links.groupBy("sid", "s_pos").agg(F.sum("p").alias("mass"))
+    copies = words.join(mass, ["sid", "s_pos"]).select("sid", F.col("s_pos").cast("long").alias("pos"), "token", (F.col("mass") / F.col("n")).alias("score"))
+    return gen, cut_lineage(copies, "copies"), links
 
 
-def _copy_inputs(spark, sf):
-    e = read_table(spark, sf, "embeddings")
-    copies = e.select(F.col("label").alias("key"), F.col("vec_id").alias("pos"),
-                      F.when(F.col("embedding")[0] >= 0, "pos").otherwise("neg").alias("token"),
-                      F.col("embedding")[1].cast("double").alias("score"))
-    vectors = e.select(F.col("label").alias("key"), F.col("vec_id").alias("pos"),
-                       F.col("embedding").cast("array<double>").alias("vec"))
-    tot = copies.groupBy("key", "token").agg(F.sum("score").alias("s"))
-    chosen = tot.groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("n"), F.col("token").alias("t"))).alias("b")) \
-        .select("key", F.col("b.t").alias("token"))
-    return copies, vectors, chosen
+def q_copy_generate_mix(spark, sf):
+    gen, copies, _ = _copy_inputs(spark, sf)
+    return L.copy_generate_mix(gen, copies).select("sid.sid", "sid.sent", "token", r6("logp").alias("logp"))
 
 
 def q_selective_read(spark, sf):
-    copies, vectors, chosen = _copy_inputs(spark, sf)
-    s = L.selective_read(copies, vectors, chosen, key="key")
-    return s.select(F.col("key").alias("label"), "dim", r6("value").alias("value"))
+    """A sentence's chosen token reads what its positions give to each target position."""
+    gen, copies, links = _copy_inputs(spark, sf)
+    cells = links.select("sid", F.col("s_pos").alias("pos"), F.col("t_pos").alias("dim"), F.col("p").alias("x"))
+    out = L.selective_read(copies, cells, L.copy_generate_mix(gen, copies))
+    return out.select("sid.sid", "sid.sent", "dim", r6("value").alias("value"))
 
 
 def q_pivot_translate(spark, sf):
@@ -424,10 +423,10 @@ def q_pivot_translate(spark, sf):
 
 
 def q_compose_lexicons(spark, sf):
-    lex1 = I.lexicon(spark, sf, src="dialect", trg="standard", size=I.COMPOSE_SEGMENT)
-    lex2 = I.lexicon(spark, sf, src="standard", trg="dialect2", size=I.COMPOSE_SEGMENT)
-    # one row per source token, over its full composed distribution
-    c = L.composed_summary(lex1, lex2)
+    lex1 = I.lexicon(spark, sf, src="dialect", trg="standard")
+    lex2 = I.lexicon(spark, sf, src="standard", trg="dialect2")
+    # one row per source token, over its composed distribution
+    c = L.composed_summary(lex1, lex2, min_p=I.COMPOSE_MIN_P)
     return c.select("region", "e", "f", r6("p").alias("p"), "targets", r6("sum_p").alias("sum_p"), r6("sum_p2").alias("sum_p2"))
 
 
@@ -472,17 +471,38 @@ def q_translate_bleu(spark, sf):
     return m.select("region", *_bleu_cols(m))
 
 
+def _losses(spark, sf):
+    """Mean over all sentences of their loss, by region."""
+    rows = [(r["region"], r["train_loss"]) for r in I.model(spark, sf).losses()]
+    return spark.createDataFrame(rows, "region string, loss double")
+
+
 def q_nll(spark, sf):
-    t = I.lexicon(spark, sf)
-    n = L.nll(I.segmented(spark, sf), t)
-    return n.select("region", r6("loss").alias("loss"))
+    return _losses(spark, sf).select("region", r6("loss").alias("loss"))
 
 
 def q_perplexity(spark, sf):
-    t = I.lexicon(spark, sf)
-    n = L.nll(I.segmented(spark, sf), t)
     ppl, ppl_int = V.perplexity("loss")
-    return n.select("region", r6("loss").alias("loss"), r6(ppl).alias("ppl"), ppl_int.alias("ppl_int"))
+    return _losses(spark, sf).select("region", r6("loss").alias("loss"), r6(ppl).alias("ppl"), ppl_int.alias("ppl_int"))
+
+
+def q_learn_history(spark, sf):
+    """The history of learning on the train split with the valid split held out, and the size and Σp² of each run's best table."""
+    train, valid = I.train_valid(spark, sf)
+    h = L.learn_with_history(train, valid, max_epochs=I.HISTORY_EPOCHS)
+    log = E.increase_streak(E.increase_streak(E.best_so_far(h.log), "valid_loss", "streak_v"), "train_loss", "streak_t")
+    best = log.where("is_best").groupBy("run").agg(F.max("epoch").alias("epoch"))
+    sizes = h.table.groupBy(F.col("region").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("p") * F.col("p")).alias("s"))
+    return log.join(best.join(sizes, "run"), ["run", "epoch"], "left").select(
+        "run", "epoch", r6("train_loss").alias("train_loss"), r6("valid_loss").alias("valid_loss"), "is_best", "streak_v", "streak_t",
+        F.coalesce("n", F.lit(0)).cast("long").alias("table_rows"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("table_p2"))
+
+
+def q_continue_lexicon(spark, sf):
+    """A table learned on the train split, learned further on the valid split."""
+    train, valid = I.train_valid(spark, sf)
+    first = cut_lineage(L.learn_lexicon(train, iters=2), "first-table")
+    return L.learn_lexicon(valid, iters=2, start=first).select("region", "e", "f", r6("p").alias("p"))
 
 
 def q_corpus_stats(spark, sf):

@@ -70,8 +70,8 @@ def train_and_score(pairs: DataFrame, level: str = "word", dia2std: bool = True,
                     X.tokens("trg", level).alias("trg_tokens"), "src", "trg")
     train = toks.filter(F.col("split") == "train")
     test = cut_lineage(toks.filter(F.col("split") == "test"), "test-pairs")
-    lex = L.learn_lexicon(L.segments(train), iters=iters)
-    loss = L.nll(L.segments(test), lex)
+    lex = cut_lineage(L.learn_lexicon(train, iters=iters), "lexicon")
+    loss = L.nll(test, lex)
     tr = L.translate(test, "src_tokens", lex, level=level)
     logged = test.join(tr, ["region", "sid"])
     if log_path:
@@ -94,7 +94,7 @@ def bridge_dialects(p1: DataFrame, p2: DataFrame, iters: int = 5, composed: bool
                    X.words("standard").alias("trg_tokens"))
     t2 = p2.select(F.lit("bridge").alias("region"), "sid", X.words("standard").alias("src_tokens"),
                    X.words("dialect").alias("trg_tokens"))
-    lex1, lex2 = L.learn_lexicon(L.segments(t1), iters=iters), L.learn_lexicon(L.segments(t2), iters=iters)
+    lex1, lex2 = L.learn_lexicon(t1, iters=iters), L.learn_lexicon(t2, iters=iters)
     src = pairs.select("region", F.col("sid1").alias("sid"), X.words("d1").alias("w"))
     if composed:
         out = L.translate(src, "w", L.compose_lexicons(lex1, lex2))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tandem.functions.text import lower_tokens, words
 from tandem.operators.clean import clean_pairs
-from tandem.operators.lexicon import SEGMENT, learn_lexicon, segments
+from tandem.operators.em import Model
+from tandem.operators.lexicon import learn
+from tandem.operators.order import split_ordered
 from tandem.operators.vocab import vocab_first_seen
-from tandem.session import scratch_path
-from tandem.sources.testdata import line_pairs
+from tandem.session import cut_lineage
+from tandem.sources.testdata import line_pairs, sentence_pairs
 
 # Fixed values for the Latin-script test corpus (it has no Hangul): the
 # cleaner keeps Latin letters and rejects digits instead of Latin letters.
@@ -18,9 +21,9 @@ LATIN_NORMALIZE_KEEP = "a-zA-ZÀ-ÿ "
 LATIN_REJECT = "[0-9]"
 EM_ROUNDS = 5
 BATCH_SIZE = 64
-COMPOSE_SEGMENT = 2   # words a side where two lexicons are multiplied: the product grows with the square of a word's partners
-
-_LEXICONS: dict[tuple, str] = {}
+VOCAB_BOUND = 2_000_000   # vocabulary rows that may be broadcast
+HISTORY_EPOCHS = 4
+COMPOSE_MIN_P = 0.02   # entries that lexicons are pruned by before they are composed (the operator's own parameter)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,25 +34,31 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return clean_pairs(pairs(spark, sf), keep=LATIN_KEEP, reject=LATIN_REJECT)
 
 
-def segmented(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard", size: int = SEGMENT) -> DataFrame:
-    """All words of all line pairs, as short segments for the lexical model."""
-    p = pairs(spark, sf).select("region", "sid", words(src).alias("src_tokens"), words(trg).alias("trg_tokens"))
-    return segments(p, size)
+def sentences(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard") -> DataFrame:
+    """All words of all pairs, sentence by sentence; ``sid`` is (line, sentence)."""
+    p = sentence_pairs(spark, sf)
+    return p.select("region", F.struct("sid", "sent").alias("sid"), words(src).alias("src_tokens"), words(trg).alias("trg_tokens"))
+
+
+def model(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard") -> Model:
+    """Learned on every sentence of the corpus."""
+    return learn(sentences(spark, sf, src, trg), iters=EM_ROUNDS)
+
+
+def lexicon(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard") -> DataFrame:
+    return model(spark, sf, src, trg).table()
 
 
-def lexicon(spark: SparkSession, sf: str, src: str = "dialect", trg: str = "standard", size: int = SEGMENT) -> DataFrame:
-    """The lexicon of the whole corpus: learned once per session and input, kept as a table."""
-    key = (spark.sparkContext.applicationId, sf, src, trg, size)
-    if key not in _LEXICONS:
-        path = scratch_path(spark, "lexicon")
-        learn_lexicon(segmented(spark, sf, src, trg, size), iters=EM_ROUNDS).write.parquet(path)
-        _LEXICONS[key] = path
-    return spark.read.parquet(_LEXICONS[key])
+def train_valid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences of the first nine tenths of the lines, and of the next twentieth."""
+    split = split_ordered(pairs(spark, sf).select("sid")).select("sid", "split")
+    s = cut_lineage(sentences(spark, sf).withColumn("line", F.col("sid.sid")).join(split.withColumnRenamed("sid", "line"), "line").drop("line"), "split")
+    return s.where("split = 'train'").drop("split"), s.where("split = 'valid'").drop("split")
 
 
 def side_vocab(spark: SparkSession, sf: str, side: str) -> DataFrame:
-    """Every word of one side, numbered as first seen."""
-    return vocab_first_seen(pairs(spark, sf).select("sid", words(side).alias("w")), "w")
+    """Every word of one side, numbered as first seen; written, as it is looked up in more than one place."""
+    return cut_lineage(vocab_first_seen(pairs(spark, sf).select("sid", words(side).alias("w")), "w"), "vocab")
 
 
 def lower_words(c):

@@ -12,8 +12,8 @@ from __future__ import annotations
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 KEEP = "a-zA-ZÀ-ÿ"
-# Words a side of a segment, rounds of learning, and room for a line's segments in a segment's number.
-SEGMENT, EM_ROUNDS, COMPOSE_SEGMENT, SEG = 10, 5, 2, 1048576
+# Rounds of learning, epochs of the history, pruning before composition, room for a document's lines and a conversation's turns in a sid.
+EM_ROUNDS, HISTORY_EPOCHS, COMPOSE_MIN_P, STRIDE = 5, 4, 0.02, 4294967296
 # The characters that clean_text deletes.
 CLEAN_CHARS = "-=+,#/?:^$.@*~&%ㆍ!()[]<>"
 
@@ -35,7 +35,7 @@ P = """lines AS (
          unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents),
 P AS (
-  SELECT doc_id * 100000 + pos AS sid, lang AS region, line AS standard,
+  SELECT doc_id * {STRIDE} + pos AS sid, lang AS region, line AS standard,
          replace(replace(replace(line, 'th', 'd'), 'qu', 'k'), 'sch', 'sh') AS dialect,
          replace(replace(replace(line, 'ou', 'u'), 'ie', 'i'), 'ción', 'sión') AS dialect2
   FROM lines)"""
@@ -85,36 +85,55 @@ def encode_cte(src: str, col: str, vocab: str, name: str, sos=True, eos=True) ->
 {name} AS (SELECT {src}.sid, {pre}coalesce({name}G.ids, []::INT[]){post} AS ids FROM {src} LEFT JOIN {name}G USING (sid))"""
 
 
-def em(src: str = "dw", trg: str = "sw", name: str = "T2", rounds: int = EM_ROUNDS, size: int = SEGMENT) -> str:
-    """IBM Model 1 with the empty word, unrolled ``rounds`` times, on segments of at most ``size`` words a side.
+def sentences(side: str) -> str:
+    return f"string_split(regexp_replace({side}, '([.!?])[{SPACE}]+', '\\1' || chr(10), 'g'), chr(10))"
 
-    ``sid`` is the line's sid times ``SEG`` plus the segment's number.
+
+SW = PW + f""",
+SX AS (SELECT sid, region, unnest({sentences('standard')}) AS a, unnest({sentences('dialect')}) AS b, unnest({sentences('dialect2')}) AS c,
+         unnest(range(len({sentences('standard')}))) AS sent FROM P),
+SW AS (SELECT sid, region, sent, {words('a')} AS sw, {words('b')} AS dw, {words('c')} AS d2w, 1 AS k, 0 AS h FROM SX)"""
+
+
+def em(src: str = "dw", trg: str = "sw", name: str = "T2", rounds: int = EM_ROUNDS, rows: str = "SW", start: str | None = None) -> str:
+    """IBM Model 1 with the empty word, unrolled ``rounds`` times, on whole sentences; equal ones are one with a weight.
+
+    ``rows`` has ``k`` (1 where a sentence is learned from) and ``h`` (1 where it is held out); ``start``: a table to go on from.
     """
     n = name
-    s = f"""{n}S0 AS (SELECT region, sid, {src} AS a, {trg} AS b, ceil(greatest(len({src}), len({trg})) / {size}.0)::BIGINT AS k FROM PW),
-{n}S1 AS (SELECT *, unnest(range(k)) AS i FROM {n}S0),
-{n}B AS MATERIALIZED (SELECT region, sid * {SEG} + i AS sid, ['<null>'] || a[i * len(a) // k + 1 : (i + 1) * len(a) // k] AS s,
-       b[i * len(b) // k + 1 : (i + 1) * len(b) // k] AS t FROM {n}S1),
-{n}ES AS (SELECT region, sid, l, e, count(*) AS ce FROM
-       (SELECT region, sid, len(s) AS l, unnest(s) AS e FROM {n}B) GROUP BY region, sid, l, e),
-{n}FS AS (SELECT region, sid, f, count(*) AS cf FROM
-       (SELECT region, sid, unnest(t) AS f FROM {n}B) GROUP BY region, sid, f),
-{n}CE AS MATERIALIZED (SELECT {n}ES.region, {n}ES.sid, l, e, ce, f, cf FROM {n}ES JOIN {n}FS USING (region, sid)),
-{n}W1 AS (SELECT *, 1.0::DOUBLE AS tp FROM {n}CE)"""
+    s = f"""{n}B AS MATERIALIZED (SELECT region, sid, sent, ['<null>'] || {src} AS s, {trg} AS t, k, h FROM {rows} WHERE len({trg}) > 0),
+{n}U AS MATERIALIZED (SELECT region, s, t, sum(k)::DOUBLE AS k, sum(h)::DOUBLE AS h, row_number() OVER () AS u FROM {n}B GROUP BY region, s, t),
+{n}ES AS (SELECT u, l, e, count(*) AS ce FROM (SELECT u, len(s) AS l, unnest(s) AS e FROM {n}U) GROUP BY u, l, e),
+{n}FS AS MATERIALIZED (SELECT region, u, k, h, nt, f, count(*) AS cf FROM
+       (SELECT region, u, k, h, len(t) AS nt, unnest(t) AS f FROM {n}U) GROUP BY region, u, k, h, nt, f),
+{n}CE AS MATERIALIZED (SELECT region, u, l, e, ce, f, k * cf AS w FROM {n}ES JOIN {n}FS USING (u)),
+{n}W1 AS ({f"SELECT {n}CE.*, coalesce({start}.p, 0) AS tp FROM {n}CE LEFT JOIN {start} USING (region, e, f)" if start else f"SELECT *, 1.0::DOUBLE AS tp FROM {n}CE"})"""
     for r in range(1, rounds + 1):
         if r > 1:
             s += f""",
 {n}W{r} AS (SELECT {n}CE.*, coalesce({n}T{r-1}.p, 0) AS tp FROM {n}CE LEFT JOIN {n}T{r-1} USING (region, e, f))"""
+        none = "w * ce / l" if start and r == 1 else "0"
         s += f""",
-{n}D{r} AS (SELECT *, sum(ce * tp) OVER (PARTITION BY region, sid, f) AS dn FROM {n}W{r}),
-{n}R{r} AS (SELECT region, e, f, sum(CASE WHEN dn > 0 THEN cf * ce * tp / dn ELSE 0 END) AS c
+{n}D{r} AS (SELECT *, sum(ce * tp) OVER (PARTITION BY u, f) AS dn FROM {n}W{r}),
+{n}R{r} AS (SELECT region, e, f, sum(CASE WHEN dn > 0 THEN w * ce * tp / dn ELSE {none} END) AS c
        FROM {n}D{r} GROUP BY region, e, f),
-{n}T{r} AS MATERIALIZED (SELECT region, e, f, c / sum(c) OVER (PARTITION BY region, e) AS p FROM {n}R{r})"""
+{n}T{r} AS MATERIALIZED (SELECT region, e, f, coalesce(c / nullif(sum(c) OVER (PARTITION BY region, e), 0), 0) AS p FROM {n}R{r})"""
     s += f""",
 {n} AS (SELECT * FROM {n}T{rounds})"""
     return s
 
 
+def losses(model: str, table: str, name: str) -> str:
+    """Mean over sentences of the mean over target words of -ln p, by region: of the learning and the held-out sentences."""
+    m = model
+    return f"""{name}F AS (SELECT u, f, sum(ce * coalesce({table}.p, 0)) / any_value(l) AS pf
+       FROM {m}CE LEFT JOIN {table} USING (region, e, f) GROUP BY u, f),
+{name}S AS (SELECT region, sum(-ln(greatest(pf, 1e-10)) * cf / nt * k) AS a, sum(-ln(greatest(pf, 1e-10)) * cf / nt * h) AS b
+       FROM {name}F JOIN {m}FS USING (u, f) GROUP BY region),
+{name}N AS (SELECT region, sum(k) AS nk, sum(h) AS nh FROM {m}U GROUP BY region),
+{name} AS (SELECT region, a / nullif(nk, 0) AS train_loss, b / nullif(nh, 0) AS valid_loss FROM {name}S JOIN {name}N USING (region))"""
+
+
 def best(t: str, name: str) -> str:
     return f"""{name} AS (SELECT region, e, f AS best FROM (
   SELECT region, e, f, row_number() OVER (PARTITION BY region, e ORDER BY round(p, 6) DESC, f) AS rn FROM {t})
@@ -177,7 +196,7 @@ def streak(src: str, loss: str, name: str, out: str) -> str:
 
 
 def _lexicon_pw(src="dw", trg="sw", name="T2"):
-    return "WITH " + PW + ",\n" + em(src, trg, name)
+    return "WITH " + SW + ",\n" + em(src, trg, name)
 
 
 def build() -> dict[str, str]:
@@ -185,7 +204,7 @@ def build() -> dict[str, str]:
     w = "WITH "
     # sources / sinks (round trips compare with the data written)
     q["read_utterances"] = w + P + """
-SELECT region, (sid % 100000) AS pos, standard AS standard_form, dialect AS dialect_form FROM P"""
+SELECT region, (sid % {STRIDE}) AS pos, standard AS standard_form, dialect AS dialect_form FROM P"""
     q["cap_per_group"] = """SELECT doc_id, source, lang, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20"""
     q["read_pairs_csv"] = w + P + """
@@ -337,11 +356,14 @@ FROM P LEFT JOIN PB USING (standard) WHERE dialect <> standard"""
     lex = _lexicon_pw()
     q["learn_lexicon"] = lex + "\nSELECT region, e, f, round(p, 6) AS p FROM T2"
     q["align"] = lex + """,
-AX AS (SELECT region, sid, e, s_pos, t FROM (SELECT region, sid, t, unnest(s[2:]) AS e, unnest(range(len(s) - 1)) AS s_pos FROM T2B)),
-AY AS (SELECT region, sid, e, s_pos, unnest(t) AS f, unnest(range(len(t))) AS t_pos FROM AX),
-AJ AS (SELECT AY.region, sid, t_pos, s_pos, coalesce(T2.p, 0) AS p FROM AY LEFT JOIN T2 USING (region, e, f)),
-AZ AS (SELECT *, sum(p) OVER (PARTITION BY region, sid, t_pos) AS z FROM AJ)
-SELECT region, sid // {SEG} AS sid, sid % {SEG} AS seg, t_pos, s_pos, round(CASE WHEN z > 0 THEN p / z ELSE 0 END, 6) AS p FROM AZ"""
+AP AS (SELECT T2CE.region, u, f, e, ce, coalesce(T2.p, 0) AS p, sum(ce * coalesce(T2.p, 0)) OVER (PARTITION BY u, f) AS z
+       FROM T2CE LEFT JOIN T2 USING (region, e, f) WHERE e <> '<null>'),
+AQ AS (SELECT u, f, ce, p / z AS p, list_position(s, e) - 2 AS s_pos FROM AP JOIN T2U USING (u) WHERE p > 0),
+AG AS (SELECT u, f, sum(ce)::BIGINT AS sources, round(sum(ce * p), 6) AS sum_p, round(sum(ce * p * p), 6) AS sum_p2,
+         arg_min(s_pos, (-round(p, 6), s_pos)) AS s_pos, max(round(p, 6)) AS p FROM AQ GROUP BY u, f),
+TP AS (SELECT u, unnest(t) AS f, unnest(range(len(t))) AS t_pos FROM T2U)
+SELECT T2B.region, sid, sent, t_pos, sources, sum_p, sum_p2, s_pos, p
+FROM T2B JOIN T2U USING (region, s, t) JOIN TP USING (u) JOIN AG USING (u, f)"""
     tr = lex + ",\n" + best("T2", "BT") + ",\n" + translate_cte("PW", "dw", "BT", "TR")
     q["translate"] = tr + "\nSELECT region, sid, inference FROM TR"
     q["write_inference_log"] = tr + """
@@ -353,25 +375,33 @@ BS AS (SELECT PW.sid, PW.region, PW.sw AS r, """ + words("TR.inference") + """ A
 """ + bleu_ctes("BS") + """
 SELECT region, """ + bleu_round() + """ FROM (SELECT BS.region, avg(bleu1) AS bleu1, avg(bleu2) AS bleu2,
    avg(bleu3) AS bleu3, avg(bleu4) AS bleu4 FROM BL JOIN BS USING (sid) GROUP BY BS.region)"""
-    q["copy_generate_mix"] = lex + """,
-FQ AS (SELECT f AS token, count(*) AS freq FROM (SELECT unnest(t) AS f FROM T2B) GROUP BY f),
-GEN AS (SELECT sid, token, round(ln(freq), 6) AS score FROM (SELECT DISTINCT sid, unnest(t) AS token FROM T2B) JOIN FQ USING (token)),
-CP AS (SELECT sid, token, 1.0 / (pos + 1) AS score FROM (SELECT sid, unnest(s[2:]) AS token, unnest(range(len(s) - 1)) AS pos FROM T2B)),
-CS AS (SELECT sid, token, sum(score) AS score FROM CP GROUP BY sid, token),
-AL AS (SELECT sid, token, score FROM GEN UNION ALL SELECT sid, token, score FROM CS),
-EX AS (SELECT sid, token, exp(score - max(score) OVER (PARTITION BY sid)) AS x FROM AL),
-PR AS (SELECT sid, token, x / sum(x) OVER (PARTITION BY sid) AS prob FROM EX),
-PT AS (SELECT sid, token, ln(sum(prob) + 1e-10) AS logp FROM PR GROUP BY sid, token)
-SELECT sid // {SEG} AS sid, sid % {SEG} AS seg, token, round(logp, 6) AS logp FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(logp, 6) DESC, token) AS rn FROM PT) WHERE rn = 1"""
-    q["selective_read"] = """WITH E AS (SELECT label AS key, vec_id AS pos,
-    CASE WHEN embedding[1] >= 0 THEN 'pos' ELSE 'neg' END AS token, embedding[2]::DOUBLE AS score, embedding FROM embeddings),
-CH AS (SELECT key, token FROM (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY sum(score) DESC, token) AS rn
-       FROM E GROUP BY key, token) WHERE rn = 1),
-SEL AS (SELECT E.key, pos, score FROM E JOIN CH USING (key, token)),
-WT AS (SELECT key, pos, score / greatest(sum(abs(score)) OVER (PARTITION BY key), 1e-12) AS w FROM SEL),
-VX AS (SELECT key, pos, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM E)
-SELECT VX.key AS label, dim, round(sum(coalesce(w, 0) * x), 6) AS value FROM VX LEFT JOIN WT USING (key, pos) GROUP BY VX.key, dim"""
-    two = "WITH " + PW + ",\n" + em("dw", "sw", "L1") + ",\n" + em("sw", "d2w", "L2")
+    mix = lex + """,
+BP AS (SELECT region, e, arg_min(f, (-round(p, 6), f)) AS token, max(round(p, 6)) AS p FROM T2 GROUP BY region, e),
+GEN AS (SELECT DISTINCT u, token, ln(p) AS score FROM (SELECT DISTINCT region, u, unnest(s[2:]) AS e FROM T2U) JOIN BP USING (region, e)
+        WHERE p > 0),
+GX AS (SELECT u, token, max(score) AS score FROM GEN GROUP BY u, token),
+AP AS (SELECT T2CE.region, u, f, e, ce, coalesce(T2.p, 0) AS p, sum(ce * coalesce(T2.p, 0)) OVER (PARTITION BY u, f) AS z
+       FROM T2CE LEFT JOIN T2 USING (region, e, f) WHERE e <> '<null>'),
+AE AS (SELECT u, e, any_value(ce) AS ce, sum(cf * p / z) / any_value(nt) AS score FROM AP JOIN T2FS USING (u, f) WHERE p > 0 GROUP BY u, e),
+CS AS (SELECT u, e AS token, ce * score AS score FROM AE),
+AL AS (SELECT u, token, score FROM GX UNION ALL SELECT u, token, score FROM CS),
+EX AS (SELECT u, token, exp(score - max(score) OVER (PARTITION BY u)) AS x FROM AL),
+PR AS (SELECT u, token, x / sum(x) OVER (PARTITION BY u) AS prob FROM EX),
+PT AS (SELECT u, token, ln(sum(prob) + 1e-10) AS logp FROM PR GROUP BY u, token),
+TOP AS (SELECT u, arg_min(token, (-round(logp, 6), token)) AS token, max(round(logp, 6)) AS logp FROM PT GROUP BY u)"""
+    q["copy_generate_mix"] = mix + """
+SELECT sid, sent, token, logp FROM T2B JOIN T2U USING (region, s, t) JOIN TOP USING (u)"""
+    q["selective_read"] = mix + """,
+SP AS (SELECT u, unnest(s[2:]) AS e, unnest(range(len(s) - 1)) AS s_pos FROM T2U),
+SEL AS (SELECT u, s_pos, score FROM SP JOIN AE USING (u, e) JOIN TOP ON TOP.u = SP.u AND TOP.token = SP.e),
+WT AS (SELECT u, s_pos, score / greatest(sum(abs(score)) OVER (PARTITION BY u), 1e-12) AS w FROM SEL),
+TF AS (SELECT u, f, e, p / z AS p FROM AP WHERE p > 0),
+TV AS (SELECT WT.u, f, sum(w * p) AS value FROM WT JOIN SP ON SP.u = WT.u AND SP.s_pos = WT.s_pos JOIN TF ON TF.u = SP.u AND TF.e = SP.e GROUP BY WT.u, f),
+TP AS (SELECT u, unnest(t) AS f, unnest(range(len(t))) AS dim FROM T2U),
+TE AS (SELECT DISTINCT u, f FROM TF)
+SELECT sid, sent, dim, round(coalesce(value, 0), 6) AS value FROM T2B JOIN T2U USING (region, s, t) JOIN TP USING (u) JOIN TE USING (u, f)
+LEFT JOIN TV USING (u, f)"""
+    two = "WITH " + SW + ",\n" + em("dw", "sw", "L1") + ",\n" + em("sw", "d2w", "L2")
     q["pivot_translate"] = two + ",\n" + best("L1", "B1") + ",\n" + best("L2", "B2") + ",\n" \
         + translate_cte("PW", "dw", "B1", "M1") + f""",
 MC AS (SELECT region, sid, CASE WHEN strpos(inference, '<') > 0 THEN regexp_replace(substring(inference, 1, strpos(inference, '<') - 1),
@@ -379,19 +409,35 @@ MC AS (SELECT region, sid, CASE WHEN strpos(inference, '<') > 0 THEN regexp_repl
 MW AS (SELECT region, sid, middle, {words('middle')} AS mw FROM MC),
 """ + translate_cte("MW", "mw", "B2", "M2") + """
 SELECT MW.region, MW.sid, MW.middle, M2.inference FROM MW JOIN M2 USING (region, sid)"""
-    small = "WITH " + PW + ",\n" + em("dw", "sw", "L1", size=COMPOSE_SEGMENT) + ",\n" + em("sw", "d2w", "L2", size=COMPOSE_SEGMENT)
-    q["compose_lexicons"] = small + """,
+    q["compose_lexicons"] = two + """,
 CP AS (SELECT a.region, a.e, b.f, sum(a.p * b.p) AS p FROM L1 a JOIN L2 b ON a.region = b.region AND a.f = b.e
-       GROUP BY a.region, a.e, b.f)
+       WHERE a.p >= {COMPOSE_MIN_P} AND b.p >= {COMPOSE_MIN_P} GROUP BY a.region, a.e, b.f)
 SELECT region, e, arg_min(f, (-round(p, 6), f)) AS f, max(round(p, 6)) AS p, count(*) AS targets,
   round(sum(p), 6) AS sum_p, round(sum(p * p), 6) AS sum_p2 FROM CP GROUP BY region, e"""
-    nll = lex + """,
-NJ AS (SELECT T2CE.region, sid, l, f, cf, ce * coalesce(T2.p, 0) AS v FROM T2CE LEFT JOIN T2 USING (region, e, f)),
-NF AS (SELECT region, sid, f, sum(v) / any_value(l) AS pf, any_value(cf) AS cf FROM NJ GROUP BY region, sid, f),
-NS AS (SELECT region, sid, sum(-ln(greatest(pf, 1e-10)) * cf) / sum(cf) AS nll FROM NF GROUP BY region, sid),
-NR AS (SELECT region, avg(nll) AS loss FROM NS GROUP BY region)"""
-    q["nll"] = nll + "\nSELECT region, round(loss, 6) AS loss FROM NR"
-    q["perplexity"] = nll + "\nSELECT region, round(loss, 6) AS loss, round(exp(loss), 6) AS ppl, floor(exp(loss))::BIGINT AS ppl_int FROM NR"
+    loss = lex + ",\n" + losses("T2", "T2", "NL")
+    q["nll"] = loss + "\nSELECT region, round(train_loss, 6) AS loss FROM NL"
+    q["perplexity"] = loss + """
+SELECT region, round(train_loss, 6) AS loss, round(exp(train_loss), 6) AS ppl, floor(exp(train_loss))::BIGINT AS ppl_int FROM NL"""
+    parts = "WITH " + SW + """,
+LI AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS i FROM P),
+LN AS (SELECT count(*) AS n FROM P),
+SR AS (SELECT SW.* EXCLUDE (k, h), (i < n * 9 // 10)::INT AS k, (i >= n * 9 // 10 AND i < n * 95 // 100)::INT AS h
+       FROM SW JOIN LI USING (sid), LN WHERE i < n * 95 // 100)"""
+    q["learn_history"] = parts + ",\n" + em("dw", "sw", "H", HISTORY_EPOCHS, "SR") + "".join(
+        ",\n" + losses("H", f"HT{r}", f"HL{r}") for r in range(1, HISTORY_EPOCHS + 1)) + """,
+EL AS (""" + " UNION ALL ".join(f"SELECT region AS run, {r - 1} AS epoch, train_loss, valid_loss FROM HL{r}" for r in range(1, HISTORY_EPOCHS + 1)) + "),\n" \
+        + streak("EL", "valid_loss", "SV", "streak_v") + ",\n" + streak("SV", "train_loss", "ST", "streak_t") + """,
+BS AS (SELECT *, coalesce(valid_loss < min(valid_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best
+       FROM ST),
+BE AS (SELECT run, max(epoch) AS best FROM BS WHERE is_best GROUP BY run),
+TT AS (""" + " UNION ALL ".join(f"SELECT region AS run, {r - 1} AS epoch, count(*) AS n, sum(p * p) AS s FROM HT{r} GROUP BY region" for r in range(1, HISTORY_EPOCHS + 1)) + """)
+SELECT run, epoch::BIGINT AS epoch, round(train_loss, 6) AS train_loss, round(valid_loss, 6) AS valid_loss, is_best, streak_v, streak_t,
+  coalesce(n, 0)::BIGINT AS table_rows, round(coalesce(s, 0), 4) AS table_p2
+FROM BS JOIN BE USING (run) LEFT JOIN TT ON TT.run = BS.run AND TT.epoch = BS.epoch AND BS.epoch = best"""
+    q["continue_lexicon"] = parts + """,
+S1 AS (SELECT * FROM SR WHERE k = 1),
+S2 AS (SELECT * EXCLUDE (k, h), 1 AS k, 0 AS h FROM SR WHERE h = 1),
+""" + em("dw", "sw", "A", 2, "S1") + ",\n" + em("dw", "sw", "B", 2, "S2", "A") + "\nSELECT region, e, f, round(p, 6) AS p FROM B"
     # evaluation
     bl = w + PW + ",\nBS AS (SELECT sid, region, sw AS r, dw AS h FROM PW),\n" + bleu_ctes("BS")
     q["ngram_matches"] = bl + """,
@@ -405,7 +451,7 @@ FROM GRID LEFT JOIN MM USING (sid, n)"""
     q["corpus_bleu_conv"] = f"""WITH CV AS (SELECT conv_id, turn, role, text,
     lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ntext
   FROM conversations),
-BS AS (SELECT conv_id * 1000 + turn AS sid, {words('text')} AS r, {words('ntext')} AS h FROM CV
+BS AS (SELECT conv_id * {STRIDE} + turn AS sid, {words('text')} AS r, {words('ntext')} AS h FROM CV
        WHERE role = 'user' AND nrole = 'assistant'),
 """ + bleu_ctes("BS") + "\nSELECT " + bleu_round() + """ FROM (SELECT coalesce(avg(bleu1), 0) AS bleu1,
   coalesce(avg(bleu2), 0) AS bleu2, coalesce(avg(bleu3), 0) AS bleu3, coalesce(avg(bleu4), 0) AS bleu4 FROM BL)"""
@@ -435,7 +481,7 @@ FROM (SELECT run, epoch, min(CASE WHEN floor(exp(valid_loss)) > 20000 OR streak_
     q["elapsed"] = w + EPOCHS + """,
 US AS (SELECT run, epoch, datediff('microsecond', start_ts, end_ts) AS us FROM EL)
 SELECT run, epoch, (us // 60000000)::BIGINT AS elapsed_mins, ((us - (us // 60000000) * 60000000) // 1000000)::BIGINT AS elapsed_secs FROM US"""
-    return {k: v.replace("{SEG}", str(SEG)) for k, v in q.items()}
+    return {k: v.replace("{STRIDE}", str(STRIDE)).replace("{COMPOSE_MIN_P}", str(COMPOSE_MIN_P)) for k, v in q.items()}
 
 
 ORACLE = build()

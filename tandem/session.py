@@ -3,11 +3,15 @@ checkpoint folder used to cut lineage of iterative jobs."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int = 8, partitions: int | None = None, app: str = "tandem") -> SparkSession:
     """A ``local[cores]`` session configured the way the tests and bench expect."""
@@ -67,6 +71,34 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed_table(df: DataFrame, n: int, key: str, name: str) -> DataFrame:
+    """``df`` written once as a table of ``n`` buckets of ``key`` in the shared folder (one file a bucket).
+
+    Joins of such tables on ``key`` need no exchange of either side.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = "tandem_" + uuid.uuid4().hex
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Workers get this package before Python runs in tasks (code alone, no data)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tandem-code-"), "tandem-core.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 

@@ -3,6 +3,8 @@
 * ``line_pairs``  (sid, region, standard, dialect, dialect2): one row per
   ``'\\n'``-line of ``documents.text``; ``dialect`` / ``dialect2`` come from two
   fixed literal rewrite chains, so both sides keep their word count.
+* ``sentence_pairs`` (sid, region, sent, standard, dialect, dialect2): the same lines, cut
+  behind ``.``, ``!`` and ``?``; ``sent`` counts the sentences of a line.
 * ``conv_pairs``  (sid, standard, dialect): a user turn and the assistant turn
   right after it.
 * ``epoch_log``   (run, epoch, train_loss, valid_loss, start_ts, end_ts): a
@@ -14,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.functions.text import SPACE_CLASS
 from tandem.session import spread
 
-# Line stride of sids, and the two dialect rewrite chains.
-LINE_STRIDE = 100_000
+# Line and turn stride of sids (more lines or turns are an error), and the two dialect rewrite chains.
+LINE_STRIDE = TURN_STRIDE = 1 << 32
+SENTENCE_END = f"(?U)([.!?])[{SPACE_CLASS}]+"
 DIALECT_RULES = [("th", "d"), ("qu", "k"), ("sch", "sh")]
 DIALECT2_RULES = [("ou", "u"), ("ie", "i"), ("ción", "sión")]
-TURN_STRIDE = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,19 +50,28 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewrite chains touch no sentence end, so both sides have the same sentences."""
+    cut = lambda c: F.split(F.regexp_replace(c, SENTENCE_END, "$1\n"), "\n", -1)
+    sides = ["standard", "dialect", "dialect2"]
+    rows = line_pairs(spark, sf_dir).select("sid", "region", F.posexplode(F.arrays_zip(*[cut(c).alias(c) for c in sides])).alias("sent", "x"))
+    return rows.select("sid", "region", F.col("sent").cast("long").alias("sent"), *[F.col(f"x.{c}").alias(c) for c in sides])
+
+
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn and the assistant turn right after it. Turn order inside a
     conversation is a bucketed dense index, and the next turn is found by an
     equi-join on (conversation, position + 1): unique keys, no hot group."""
-    from tandem.operators.order import dense_index, sid_bucket
+    from tandem.operators.order import dense_index
 
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    ix = dense_index(conv, ["turn"], bucket=sid_bucket("turn"), partition_by=["conv_id"], name="k")
+    ix = dense_index(conv, ["turn"], partition_by=["conv_id"], name="k")
     nxt = ix.select("conv_id", (F.col("k") - 1).alias("k"), F.col("role").alias("next_role"),
                     F.col("text").alias("next_text"))
     j = ix.join(nxt, ["conv_id", "k"])
     return j.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        (F.col("conv_id") * TURN_STRIDE + F.col("turn")).alias("sid"),
+        (F.col("conv_id") * TURN_STRIDE + F.when(F.col("turn") < TURN_STRIDE, F.col("turn")).otherwise(
+            F.raise_error(F.lit("a conversation has too many turns")))).alias("sid"),
         F.col("text").alias("standard"),
         F.col("next_text").alias("dialect"),
     )

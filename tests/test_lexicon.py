@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandem.functions.text import words
-from tandem.operators.lexicon import (align, compose_lexicons, learn_lexicon, nll, pivot_pairs, segments,
+from tandem.operators import em
+from tandem.operators.lexicon import (align, compose_lexicons, learn, learn_lexicon, learn_with_history, nll, pivot_pairs,
                                       sentence_nll, translate, zip_pairs)
 
 
@@ -35,7 +36,7 @@ def test_em_invariants(spark):
         if prev is not None:
             assert loss <= prev + 1e-12
         prev = loss
-    a = align(p, learn_lexicon(p, iters=3))
+    a = align(p, learn(p, iters=3))
     per = a.groupBy("sid", "t_pos").agg(F.sum("p").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in per)
 
@@ -78,24 +79,135 @@ def test_nll_by_batch(spark):
     assert by_b == pytest.approx((per[0] * 2 + per[1] * 1) / 3)
 
 
-def test_segments_lose_no_word(spark):
-    rows = [("", ""), ("a b c", ""), ("", "x"), (" ".join(f"s{i}" for i in range(47)), " ".join(f"t{i}" for i in range(23))),
-            (" ".join(f"u{i}" for i in range(31)), " ".join(f"v{i}" for i in range(31)))]
-    p = _pairs(spark, rows)
-    out = sorted(segments(p, 10).collect(), key=lambda r: (r.sid.sid, r.sid.seg))
-    for i, (s, t) in enumerate(rows):
-        mine = [r for r in out if r.sid.sid == i]
-        assert [w for r in mine for w in r.src_tokens] == s.split() and [w for r in mine for w in r.trg_tokens] == t.split()
-        assert all(len(r.src_tokens) <= 10 and len(r.trg_tokens) <= 10 for r in mine)
-    assert all(a[1:] == b[1:] for r in out if r.sid.sid == 4 for a, b in zip(r.src_tokens, r.trg_tokens, strict=True))
-
-
-def test_rounds_deal_no_cells_by_sentence_while_the_table_is_broadcast(spark):
-    from tandem.operators.lexicon import cooccurrence, em_round
-    from tandem.session import cut_lineage
-
-    p = _pairs(spark, [("a b", "x y"), ("a", "x")])
-    t = cut_lineage(learn_lexicon(p, iters=1))
-    plan = em_round(cooccurrence(p), t)._jdf.queryExecution().executedPlan().toString()
-    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(region" in line]
-    assert not any("sid#" in line and "f#" in line.split("hashpartitioning")[1] for line in dealt), plan
+def _brute(rows, held, rounds, start=None, null=True):
+    """(table, history of (train loss, valid loss)) of (region, source words, target words) rows in plain Python."""
+    def side(r, s):
+        return ([(r, "<null>")] if null else []) + [(r, w) for w in s]
+
+    t, log = start, []
+    for _ in range(rounds):
+        c = {}
+        for r, s, f_side in rows:
+            e_side = side(r, s)
+            for f in f_side:
+                got = [1.0 / len(e_side) if t is None else t.get((e, f), 0.0) for e in e_side]
+                if t is start and t is not None and sum(got) <= 0:
+                    got = [1.0 / len(e_side)] * len(e_side)
+                for e, v in zip(e_side, got):
+                    c[e, f] = c.get((e, f), 0.0) + (v / sum(got) if sum(got) > 0 else 0.0)
+        z = {}
+        for (e, _), v in c.items():
+            z[e] = z.get(e, 0.0) + v
+        t = {(e, f): v / z[e] if z[e] > 0 else 0.0 for (e, f), v in c.items()}
+        loss = lambda part: {k: sum(x) / len(x) for k, x in _by_region(part, t, side).items()}  # noqa: E731, B023
+        log.append((loss(rows), loss(held)))
+    return t, log
+
+
+def _by_region(part, t, side):
+    out = {}
+    for r, s, f_side in part:
+        e_side = side(r, s)
+        if f_side and e_side:
+            out.setdefault(r, []).append(sum(-math.log(max(sum(t.get((e, f), 0.0) for e in e_side) / len(e_side), 1e-10)) for f in f_side) / len(f_side))
+    return out
+
+
+def _corpus(seed=3, n=120):
+    import random
+
+    rng = random.Random(seed)
+    words_of = {"x": "abcdefghij", "y": "klmno"}
+    rows = []
+    for _ in range(n):
+        r = rng.choice("xy")
+        s = [rng.choice(words_of[r]) for _ in range(rng.choice((0, 1, 3, 6, 40)))]
+        rows.append((r, s, [w.upper() for w in s if rng.random() < .9] + ["the"] * rng.choice((0, 1, 2))))
+    return rows + rows[:30] + [("x", [], []), ("y", ["k"], [])]
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(r, i, s, t) for i, (r, s, t) in enumerate(rows)],
+                                 "region string, sid long, src_tokens array<string>, trg_tokens array<string>")
+
+
+def _close(got, want):
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+SIZES = {"usual": {}, "many blocks, all words split, totals joined": {"BLOCK_CELLS": 60, "HOT_CELLS": 90, "TASK_CELLS": 500, "LOOKUP_ROWS": 0}}
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_learning_equals_plain_python(spark, monkeypatch, size):
+    """Whole sentences, held-out ones, repeats, empty sides and hot words; with any blocks."""
+    for k, v in SIZES[size].items():
+        monkeypatch.setattr(em, k, v)
+    rows, held = _corpus(), _corpus(4, 30)
+    model = em.build(_frame(spark, rows), held=_frame(spark, held))
+    assert model.hot == bool(SIZES[size])
+    log = []
+    for _ in range(3):
+        model.step()
+        log.append({r["region"]: (r["train_loss"], r["valid_loss"]) for r in model.losses()})
+    want, history = _brute(rows, held, 3)
+    got = {((r.region, r.e), r.f): r.p for r in model.table().collect()}
+    _close({k: v for k, v in got.items() if v > 0}, {k: v for k, v in want.items() if v > 0})
+    for have, (train, valid) in zip(log, history, strict=True):
+        _close({k: v[0] for k, v in have.items()}, train)
+        _close({k: v[1] for k, v in have.items()}, valid)
+    counts = model.counts()
+    again = {((r.region, r.e), r.f): r.p for r in em.table_of(counts).collect()}
+    _close(again, got)
+    twice = em.table_of(em.merge_counts(counts, counts))
+    _close({((r.region, r.e), r.f): r.p for r in twice.collect()}, got)
+
+
+def test_learning_goes_on_from_a_table(spark):
+    """Words the table doesn't know start from the constant table where nothing explains them."""
+    rows, more = _corpus(), [*_corpus(5, 40), ("x", ["new", "a"], ["NEW", "A"]), ("z", ["q"], ["Q"])]
+    first, _ = _brute(rows, [], 2)
+    want, _ = _brute(more, [], 2, first)
+    got = learn_lexicon(_frame(spark, more), iters=2, start=learn_lexicon(_frame(spark, rows), iters=2))
+    got = {((r.region, r.e), r.f): r.p for r in got.collect()}
+    _close({k: v for k, v in got.items() if v > 0}, {k: v for k, v in want.items() if v > 0})
+
+
+def test_alignment_spans_the_sentence(spark):
+    rows = _corpus()
+    t, _ = _brute(rows, [], 3)
+    got = {(r.sid, r.t_pos, r.s_pos): r.p for r in align(_frame(spark, rows), learn(_frame(spark, rows), iters=3)).collect()}
+    want = {}
+    for i, (r, s, f_side) in enumerate(rows):
+        for tp, f in enumerate(f_side):
+            z = sum(t.get(((r, e), f), 0.0) for e in s)
+            want |= {(i, tp, sp): t[(r, e), f] / z for sp, e in enumerate(s) if z > 0 and t.get(((r, e), f), 0.0) > 0}
+    _close(got, want)
+    assert max(k[2] for k in got) == 39
+
+
+def test_history_stops_and_keeps_the_best_table(spark):
+    """The losses are real, the stop rule ends the loop, and each region has the table of its own best epoch."""
+    rows, held = _corpus(), _corpus(9, 40)
+    _, log = _brute(rows, held, 6)
+    h = learn_with_history(_frame(spark, rows), _frame(spark, held), max_epochs=6)
+    got = {(r.run, r.epoch): (r.train_loss, r.valid_loss) for r in h.log.collect()}
+    assert all(got[r, i] == (pytest.approx(log[i][0][r]), pytest.approx(log[i][1][r])) for r, i in got) and len(got) == 12
+    table = {((r.region, r.e), r.f): r.p for r in h.table.collect()}
+    for region in "xy":
+        losses = [v[region] for _, v in log]
+        best = max(i for i in range(6) if i == 0 or losses[i] < min(losses[:i]))
+        want, _ = _brute(rows, held, best + 1)
+        _close({k: v for k, v in table.items() if k[0][0] == region and v > 0}, {k: v for k, v in want.items() if k[0][0] == region and v > 0})
+    strict = learn_with_history(_frame(spark, rows), _frame(spark, held), max_epochs=6, ppl_limit=0)
+    assert {(r.run, r.epoch) for r in strict.log.collect()} == {("x", 0), ("y", 0)}
+
+
+def test_no_exchange_of_cells_in_a_round(spark, monkeypatch):
+    monkeypatch.setattr(em, "LOOKUP_ROWS", 0)
+    model = learn(_frame(spark, _corpus()), iters=1)
+    src, _ = model._joined(model.state)
+    lines = src._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchanges = [line for line in lines if "Exchange" in line and "cell_pair" in line]
+    assert not exchanges and any("Bucketed: true" in line and "cell_pair" in line for line in lines)
