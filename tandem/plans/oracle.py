@@ -358,7 +358,7 @@ FROM P LEFT JOIN PB USING (standard) WHERE dialect <> standard"""
     q["align"] = lex + """,
 AP AS (SELECT T2CE.region, u, f, e, ce, coalesce(T2.p, 0) AS p, sum(ce * coalesce(T2.p, 0)) OVER (PARTITION BY u, f) AS z
        FROM T2CE LEFT JOIN T2 USING (region, e, f) WHERE e <> '<null>'),
-AQ AS (SELECT u, f, ce, p / z AS p, list_position(s, e) - 2 AS s_pos FROM AP JOIN T2U USING (u) WHERE p > 0),
+AQ AS (SELECT u, f, ce, p / z AS p, (list_position(s, e) - 2)::BIGINT AS s_pos FROM AP JOIN T2U USING (u) WHERE p > 0),
 AG AS (SELECT u, f, sum(ce)::BIGINT AS sources, round(sum(ce * p), 6) AS sum_p, round(sum(ce * p * p), 6) AS sum_p2,
          arg_min(s_pos, (-round(p, 6), s_pos)) AS s_pos, max(round(p, 6)) AS p FROM AQ GROUP BY u, f),
 TP AS (SELECT u, unnest(t) AS f, unnest(range(len(t))) AS t_pos FROM T2U)
@@ -427,13 +427,14 @@ SR AS (SELECT SW.* EXCLUDE (k, h), (i < n * 9 // 10)::INT AS k, (i >= n * 9 // 1
         ",\n" + losses("H", f"HT{r}", f"HL{r}") for r in range(1, HISTORY_EPOCHS + 1)) + """,
 EL AS (""" + " UNION ALL ".join(f"SELECT region AS run, {r - 1} AS epoch, train_loss, valid_loss FROM HL{r}" for r in range(1, HISTORY_EPOCHS + 1)) + "),\n" \
         + streak("EL", "valid_loss", "SV", "streak_v") + ",\n" + streak("SV", "train_loss", "ST", "streak_t") + """,
+SE AS (SELECT *, min(CASE WHEN floor(exp(valid_loss)) > 20000 OR streak_v > 3 OR streak_t > 3 THEN epoch END) OVER (PARTITION BY run) AS stop FROM ST),
 BS AS (SELECT *, coalesce(valid_loss < min(valid_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best
-       FROM ST),
+       FROM SE WHERE stop IS NULL OR epoch <= stop),
 BE AS (SELECT run, max(epoch) AS best FROM BS WHERE is_best GROUP BY run),
 TT AS (""" + " UNION ALL ".join(f"SELECT region AS run, {r - 1} AS epoch, count(*) AS n, sum(p * p) AS s FROM HT{r} GROUP BY region" for r in range(1, HISTORY_EPOCHS + 1)) + """)
-SELECT run, epoch::BIGINT AS epoch, round(train_loss, 6) AS train_loss, round(valid_loss, 6) AS valid_loss, is_best, streak_v, streak_t,
+SELECT BS.run, BS.epoch::BIGINT AS epoch, round(train_loss, 6) AS train_loss, round(valid_loss, 6) AS valid_loss, is_best, streak_v, streak_t,
   coalesce(n, 0)::BIGINT AS table_rows, round(coalesce(s, 0), 4) AS table_p2
-FROM BS JOIN BE USING (run) LEFT JOIN TT ON TT.run = BS.run AND TT.epoch = BS.epoch AND BS.epoch = best"""
+FROM BS JOIN BE ON BE.run = BS.run LEFT JOIN TT ON TT.run = BS.run AND TT.epoch = BS.epoch AND BS.epoch = best"""
     q["continue_lexicon"] = parts + """,
 S1 AS (SELECT * FROM SR WHERE k = 1),
 S2 AS (SELECT * EXCLUDE (k, h), 1 AS k, 0 AS h FROM SR WHERE h = 1),
