@@ -20,11 +20,10 @@ from tandem.functions.text import EDGE_SPACE, words
 from tandem.operators.em import P_FLOOR, Model, build
 from tandem.operators.epochs import PPL_LIMIT, STREAK_LIMIT, best_so_far, stop_epoch, truncate_at_stop
 from tandem.operators.order import dense_index
-from tandem.session import bounded_broadcast, cut_lineage
+from tandem.session import bounded_broadcast, cut_lineage, session_conf
 
 T_BROADCAST_ROWS = 2_000_000     # translation-table rows that may be broadcast
 PRODUCT_ROWS_PER_TASK = 2_000_000  # joined rows per task in lexicon composition
-SALT = 32                          # tasks a hot source word of a composition is split over
 
 
 def _counted(a):
@@ -217,58 +216,61 @@ def pivot_translate(df: DataFrame, tokens, lex1: DataFrame, lex2: DataFrame, key
     return mid.join(fin, key + [sid])
 
 
-def compose_lexicons(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",),
-                     min_p: float = 0.0, broadcast_rows: int = T_BROADCAST_ROWS) -> DataFrame:
+def _grid(products: int, rows: int, columns: int, at_least: int) -> tuple[int, int]:
+    """(rows, columns) of a grid of about ``products / PRODUCT_ROWS_PER_TASK`` cells that sends the fewest entries: each of the first table goes to all columns, each of the second to all rows."""
+    cells = max(at_least, -(-products // PRODUCT_ROWS_PER_TASK))
+    wide = min(cells, max(1, round((cells * columns / max(1, rows)) ** 0.5)))
+    return -(-cells // wide), wide
+
+
+def _composed(lex1: DataFrame, lex2: DataFrame, key: list[str], min_p: float) -> DataFrame:
+    """``(_g, key.., e, f, p)``: the product, each cell ``(e, f)`` in one cell ``_g`` of the grid, dealt by ``_g``."""
+    spark = lex1.sparkSession
+    a = lex1.select(*key, F.col("e").alias("d1"), F.col("f").alias("s"), F.col("p").alias("p1")).where(F.col("p1") >= min_p)
+    b = lex2.select(*key, F.col("e").alias("s"), F.col("f").alias("d2"), F.col("p").alias("p2")).where(F.col("p2") >= min_p)
+    a, b = cut_lineage(a, "compose-first"), cut_lineage(b, "compose-second")
+    na = a.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("na"))
+    nb = b.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("nb"))
+    total = na.join(nb, key + ["s"]).agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0
+    high, wide = _grid(total, a.count(), b.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    row = F.pmod(F.xxhash64(*key, "d1"), F.lit(high))
+    column = F.pmod(F.xxhash64(*key, "d2"), F.lit(wide))
+    a = a.withColumn("_g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda j: row * wide + j)))
+    b = b.withColumn("_g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(high - 1)), lambda i: i * wide + column)))
+    n = high * wide
+    j = a.repartition(n, "_g").join(b.repartition(n, "_g").hint("shuffle_hash"), ["_g", *key, "s"])
+    return j.groupBy("_g", *key, F.col("d1").alias("e"), F.col("d2").alias("f")).agg(F.sum(F.col("p1") * F.col("p2")).alias("p"))
+
+
+def compose_lexicons(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",), min_p: float = 0.0) -> DataFrame:
     """``p(d2 | d1) = Σ_s p(s | d1) · p(d2 | s)`` (triangulation through the
-    pivot language): a sparse matrix product, join on ``s`` + aggregate.
-
-    ``lex1`` is hash-partitioned by ``(key, d1)`` and ``lex2`` broadcast when its
-    size check passes, so the join output stays partitioned by ``(key, d1)``
-    and the sum per ``(key, d1, d2)`` needs no shuffle of the product. A hot
-    ``d1`` (the empty word pairs with every pivot word) is split over
-    ``SALT`` tasks by a hash of ``s``; only its partial sums are shuffled and
-    added up again. The partition count and the hot set come from the exact
-    product sizes, computed from per-pivot entry counts (small aggregates).
-    Beyond the broadcast bound the join shuffles on ``(key, s)``. ``min_p``
+    pivot language): a sparse matrix product, written.
+
+    The cells ``(d1, d2)`` are dealt over a grid, ``d1`` by rows and ``d2`` by columns, sized
+    from the exact number of products (the joint counts of each pivot word). An
+    entry of ``lex1`` goes to all cells of its row, one of ``lex2`` to all cells of its column; that is
+    the only exchange. Products are joined and summed inside a cell, so neither a hot pivot
+    word nor a hot ``d1`` or ``d2`` meets in one task, and no product is shuffled. ``min_p``
     (default 0: exact) prunes both inputs first.
     """
     key = list(key)
-    a = lex1.filter(F.col("p") >= min_p) if min_p > 0 else lex1
-    b = lex2.filter(F.col("p") >= min_p) if min_p > 0 else lex2
-    a = a.select(*key, F.col("e").alias("d1"), F.col("f").alias("s"), F.col("p").alias("p1"))
-    b = b.select(*key, F.col("e").alias("s"), F.col("f").alias("d2"), F.col("p").alias("p2"))
-    bb, is_b = bounded_broadcast(b, broadcast_rows)
-    if not is_b:
-        return a.join(bb, key + ["s"]).groupBy(*key, F.col("d1").alias("e"), F.col("d2").alias("f")).agg(
-            F.sum(F.col("p1") * F.col("p2")).alias("p"))
-    nb = b.groupBy(*key, "s").agg(F.count(F.lit(1)).alias("nb"))
-    per_d1 = cut_lineage(a.join(nb, key + ["s"]).groupBy(*key, "d1").agg(F.sum("nb").alias("cells")), "compose-sizes")
-    total = per_d1.agg(F.sum("cells")).first()[0] or 0
-    base = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(base, -(-int(total) // PRODUCT_ROWS_PER_TASK))
-    hot, _ = bounded_broadcast(per_d1.filter(F.col("cells") > PRODUCT_ROWS_PER_TASK)
-                               .select(*key, "d1", F.lit(True).alias("_hot")), broadcast_rows)
-    a = a.join(hot, key + ["d1"], "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("s"), F.lit(SALT))).otherwise(F.lit(0)))
-    a = a.repartition(parts, *key, "d1", "_salt")
-    part = a.join(bb, key + ["s"]).groupBy(*key, "d1", "_salt", "_hot", "d2").agg(
-        F.sum(F.col("p1") * F.col("p2")).alias("p"))
-    cold = part.filter(F.col("_hot").isNull()).select(*key, "d1", "d2", "p")
-    warm = part.filter(F.col("_hot")).groupBy(*key, "d1", "d2").agg(F.sum("p").alias("p"))
-    return cold.unionByName(warm).select(*key, F.col("d1").alias("e"), F.col("d2").alias("f"), "p")
+    with session_conf(lex1.sparkSession, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        return cut_lineage(_composed(lex1, lex2, key, min_p).drop("_g"), "composed")
 
 
 def composed_summary(lex1: DataFrame, lex2: DataFrame, key: Sequence[str] = ("region",), digits: int = 6,
-                     **kw) -> DataFrame:
-    """Every ``d1``'s full composed distribution in one row: its number of
+                     min_p: float = 0.0) -> DataFrame:
+    """Every ``d1``'s composed distribution in one row: its number of
     targets, Σp and Σp², and the arg-max target with its probability (rounded
-    to ``digits``; ties by token)."""
+    to ``digits``; ties by token). The product itself is not written."""
     key = list(key)
-    c = compose_lexicons(lex1, lex2, key, **kw)
-    b = c.groupBy(*key, "e").agg(
-        F.min(F.struct((-F.round("p", digits)).alias("n"), F.col("f").alias("f"))).alias("b"),
-        F.count(F.lit(1)).alias("targets"), F.sum("p").alias("sum_p"), F.sum(F.col("p") * F.col("p")).alias("sum_p2"))
-    return b.select(*key, "e", F.col("b.f").alias("f"), (-F.col("b.n")).alias("p"), "targets", "sum_p", "sum_p2")
+    best = F.min(F.struct((-F.round("p", digits)).alias("n"), F.col("f").alias("f"))).alias("b")
+    with session_conf(lex1.sparkSession, **{"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        # one row a grid cell and word first, where the products are; these few are added up
+        cells = _composed(lex1, lex2, key, min_p).groupBy("_g", *key, "e").agg(
+            best, F.count(F.lit(1)).alias("targets"), F.sum("p").alias("sum_p"), F.sum(F.col("p") * F.col("p")).alias("sum_p2"))
+        out = cut_lineage(cells.groupBy(*key, "e").agg(F.min("b").alias("b"), *[F.sum(c).alias(c) for c in ("targets", "sum_p", "sum_p2")]), "composed")
+    return out.select(*key, "e", F.col("b.f").alias("f"), (-F.col("b.n")).alias("p"), "targets", "sum_p", "sum_p2")
 
 
 def zip_pairs(a: DataFrame, b: DataFrame, order_a: str = "sid", order_b: str = "sid") -> DataFrame:

@@ -23,7 +23,7 @@ EM_ROUNDS = 5
 BATCH_SIZE = 64
 VOCAB_BOUND = 2_000_000   # vocabulary rows that may be broadcast
 HISTORY_EPOCHS = 4
-COMPOSE_MIN_P = 0.02   # entries that lexicons are pruned by before they are composed (the operator's own parameter)
+COMPOSE_MIN_P = 0.005   # entries that lexicons are pruned by before they are composed (the operator's own parameter)
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

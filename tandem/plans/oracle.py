@@ -13,7 +13,7 @@ SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 KEEP = "a-zA-ZÀ-ÿ"
 # Rounds of learning, epochs of the history, pruning before composition, room for a document's lines and a conversation's turns in a sid.
-EM_ROUNDS, HISTORY_EPOCHS, COMPOSE_MIN_P, STRIDE = 5, 4, 0.02, 4294967296
+EM_ROUNDS, HISTORY_EPOCHS, COMPOSE_MIN_P, STRIDE = 5, 4, 0.005, 4294967296
 # The characters that clean_text deletes.
 CLEAN_CHARS = "-=+,#/?:^$.@*~&%ㆍ!()[]<>"
 

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +84,22 @@ def bucketed_table(df: DataFrame, n: int, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+@contextmanager
+def session_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """While it is open the session has these settings; what it had before comes back after it.
+
+    For jobs that run inside: a plan that runs later is planned with the settings of that time.
+    """
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Workers get this package before Python runs in tasks (code alone, no data)."""
     sc = spark.sparkContext

@@ -59,6 +59,27 @@ def test_compose_is_a_distribution(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in c.groupBy("e").agg(F.sum("p").alias("s")).collect())
 
 
+def test_compose_on_a_grid_of_any_shape(spark, monkeypatch):
+    """The sum over pivot words, with hot words on every side; each product is made in one cell of the grid."""
+    from tandem.operators import lexicon
+
+    rows = [("x", f"a{i}", f"s{j}", 1.0 / (i + j + 1)) for i in range(12) for j in range(9) if (i * j) % 3 or not i or not j]
+    cols = [("x", f"s{j}", f"b{k}", 1.0 / (j + 2 * k + 1)) for j in range(9) for k in range(15) if (j + k) % 2 or not k] + [("y", "s1", "b1", 1.0)]
+    want = {}
+    for _, e, s, p in rows:
+        for r, t, f, q in cols:
+            if r == "x" and s == t:
+                want[e, f] = want.get((e, f), 0.0) + p * q
+    make = lambda x: spark.createDataFrame(x, "region string, e string, f string, p double")
+    for per_task in (2_000_000, 40, 7):
+        monkeypatch.setattr(lexicon, "PRODUCT_ROWS_PER_TASK", per_task)
+        got = {(r.e, r.f): r.p for r in compose_lexicons(make(rows), make(cols)).collect()}
+        assert got == pytest.approx(want)
+        total = {r.e: (r.targets, r.sum_p) for r in lexicon.composed_summary(make(rows), make(cols)).collect()}
+        assert total == {e: (sum(k[0] == e for k in want), pytest.approx(sum(v for k, v in want.items() if k[0] == e))) for e in {k[0] for k in want}}
+    assert compose_lexicons(make(rows), make(cols).limit(0)).count() == 0
+
+
 def test_pivot_and_zip(spark):
     a = spark.createDataFrame([("s", 1, "d1"), ("s", 5, "d2"), ("u", 2, "d3")], "standard string, sid long, dialect string")
     b = spark.createDataFrame([("s", 3, "e1"), ("s", 4, "e2"), ("s", 9, "e3")], "standard string, sid long, dialect string")
