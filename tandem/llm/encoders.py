@@ -122,15 +122,19 @@ def byte_letters() -> dict[int, str]:
 
 
 @functools.lru_cache(maxsize=4)
-def hf_encoder(path: str) -> Callable[[bytes], bytes]:
-    """Encoder of a ``tokenizers`` file, without special tokens; kept per worker."""
+def hf_encoder(path: str, spelled: bool = False) -> Callable[[bytes], bytes]:
+    """Encoder of a ``tokenizers`` file that adds no special tokens; kept per worker.
+
+    The string of a special token in a text gives its id, as the library has it by default; ``spelled``: it is ordinary text.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     gc.set_threshold(100_000, 50, 100)  # the chunks kept are bytes that no cycle can hold; walking them is in vain
     full = Tokenizer.from_file(path)
-    full.encode_special_tokens = True
+    full.encode_special_tokens = spelled
     spec = json.loads(full.to_str())
+    special = [] if spelled else [t["content"].encode() for t in spec.get("added_tokens") or []]
     pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}, full.model
 
     def whole(text: bytes) -> bytes:
@@ -148,13 +152,18 @@ def hf_encoder(path: str) -> Callable[[bytes], bytes]:
         return pack_ids([t.id for t in model.tokenize(text)])
 
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-        return ByteEncoder(whole, merged)
+        return _beside(special, whole, ByteEncoder(whole, merged))
     kinds = [x["type"] for x in norm.get("normalizers", [])]
     if kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-        return WordEncoder(whole, merged)
+        return _beside(special, whole, WordEncoder(whole, merged))
     return whole
 
 
+def _beside(special: list[bytes], whole: Callable[[bytes], bytes], encode: Callable[[bytes], bytes]) -> Callable[[bytes], bytes]:
+    """``encode``, but texts that hold a special token's string go to the library ``whole``."""
+    return (lambda text: whole(text) if any(s in text for s in special) else encode(text)) if special else encode
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a ``.tiktoken`` file, by rank."""
     with open(path, "rb") as f:

@@ -27,8 +27,8 @@ and each pair of blocks is compared in a group of its own that gives a
 spanning forest of the links it finds, never all pairs.
 
 Defined results: texts without words (null and empty ones too) have
-fingerprint zero, linked like any other; rows that repeat a ``doc_id`` are one
-document with the smallest of their fingerprints; null ids get the component
+fingerprint zero, linked like any other; every row has its own fingerprint and
+component, rows that repeat a ``doc_id`` too; null ids get the component
 of their fingerprint and never become its name unless no other id is there.
 """
 
@@ -214,9 +214,9 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     distance: int = DISTANCE) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per document: the class of each, named by its smallest id."""
+    """``(doc_id, fp, component_id)``, one row per row of ``docs``: the class of each, named by its smallest id."""
     rows = with_fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), shingle=shingle)
-    fps = cut_lineage(rows.groupBy("doc_id").agg(F.min("fp").alias("fp")), "fingerprints")
+    fps = cut_lineage(rows.select("doc_id", "fp"), "fingerprints")
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = smallest_reachable(fingerprint_links(distinct.select("fp"), distance), name="simhash")
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(

@@ -15,7 +15,7 @@ No row of a document is shuffled between blocks. Files are opened through
 ``pyarrow.fs``, so the folder can be any shared store; writers put a file in
 place by one rename, so a task that runs again replaces it by the same bytes.
 
-Defined results: null and empty texts are documents of no ids; ids behind the
+Defined results: the separator's string in a text is ordinary text; null and empty texts are documents of no ids; ids behind the
 last separator of a file are a document with ``terminated`` false; empty files
 and tables give nothing; further columns are ignored.
 """
@@ -57,7 +57,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: i
     end, stored = pack_ids([end_id]), f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, name = hf_encoder(tokenizer), f"part-{TaskContext.get().partitionId():06d}.bin"
+        encode, name = hf_encoder(tokenizer, spelled=True), f"part-{TaskContext.get().partitionId():06d}.bin"
         store, folder = open_store(path)
         store.create_dir(folder)
         written, temp = 0, f"{folder}/_{name}-{uuid.uuid4().hex}"

@@ -41,11 +41,12 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
-def _tokens(path, end):
+def _tokens(path, end, spelled=False):
+    """By the library; a special token's string has its id unless ``spelled``."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = spelled
     return {d: t.encode(x or "", add_special_tokens=False).ids + [end] for d, x in DOCS}
 
 
@@ -110,6 +111,16 @@ def test_simhash(spark, docs, none, monkeypatch):
     assert golay_simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_of_repeated_ids(spark):
+    """Every row is linked by its own text: two texts of one id, repeated rows and null ids."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (9, a), (3, b), (None, c), (None, a), (8, None), (7, "")]
+    out = golay_simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] or 0, f"{r['fp'] & (1 << 64) - 1:016x}", r["component_id"] or 0) for r in out)
+    fp = {x: f"{brute.simhash(x):016x}" for x in (a, b, c, "")}
+    assert got == sorted([(5, fp[a], 5), (9, fp[a], 5), (0, fp[a], 5), (5, fp[b], 3), (5, fp[b], 3), (3, fp[b], 3), (0, fp[c], 0), (8, fp[""], 7), (7, fp[""], 7)])
+
+
 def test_simhash_hot_keys(spark, monkeypatch):
     """Blocks of hot keys give the same components as a comparison of all pairs."""
     monkeypatch.setattr(golay_simhash, "SMALL", 4)
@@ -254,7 +265,7 @@ def test_toxicity_learns_stems():
 def test_token_scan_stitches_blocks(spark, docs):
     path = tempfile.mkdtemp()
     placed = token_scan.write_flat(docs, path, BYTE_BPE, 50256)
-    want = {d: len(v) - 1 for d, v in _tokens(BYTE_BPE, 50256).items()}
+    want = {d: len(v) - 1 for d, v in _tokens(BYTE_BPE, 50256, spelled=True).items()}
     for block in (7, 1000, 1 << 20):
         got = placed.join(token_scan.scan(spark, path, 50256, block_ids=block), ["file", "ordinal"])
         assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == want
