@@ -56,7 +56,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup),
           ("substring_dedup", substring_dedup), ("packing", packing)]
 
-#: SQL has no subword model, XXH64, automata or tokenizer: tests compare with plain Python stage by stage.
+#: SQL has no subword model, XXH64, automata or tokenizer: tests/llm/test_pipeline.py compares with plain Python stage by stage.
 ORACLE_SQL = None
 
 
