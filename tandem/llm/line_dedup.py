@@ -5,9 +5,12 @@ A :class:`LineIndex` in a shared folder holds
 * ``refs``: one row ``(h, doc_id)`` per document and line key, written once per
   insertion, with tombstones of deleted documents: the exact reference counts;
 * ``hot``: the keys with at least ``min_docs`` references;
-* ``filters``: cuckoo filters of the hot keys, by shard of the key. An insertion
-  adds the keys that get hot to their shards, a deletion of documents takes
-  out those that no longer are; a shard that is full gets a further filter.
+* ``filters``: cuckoo filters of the hot keys, by shard of the key (their number follows
+  that of the first hot keys). An insertion adds the keys that get hot to their
+  shards, a deletion of documents takes out those that no longer are; a shard that
+  is full gets a further filter;
+* ``log``: a row a change, written last. An index opened on the folder by another session
+  goes on from there; a change that was cut short isn't in the log and is written over.
 
 :meth:`LineIndex.clean` probes the filters map-side, so that only lines that may
 be hot are shuffled, counts these exactly by the key itself, and drops them
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +43,11 @@ from tandem.session import cut_lineage, scratch_path
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_CHARS, MIN_DOCS, SHARDS = 40, 5, 16
+MIN_CHARS, MIN_DOCS, SHARDS, SHARD_KEYS = 40, 5, 16, 100_000
 #: Hot keys whose filters (about 2.4 bytes a key) go to all tasks; beyond, lines meet the hot keys in a sort-merge join.
 PROBE_KEYS = 20_000_000
 _FOLD = str.maketrans(UPPER, LOWER)
+LOG = "version int, deletes boolean, min_chars int, min_docs int, shards int"
 
 
 def line_key(line):
@@ -55,13 +60,28 @@ def key_of(line: str) -> str:
 
 
 class LineIndex:
-    """``key``: the integer document id; ``path``: a shared folder, a fresh one where none is given."""
+    """``key``: the integer document id; ``path``: a shared folder with or without an index, a fresh one where none is given.
+
+    An index that exists keeps the bounds it was made with.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                  shards: int = SHARDS, key: str = "doc_id", text: str = "text"):
         self.spark, self.path = spark, path or scratch_path(spark, "lines")
         self.min_chars, self.min_docs, self.shards, self.key, self.text = min_chars, min_docs, shards, key, text
         self.version, self.tombs = 0, []
+        for r in self._log() if path else []:
+            self.version, self.min_chars, self.min_docs, self.shards = r["version"], r["min_chars"], r["min_docs"], r["shards"]
+            if r["deletes"]:
+                self.tombs.append((r["version"], spark.read.parquet(f"{self.path}/tombs/v{r['version']}")))
+
+    def _log(self) -> list:
+        try:
+            return self.spark.read.schema(LOG).parquet(f"{self.path}/log").orderBy("version").collect()  # a row a change
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
 
     # state ------------------------------------------------------------------------------------------------------
 
@@ -96,10 +116,13 @@ class LineIndex:
     def filters(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/filters/v{self.version if version is None else version}")
 
-    def _advance(self, first: bool) -> None:
-        hot_path = f"{self.path}/hot/v{self.version}"
-        self._hot(self.refs()).write.parquet(hot_path)
-        now, shard = self.hot(), F.pmod(F.col("h"), F.lit(self.shards)).cast("int").alias("shard")
+    def _advance(self, deletes: bool = False) -> None:
+        first = self.version == 1
+        self._hot(self.refs()).write.mode("overwrite").parquet(f"{self.path}/hot/v{self.version}")
+        now = self.hot()
+        if first:
+            self.shards = max(self.shards, -(-now.count() // SHARD_KEYS))
+        shard = F.pmod(F.col("h"), F.lit(self.shards)).cast("int").alias("shard")
         if first:
             changes = now.select(shard, "h", F.lit(True).alias("up"))
             old = self.spark.createDataFrame([], "shard int, part int, blob binary")
@@ -125,23 +148,25 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]] * len(chain), "part": range(len(chain)), "blob": [f.dump() for f in chain]})
 
         new = old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, "shard int, part int, blob binary")
-        new.write.parquet(f"{self.path}/filters/v{self.version}")
+        new.write.mode("overwrite").parquet(f"{self.path}/filters/v{self.version}")
+        done = [(self.version, deletes, self.min_chars, self.min_docs, self.shards)]
+        self.spark.createDataFrame(done, LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Takes the lines of new documents in."""
         prepare(self.spark)
         self.version += 1
-        self._lines(docs).select("h", "doc_id").write.parquet(f"{self.path}/refs/v{self.version}")
-        self._advance(self.version == 1)
+        self._lines(docs).select("h", "doc_id").write.mode("overwrite").parquet(f"{self.path}/refs/v{self.version}")
+        self._advance()
         return self
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes the references of documents back; ``doc_ids`` holds their ids."""
         self.version += 1
         path = f"{self.path}/tombs/v{self.version}"
-        doc_ids.select(F.col(self.key).alias("doc_id")).where("doc_id is not null").distinct().write.parquet(path)
+        doc_ids.select(F.col(self.key).alias("doc_id")).where("doc_id is not null").distinct().write.mode("overwrite").parquet(path)
         self.tombs.append((self.version, self.spark.read.parquet(path)))
-        self._advance(False)
+        self._advance(deletes=True)
         return self
 
     # use --------------------------------------------------------------------------------------------------------

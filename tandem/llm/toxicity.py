@@ -34,7 +34,7 @@ BITS = 18
 ORDERS = (3, 4, 5, 6)
 DIM = 8
 PRIOR = 600
-#: An n-gram gets an embedding where this many documents of the sample have it, or this share of them.
+#: An n-gram gets an embedding where this many documents of the sample have it, and this share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.005
 TOXIC_SHARE = 0.6
 MAX_TOXIC, MAX_CLEAN = 2000, 3200

@@ -98,6 +98,22 @@ def test_line_dedup_and_its_reversal(spark, docs, none):
     assert not any(cuckoo.CuckooFilter.load(r["blob"]).table.any() for r in index.filters().collect())
 
 
+def test_line_index_opened_again(spark, docs, monkeypatch):
+    """Another session goes on with the index: versions, deleted documents and shards lie under its path."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    path = tempfile.mkdtemp() + "/lines"
+    rows = [(d, t) for d, t in DOCS]
+    line_dedup.LineIndex(spark, path, shards=1).insert(docs.where("doc_id < 13")).delete(docs.where("doc_id = 11").select("doc_id"))
+    again = line_dedup.LineIndex(spark, path, min_docs=99)
+    assert (again.version, again.min_docs, len(again.tombs)) == (2, line_dedup.MIN_DOCS, 1)
+    spark.range(1).write.parquet(f"{path}/refs/v3")  # an insertion that was cut short
+    again.insert(docs.where("doc_id >= 13")).insert(docs.where("doc_id = 11"))
+    last = line_dedup.LineIndex(spark, path)
+    assert last.version == 4
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], brute.sha(r["text"])) for r in last.clean(docs).collect()}
+    assert got == brute.line_dedup(rows)
+
+
 def test_substring_dedup(docs, none):
     out = {r["doc_id"]: r for r in phrase_dedup.remove_repeats(docs).collect()}
     for d, n, gone, sha in brute.substring_dedup(DOCS):
