@@ -96,7 +96,7 @@ class LineIndex:
         parts = [self._live(i) for i in range(1, self.version + 1) if i not in {t for t, _ in self.tombs}]
         out = parts[0]
         for p in parts[1:]:
-            out = out.union(p)
+            out = out.unionByName(p)
         return out
 
     def _live(self, version: int) -> DataFrame:
