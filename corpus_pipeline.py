@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm.common import table
+from tandem.llm.common import broadcast_if, table
 from tandem.llm.golay_simhash import near_duplicates
 from tandem.llm.line_dedup import dedup_lines
 from tandem.llm.packing import pack_documents
@@ -16,6 +16,7 @@ from tandem.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.3
+GONE = 1_000_000   # ids to drop that may be broadcast
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -36,9 +37,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one that names it."""
-    kept = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each class of near duplicates: the one that names it; documents without an id stay.
+
+    The ids that go are far fewer than the texts, so behind a check of their number no text is shuffled.
+    """
+    named = near_duplicates(docs).where("doc_id is not null")
+    gone = named.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("names")).where("not names")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.select(*COLUMNS).join(broadcast_if(gone, GONE), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
