@@ -16,6 +16,7 @@ from tandem.functions.common import EOS_ID, SOS_ID, SPECIALS, UNK, UNK_ID, UNKNO
 from tandem.operators.order import dense_index
 from tandem.session import bounded_broadcast
 
+SKETCH_LG_K = 14            # log2 of the registers of a sketch (16 KB at most)
 VOCAB_LIMIT = 33_000        # fixed value: cap of the frequency vocabulary, where the caller asks for one
 
 
@@ -81,6 +82,26 @@ def vocab_stats(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
+def vocab_sketches(df: DataFrame, tokens, by: tuple[str, ...] = (), lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """``(by.., sketch)``: a HyperLogLog sketch of the distinct tokens of each group, to be stored and united later."""
+    exploded = df.select(*by, F.explode(as_col(tokens)).alias("token"))
+    return exploded.groupBy(*by).agg(F.hll_sketch_agg("token", lg_k).alias("sketch"))
+
+
+def unite_sketches(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones, without their tokens: regions, sides, or sketches of new data."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def vocab_preview(sketches: DataFrame) -> DataFrame:
+    """``sketch`` replaced by ``vocab_size``, the estimated size including the specials.
+
+    The standard error is about 0.83 / sqrt(2 ** lg_k) of the number of tokens: 0.65 % at 14.
+    """
+    size = (F.hll_sketch_estimate("sketch") + len(SPECIALS)).cast("long")
+    return sketches.withColumn("vocab_size", size).drop("sketch")
+
+
 def top_tokens(vocab: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` most frequent real tokens; ties by token."""
     real = vocab.filter(F.col("id") >= len(SPECIALS))

@@ -48,6 +48,18 @@ def q_read_utterances(spark, sf):
     return u.select("region", "pos", "standard_form", "dialect_form")
 
 
+def q_read_utterances_capped(spark, sf):
+    """Of each region's files the first three, chosen by listing; reported: files read, and those read from first to last row."""
+    p = I.pairs(spark, sf).select(
+        F.floor(F.col("sid") / LINE_STRIDE).alias("doc_id"), (F.col("sid") % LINE_STRIDE).alias("pos"), "region",
+        F.col("standard").alias("standard_form"), F.col("dialect").alias("dialect_form"))
+    path = scratch_path(spark, "utterances")
+    io.write_utterance_files(p, path)
+    files = io.read_utterances(spark, path, cap=3).groupBy("region", "path").agg(
+        (F.count(F.lit(1)) == F.max("pos") + 1).cast("long").alias("whole"))
+    return files.groupBy("region").agg(F.count(F.lit(1)).alias("n_files"), F.sum("whole").alias("n_whole"))
+
+
 def q_cap_per_group(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
     return O.cap_per_group(d, ["source"], ["doc_id"], n=20)
@@ -72,6 +84,13 @@ def q_read_column_json(spark, sf):
     return r.select((F.col("doc_id") * LINE_STRIDE + F.col("sid")).alias("sid"), "standard", "dialect")
 
 
+def q_read_column_json_split(spark, sf):
+    p = I.pairs(spark, sf).select(F.floor(F.col("sid") / LINE_STRIDE).alias("doc_id"), "sid", "standard", "dialect")
+    path = scratch_path(spark, "column-json")
+    io.write_column_json(p, path, key="sid")
+    return io.read_column_json_split(spark, path).select("sid", "standard", "dialect")
+
+
 def q_write_pairs(spark, sf):
     path = scratch_path(spark, "pairs-parquet")
     io.write_pairs(I.pairs(spark, sf).select("sid", "region", "standard", "dialect"), path, "parquet",
@@ -238,6 +257,24 @@ def q_vocab_stats(spark, sf):
         b.select(F.lit("dialect").alias("side"), "vocab_size"))
 
 
+def q_vocab_preview(spark, sf):
+    """Vocabulary size by region and side and for all, exact, and whether the united sketches come within 4 % of it."""
+    p = I.pairs(spark, sf)
+    t = p.select("region", F.lit("standard").alias("side"), X.words("standard").alias("w")).unionByName(
+        p.select("region", F.lit("dialect").alias("side"), X.words("dialect").alias("w")))
+    fine = cut_lineage(W.vocab_sketches(t, "w", ("region", "side")), "sketches")
+    cols = ["region", "side"]
+    previews = W.vocab_preview(fine).select(*cols, "vocab_size").unionByName(
+        W.vocab_preview(W.unite_sketches(fine, ("side",))).select(F.lit("all").alias("region"), "side", "vocab_size")).unionByName(
+        W.vocab_preview(W.unite_sketches(fine)).select(F.lit("all").alias("region"), F.lit("all").alias("side"), "vocab_size"))
+    seen = cut_lineage(t.select(*cols, F.explode("w").alias("token")).distinct(), "tokens")
+    exact = seen.groupBy(*cols).agg((F.count(F.lit(1)) + 4).alias("exact")).unionByName(
+        seen.groupBy(F.lit("all").alias("region"), "side").agg((F.countDistinct("token") + 4).alias("exact"))).unionByName(
+        seen.agg((F.countDistinct("token") + 4).alias("exact")).select(F.lit("all").alias("region"), F.lit("all").alias("side"), "exact"))
+    return exact.join(previews, cols).select(*cols, F.col("exact").alias("vocab_size"),
+                                             (F.abs(F.col("vocab_size") - F.col("exact")) <= 0.04 * F.col("exact")).alias("close"))
+
+
 def q_top_tokens(spark, sf):
     return W.top_tokens(q_vocab_by_freq(spark, sf), 20)
 

@@ -210,6 +210,9 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20"""
     q["read_pairs_csv"] = w + P + """
 SELECT sid, region, nullif(standard, '') AS standard, nullif(dialect, '') AS dialect FROM P"""
     q["read_column_json"] = w + P + "\nSELECT sid, standard, dialect FROM P"
+    q["read_column_json_split"] = q["read_column_json"]
+    q["read_utterances_capped"] = """SELECT lang AS region, least(count(*), 3) AS n_files, least(count(*), 3) AS n_whole
+FROM documents WHERE text IS NOT NULL GROUP BY lang"""
     q["write_pairs"] = w + P + "\nSELECT sid, region, standard, dialect FROM P"
     q["write_pairs_json"] = w + P + "\nSELECT sid, standard, dialect FROM P"
     # projections / cleaning
@@ -283,6 +286,11 @@ TK AS (SELECT (0, sid) AS k, unnest(dw) AS token, unnest(range(len(dw))) AS pos
     q["vocab_stats"] = w + PW + """
 SELECT 'standard' AS side, (count(DISTINCT t) + 4) AS vocab_size FROM (SELECT unnest(sw) AS t FROM PW)
 UNION ALL SELECT 'dialect' AS side, (count(DISTINCT t) + 4) AS vocab_size FROM (SELECT unnest(dw) AS t FROM PW)"""
+    q["vocab_preview"] = w + PW + """,
+T AS (SELECT region, 'standard' AS side, unnest(sw) AS t FROM PW UNION ALL SELECT region, 'dialect' AS side, unnest(dw) AS t FROM PW)
+SELECT region, side, count(DISTINCT t) + 4 AS vocab_size, true AS close FROM T GROUP BY region, side
+UNION ALL SELECT 'all', side, count(DISTINCT t) + 4, true FROM T GROUP BY side
+UNION ALL SELECT 'all', 'all', count(DISTINCT t) + 4, true FROM T"""
     q["top_tokens"] = w + PW + """,
 LW AS (SELECT sid, list_transform(sw, lambda t: lower(t)) AS lw FROM PW),
 """ + freq_vocab("LW", "lw") + "\nSELECT token, freq FROM V WHERE id >= 4 ORDER BY freq DESC, token LIMIT 20"

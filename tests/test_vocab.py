@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import arrays as A
 from tandem.functions.text import words
+from tandem.operators import vocab as W
 from tandem.operators.vocab import (decode, decode_extended, encode, encode_extended, shared_vocab, top_tokens,
                                     vocab_by_freq, vocab_first_seen)
 
@@ -78,3 +79,17 @@ def test_array_functions_golden(spark):
 def test_one_hot_default_width(spark):
     df = spark.createDataFrame([([2, 0],)], "a array<int>")
     assert df.select(A.one_hot("a").alias("h")).first().h == [[0, 0, 1], [1, 0, 0]]
+
+
+def test_sketches_are_united_without_their_tokens(spark):
+    df = spark.range(40_000).selectExpr("id as sid", "id % 4 as part", "array(cast(id % 30000 as string), 'a') as w")
+    fine = W.vocab_sketches(df, "w", ("part",))
+    sizes = {r.part: r.vocab_size for r in W.vocab_preview(fine).collect()}
+    assert sorted(sizes) == [0, 1, 2, 3]
+    exact = {r.part: r.n + 4 for r in df.selectExpr("part", "explode(w) t").groupBy("part").agg(F.countDistinct("t").alias("n")).collect()}
+    assert all(abs(sizes[p] - exact[p]) <= 0.03 * exact[p] for p in exact)
+    (total,) = W.vocab_preview(W.unite_sketches(fine)).collect()
+    assert abs(total.vocab_size - 30_005) <= 0.03 * 30_005
+    small = W.vocab_preview(W.vocab_sketches(df.where("sid < 20"), "w"))
+    assert small.first().vocab_size == 25
+    assert W.vocab_preview(W.unite_sketches(W.vocab_sketches(df.where("sid < 0"), "w", ("part",)), ("part",))).count() == 0
