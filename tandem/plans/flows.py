@@ -6,6 +6,8 @@
   vocabularies → lexicon (EM) → loss/perplexity → translation log → BLEU.
 * :func:`bridge_dialects` — two dialect corpora sharing standard sentences →
   aligned dialect pairs → pivot translation (or composed lexicon) → BLEU.
+* :func:`lr_lexicon`      — L-tokens of both sides, each by cohesion scores of its own → lexicon (EM).
+* :func:`predict_table`   — a table of texts → L-tokens → best translations → text, written as CSV.
 * :func:`batch_table`     — cohesion scores → L-tokens → frequency vocab →
   encoded, length-bucketed, padded batches with masks and positions.
 """
@@ -33,7 +35,8 @@ from tandem.sources import io
 def prepare_corpus(spark: SparkSession, root: str, out: str | None = None, files_per_region: int | None = None,
                    **clean_kw) -> DataFrame:
     """Raw regional utterance files → cleaned, indexed, split pairs."""
-    u = io.read_utterances(spark, root)
+    # the scan leaves out files beyond the cap of their folder; folders of one name are one region, capped together
+    u = io.read_utterances(spark, root, cap=files_per_region)
     if files_per_region is not None:
         u = O.cap_per_group(u, ["region"], ["path"], n=files_per_region)
     u = io.index_utterances(u)
@@ -119,3 +122,47 @@ def batch_table(pairs: DataFrame, batch_size: int = 64, min_frequency: int = K.M
     padded = B.pad_batch(batched, "ids")
     return padded.select("sid", "batch", "rank_in_batch", "ids", A.pad_mask("ids").alias("mask"),
                          A.position_ids("ids").alias("positions"))
+
+
+def lr_tokens(df: DataFrame, text: str, scores: DataFrame, out: str = "lr_tokens") -> DataFrame:
+    """``(sid, out)``: lower-case L-tokens of the cleaned ``text`` of every row, also of rows without words."""
+    w = cut_lineage(df.select("sid", X.words(X.clean_text(F.coalesce(F.col(text), F.lit("")))).alias("w")), "words")
+    return K.tokenize_lr(w, "w", scores).select("sid", X.lower_tokens("lr_tokens").alias(out))
+
+
+def side_scores(df: DataFrame, text: str, min_frequency: int = K.MIN_FREQUENCY) -> DataFrame:
+    """Cohesion scores of the cleaned words of one side, written."""
+    return cut_lineage(K.cohesion_scores(df.select("sid", X.words(X.clean_text(text)).alias("w")), "w", min_frequency=min_frequency), "scores")
+
+
+@dataclass
+class LrLexicon:
+    source_scores: DataFrame
+    target_scores: DataFrame
+    table: DataFrame
+
+
+def lr_lexicon(pairs: DataFrame, src: str = "dialect", trg: str = "standard", iters: int = 5,
+               min_frequency: int = K.MIN_FREQUENCY) -> LrLexicon:
+    """The scores of both sides of ``pairs(sid, region, src, trg)``, and a lexicon learned on their L-tokens."""
+    a, b = side_scores(pairs, src, min_frequency), side_scores(pairs, trg, min_frequency)
+    toks = pairs.select("region", "sid").join(lr_tokens(pairs, src, a, "src_tokens"), "sid").join(lr_tokens(pairs, trg, b, "trg_tokens"), "sid")
+    return LrLexicon(a, b, cut_lineage(L.learn_lexicon(toks, iters=iters), "lexicon"))
+
+
+def predict_table(rows: DataFrame, scores: DataFrame, lexicon: DataFrame, text: str = "dialect", copy: bool = False,
+                  out: str | None = None) -> DataFrame:
+    """``(region, sid, text, inference)`` of every row of ``rows(sid, region, text)``, written to ``out`` as CSV if given.
+
+    ``sid`` names a row. A text without words, or none, has an empty inference; a token that ``lexicon`` lacks
+    becomes ``<unk>``, or itself with ``copy``.
+    """
+    toks = rows.select("region", "sid").join(lr_tokens(rows, text, scores), "sid")
+    said = L.translate(toks, "lr_tokens", lexicon, copy=copy)
+    done = rows.select("region", "sid", text).join(said.drop("region"), "sid").select("region", "sid", text, "inference")
+    if out is None:
+        return done
+    io.write_pairs(done, out, "csv", partition_by=("region",))
+    schema = done.select("sid", text, "inference", "region").schema
+    return rows.sparkSession.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(
+        out).select("region", "sid", text, F.coalesce("inference", F.lit("")).alias("inference"))

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tandem.plans.flows import batch_table, bridge_dialects, prepare_corpus, train_and_score
+from tandem.plans.flows import batch_table, bridge_dialects, lr_lexicon, predict_table, prepare_corpus, train_and_score
 
 
 def _write_region(root, region, sentences, per_file=4):
@@ -40,3 +40,26 @@ def test_bridge_and_batches(spark):
     rows = b.collect()
     assert len(rows) == len(SENTS)
     assert all(len(r.ids) == len(r.mask) == len(r.positions) for r in rows)
+
+
+def test_predict_table(spark, tmp_dir):
+    p = spark.createDataFrame([(i, "x", s, d) for i, (s, d) in enumerate(SENTS)], "sid long, region string, standard string, dialect string")
+    m = lr_lexicon(p, iters=6, min_frequency=2)
+    assert m.source_scores.count() and m.target_scores.count()
+    extra = [(100, "x", "핵교에 빨리, 간다!"), (101, "x", ""), (102, "x", None), (103, "x", "zz 간다")]
+    rows = p.select("sid", "region", "dialect").unionByName(spark.createDataFrame(extra, "sid long, region string, dialect string"))
+    got = {r.sid: r for r in predict_table(rows, m.source_scores, m.table, out=os.path.join(tmp_dir, "predicted")).collect()}
+    assert set(got) == set(range(len(SENTS))) | {100, 101, 102, 103}
+    assert got[101].inference == "" and got[102].inference == "" and got[103].inference.startswith("<unk> ")
+    plain = {r.sid: r.inference for r in predict_table(rows, m.source_scores, m.table, copy=True).collect()}
+    assert all(plain[i] == got[i].inference for i in got if i != 103) and plain[103].startswith("zz ")
+    best = {r.e: r.f for r in m.table.orderBy("p").collect()}
+    assert best["나넌"] in ("나는", "간다") and len(got[0].inference.split()) >= 4
+
+
+def test_files_beyond_the_cap_are_left_out(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "raw")
+    _write_region(root, "강원도", SENTS)
+    _write_region(root, "제주도", SENTS[:4])
+    split = prepare_corpus(spark, root, files_per_region=2)
+    assert {r.region: r["count"] for r in split.groupBy("region").count().collect()} == {"강원도": 8, "제주도": 4}
