@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.operators.lookup import looked_up
 from tandem.operators.vocab import explode_tokens
 from tandem.session import cut_lineage
 
@@ -51,7 +52,7 @@ def cohesion_scores(df: DataFrame, tokens, min_frequency: int = MIN_FREQUENCY,
 
 
 def lr_splits(df: DataFrame, tokens, scores: DataFrame, key: str = "sid", max_len: int = MAX_LEFT_LENGTH) -> DataFrame:
-    """For each distinct word longer than 2: the best left part and the rest.
+    """For each distinct word longer than 2: the best left part, the rest, and how often the word occurs (``freq``).
 
     Candidates are prefixes of length 2..len; best = highest (score, length),
     an unscored prefix counts 0, so with no scored prefix the word stays whole.
@@ -59,17 +60,18 @@ def lr_splits(df: DataFrame, tokens, scores: DataFrame, key: str = "sid", max_le
     to the whole word, so only the shorter ones and the word itself are made:
     linear in the length of a word.
     """
-    wc = word_counts(df, tokens, key).filter(F.length("word") > 2).select("word")
-    cand = wc.select("word", F.explode(F.array_union(
+    wc = word_counts(df, tokens, key).filter(F.length("word") > 2)
+    cand = wc.select("word", "n", F.explode(F.array_union(
         F.sequence(F.lit(2), F.least(F.length("word"), F.lit(max_len))), F.array(F.length("word")))).alias("k")).withColumn(
         "prefix", F.substring("word", F.lit(1), F.col("k")))
     sc = scores.select(F.col("word").alias("prefix"), F.col("cohesion").alias("score"))
     j = cand.join(sc, "prefix", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = j.groupBy("word").agg(F.max(F.struct("score", "k")).alias("_b"))
+    best = j.groupBy("word").agg(F.max(F.struct("score", "k")).alias("_b"), F.first("n").alias("n"))
     return best.select(
         "word",
         F.substring("word", F.lit(1), F.col("_b.k")).alias("l"),
         F.substring("word", F.col("_b.k") + 1, F.lit(1 << 30)).alias("r"),
+        F.col("n").alias("freq"),
     )
 
 
@@ -78,11 +80,11 @@ def tokenize_lr(df: DataFrame, tokens, scores: DataFrame, key: str = "sid", out:
 
     Returns ``(key, out)`` for every key of ``df``.
     """
-    splits = lr_splits(df, tokens, scores, key)
-    occ = explode_tokens(df, tokens, key, outer=True)
-    j = occ.join(splits, occ["token"] == splits["word"], "left")
-    parts = F.when(F.col("word").isNull(), F.array(F.col("token"))).otherwise(
-        F.filter(F.array(F.col("l"), F.col("r")), lambda x: x != ""))
-    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("p"), parts.alias("v")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_a"))
-    return g.select(key, F.flatten(F.transform("_a", lambda s: s["v"])).alias(out))
+    # a cut stands as "length of L:word", which holds for any word
+    cuts = lr_splits(df, tokens, scores, key).select("word", F.concat_ws(":", F.length("l"), "word").alias("cut"), "freq")
+    g = looked_up(df, tokens, cuts, "word", "cut", lambda x: F.concat(F.lit("0:"), x["t"]), key, "_cuts")
+    n = lambda c: F.substring_index(c, ":", 1)
+    word = lambda c: F.substring(c, F.length(n(c)) + 2, F.lit(1 << 30))
+    parts = lambda c: F.when(n(c) == "0", F.array(word(c))).otherwise(F.filter(
+        F.array(F.substring(word(c), F.lit(1), n(c).cast("int")), F.substring(word(c), n(c).cast("int") + 1, F.lit(1 << 30))), lambda x: x != ""))
+    return g.select(key, F.flatten(F.transform("_cuts", parts)).alias(out))

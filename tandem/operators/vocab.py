@@ -1,22 +1,29 @@
 """Vocabularies, encoding and decoding as joins against a ``vocab`` table.
 
-``vocab(token STRING, id INT, freq BIGINT)`` is a table: it is joined, never
-collected. Token occurrences are exploded with their position, joined on the
-token (broadcast when the vocabulary passes a check of its size, otherwise a shuffle
-join that AQE may still turn into a broadcast or split when skewed) and put
-back in order with a sorted ``collect_list`` per sentence.
+``vocab(token STRING, id INT, freq BIGINT)`` is a table. Its most frequent
+tokens, at most ``HEAD_ROWS``, go to the workers, and sentences are looked up in them as they are
+(:mod:`tandem.operators.lookup`). Only occurrences of the rarer tokens are exploded and joined, so a
+sentence is exchanged once, as one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.functions.common import EOS_ID, SOS_ID, SPECIALS, UNK, UNK_ID, UNKNOWN_TEXT, as_col
+from tandem.operators.lookup import HEAD_ROWS, flat_lists, joined_batches, looked_up
 from tandem.operators.order import dense_index
-from tandem.session import bounded_broadcast
+from tandem.session import ship_package
 
 SKETCH_LG_K = 14            # log2 of the registers of a sketch (16 KB at most)
+SEEN_ROWS = 16_384          # sentences whose tokens are counted together before the exchange
 VOCAB_LIMIT = 33_000        # fixed value: cap of the frequency vocabulary, where the caller asks for one
 
 
@@ -36,14 +43,48 @@ def token_freq(df: DataFrame, tokens, key: str = "sid") -> DataFrame:
     return explode_tokens(df, tokens, key).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, k, p, n) of rows (key, tokens): each token's least (key, position) and number in some thousand rows, NULL keys first."""
+    for b in joined_batches(batches, SEEN_ROWS):
+        keys = b.column(0)
+        sizes, flat = flat_lists(b.column(1))
+        if not len(flat):
+            continue
+        rank = np.empty(b.num_rows, np.int64)
+        least = pc.fill_null(keys, 0).to_numpy()
+        turn = np.lexsort((least, keys.is_valid().to_numpy(zero_copy_only=False)))
+        new = (np.diff(least[turn], prepend=least[turn[:1]]) != 0) | (np.diff(keys.is_valid().to_numpy(zero_copy_only=False)[turn].astype(np.int8), prepend=0) != 0)
+        rank[turn] = np.cumsum(new)
+        row = np.repeat(np.arange(b.num_rows), sizes)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        coded = flat.dictionary_encode("encode")
+        code = coded.indices.to_numpy()
+        order = np.lexsort((place, rank[row]))[::-1]
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[code[order]] = order      # the last one written is the least
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary, keys.take(pa.array(row[first])), pa.array(place[first].astype(np.int32)), pa.array(np.bincount(code, minlength=len(first)))],
+            names=["token", "k", "p", "n"])
+
+
+def _seen(df: DataFrame, tokens, key: str) -> DataFrame:
+    """(token, _f: its least (key, position), freq).
+
+    Where keys are whole numbers, rows are counted some thousand at a time first: a least struct sorts its input, which would be all occurrences.
+    """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        return explode_tokens(df, tokens, key).groupBy("token").agg(
+            F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("_f"), F.count(F.lit(1)).alias("freq"))
+    ship_package(df.sparkSession)
+    rows = df.select(F.col(key).cast("long").alias("k"), as_col(tokens).alias("_t"))
+    kind = rows.schema["_t"].dataType.elementType
+    fields = T.StructType([T.StructField("token", kind), T.StructField("k", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("n", T.LongType())])
+    return rows.mapInArrow(_firsts, fields).groupBy("token").agg(F.min(F.struct("k", "p")).alias("_f"), F.sum("n").alias("freq"))
+
+
 def vocab_first_seen(df: DataFrame, tokens, key: str = "sid", start: int = 4) -> DataFrame:
     """Ids from ``start`` in order of first appearance (key, pos); specials 0..3."""
-    occ = explode_tokens(df, tokens, key)
-    first = occ.groupBy("token").agg(
-        F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("_f"),
-        F.count(F.lit(1)).alias("freq"),
-    )
-    ix = dense_index(first, ["_f.k", "_f.p"], start=start, name="id")
+    ix = dense_index(_seen(df, tokens, key), ["_f.k", "_f.p"], start=start, name="id")
     out = ix.select("token", F.col("id").cast("int").alias("id"), "freq")
     return specials_table(df.sparkSession).unionByName(out)
 
@@ -108,16 +149,9 @@ def top_tokens(vocab: DataFrame, k: int = 20) -> DataFrame:
     return real.orderBy(F.desc("freq"), F.asc("token")).limit(k).select("token", "freq")
 
 
-def _lookup(vocab: DataFrame, bound: int | None):
-    v = vocab.select("token", "id")
-    return v if bound is None else bounded_broadcast(v, bound)[0]
-
-
-def _regroup(occ: DataFrame, key: str, value: Column, out: str, keep_empty: bool = True) -> DataFrame:
-    """Sorted per-key array of ``value`` by ``pos`` (rows with NULL pos give [])."""
-    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("p"), value.alias("v")))
-    g = occ.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_a"))
-    return g.select(key, F.transform("_a", lambda s: s["v"]).alias(out))
+def _head(bound: int | None) -> int:
+    """How many tokens of a vocabulary go to the workers; ``bound`` may lower it."""
+    return HEAD_ROWS if bound is None else min(bound, HEAD_ROWS)
 
 
 def encode(df: DataFrame, tokens, vocab: DataFrame, sos: bool = True, eos: bool = True,
@@ -126,9 +160,7 @@ def encode(df: DataFrame, tokens, vocab: DataFrame, sos: bool = True, eos: bool
 
     Returns ``(key, out)``; every key of ``df`` is kept, also with no tokens.
     """
-    occ = explode_tokens(df, tokens, key, outer=True)
-    j = occ.join(_lookup(vocab, vocab_bound), "token", "left")
-    enc = _regroup(j, key, F.coalesce(F.col("id"), F.lit(UNK_ID)), "_ids")
+    enc = looked_up(df, tokens, vocab, "token", "id", lambda x: F.lit(UNK_ID), key, "_ids", _head(vocab_bound))
     parts = ([F.array(F.lit(SOS_ID))] if sos else []) + [F.col("_ids")] + ([F.array(F.lit(EOS_ID))] if eos else [])
     return enc.select(key, (F.concat(*parts) if len(parts) > 1 else F.col("_ids")).alias(out))
 
@@ -136,10 +168,7 @@ def encode(df: DataFrame, tokens, vocab: DataFrame, sos: bool = True, eos: bool
 def decode(df: DataFrame, ids, vocab: DataFrame, key: str = "sid", out: str = "tokens",
            vocab_bound: int | None = None) -> DataFrame:
     """id → token; an id missing from the vocabulary → ``<unk>``."""
-    occ = df.select(key, F.posexplode_outer(as_col(ids)).alias("pos", "id"))
-    v = _lookup(vocab, vocab_bound)
-    j = occ.join(v, "id", "left")
-    return _regroup(j, key, F.coalesce(F.col("token"), F.lit(UNK)), out)
+    return looked_up(df, ids, vocab, "id", "token", lambda x: F.lit(UNK), key, out, _head(vocab_bound))
 
 
 def encode_pairs(df: DataFrame, src_vocab: DataFrame, trg_vocab: DataFrame, src="src_tokens",
@@ -160,21 +189,12 @@ def encode_extended(df: DataFrame, tokens, vocab: DataFrame, vocab_size: int,
     ``fixed_len`` pads with ``pad_id`` (sequences longer than it are an error in the
     reference; here they are left whole).
     """
-    t = as_col(tokens)
-    if input_tokens is None:
-        items = F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(0).alias("ip")))
-    else:
-        inp = as_col(input_tokens)
-        items = F.transform(t, lambda x: F.struct(x.alias("token"), F.array_position(inp, x).cast("int").alias("ip")))
-    occ = df.select(key, F.posexplode_outer(items).alias("pos", "_it")).select(
-        key, "pos", F.col("_it.token").alias("token"), F.col("_it.ip").alias("ip")
-    )
-    j = occ.join(_lookup(vocab, vocab_bound), "token", "left")
     if input_tokens is None:
-        oov = F.col("pos") + F.lit(vocab_size)
+        oov, beside = lambda x: (x["p"] + F.lit(vocab_size)).cast("int"), None
     else:
-        oov = F.when(F.col("ip") > 0, F.col("ip") - 1 + F.lit(vocab_size)).otherwise(F.lit(missing_id))
-    enc = _regroup(j, key, F.coalesce(F.col("id"), oov).cast("int"), out)
+        beside = (as_col(input_tokens), lambda x, c: F.array_position(c, x["t"]).cast("int"))
+        oov = lambda x: F.when(x["b"] > 0, x["b"] - 1 + F.lit(vocab_size)).otherwise(F.lit(missing_id)).cast("int")
+    enc = looked_up(df, tokens, vocab, "token", "id", oov, key, out, _head(vocab_bound), beside)
     if fixed_len is not None:
         from tandem.functions.arrays import pad_to
         enc = enc.withColumn(out, pad_to(out, fixed_len, pad=pad_id))
@@ -188,15 +208,12 @@ def decode_extended(df: DataFrame, ids, vocab: DataFrame, vocab_size: int, input
     a = as_col(ids)
     head = F.slice(a, F.lit(1), F.size(F.filter(a, lambda x: x != mask_id)))
     if input_tokens is None:
-        ext = F.transform(head, lambda x: F.struct(x.alias("id"), F.lit(UNKNOWN_TEXT).alias("x")))
+        beside, past = None, lambda x: F.lit(UNKNOWN_TEXT)
     else:
-        inp = as_col(input_tokens)
-        ext = F.transform(head, lambda x: F.struct(
-            x.alias("id"), F.coalesce(F.get(inp, x - F.lit(vocab_size)), F.lit(UNKNOWN_TEXT)).alias("x")))
-    occ = df.select(key, F.posexplode_outer(ext).alias("pos", "_e")).select(
-        key, "pos", F.col("_e.id").alias("id"), F.col("_e.x").alias("x")
-    )
-    j = occ.join(_lookup(vocab, vocab_bound), "id", "left")
-    word = F.when(F.col("id") < vocab_size, F.coalesce(F.col("token"), F.lit(UNK))).otherwise(F.col("x"))
-    g = _regroup(j, key, word, "_w")
+        beside = (as_col(input_tokens), lambda x, c: F.coalesce(F.get(c, x["t"] - F.lit(vocab_size)), F.lit(UNKNOWN_TEXT)))
+        past = lambda x: x["b"]
+    word = lambda x: F.when(x["t"] < vocab_size, F.lit(UNK)).otherwise(past(x))
+    # ids from V on are places of the input, whatever the vocabulary holds there
+    known = vocab.where(F.col("id") < vocab_size)
+    g = looked_up(df, head, known, "id", "token", word, key, "_w", _head(vocab_bound), beside)
     return g.select(key, F.array_join("_w", " ").alias(out))
