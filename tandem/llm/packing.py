@@ -110,6 +110,11 @@ class _Packer:
             at += n
         self.next += 1
 
+    def take(self, n: int) -> list[tuple]:
+        """Up to ``n`` finished pieces; they are no longer held."""
+        rows, self.out = self.out[:n], self.out[n:]
+        return rows
+
     def fill(self, last: bool) -> None:
         fillings, rest = plan({n: len(x) for n, x in self.kept.items() if x}, self.capacity)
         for used, times in fillings:
@@ -167,8 +172,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], end_i
         types = None
 
         def flush() -> pa.RecordBatch:
-            rows, packer.out = packer.out, []
-            cols = list(zip(*rows, strict=True))
+            cols = list(zip(*packer.take(_OUT_ROWS), strict=True))
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], types), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.binary())],
                 names=out.names)
@@ -177,13 +181,11 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[bytes], bytes]], end_i
             types = b.schema.field(0).type
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 packer.add(k, encode(t or b"") + end)
-                if len(packer.out) >= _OUT_ROWS:
+                while len(packer.out) >= _OUT_ROWS:  # a plan finishes all its pieces at once
                     yield flush()
         packer.fill(True)
         while packer.out:
-            late, packer.out = packer.out[_OUT_ROWS:], packer.out[:_OUT_ROWS]
             yield flush()
-            packer.out = late
 
     return src.mapInArrow(run, out)
 

@@ -167,3 +167,16 @@ def test_shortlist_keeps_every_winner():
         assert set(best.tolist()) <= set(vector_codes.shortlist(x.min(0), x.max(0), book).tolist())
         again = vector_codes.nearest(x, book, False)
         assert (again[0] == best).all() and (again[1] == d).all()
+
+
+def test_packing_hands_out_pieces_in_small_batches():
+    from tandem.llm.packing import _Packer, pack_ids
+
+    packer = _Packer(8, 0)
+    for i in range(50):
+        packer.add(i, pack_ids(range(3 + i % 3)))
+    packer.fill(True)
+    whole, got = list(packer.out), []
+    while packer.out:
+        got.append(packer.take(7))
+    assert max(map(len, got)) == 7 and [p for x in got for p in x] == whole
