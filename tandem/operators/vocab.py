@@ -23,7 +23,8 @@ from tandem.operators.order import dense_index
 from tandem.session import ship_package
 
 SKETCH_LG_K = 14            # log2 of the registers of a sketch (16 KB at most)
-SEEN_ROWS = 16_384          # sentences whose tokens are counted together before the exchange
+SEEN_ROWS = 1 << 18         # sentences whose tokens are counted together before the exchange
+SEEN_TOKENS = 1 << 21       # and tokens: either number is enough
 VOCAB_LIMIT = 33_000        # fixed value: cap of the frequency vocabulary, where the caller asks for one
 
 
@@ -45,7 +46,7 @@ def token_freq(df: DataFrame, tokens, key: str = "sid") -> DataFrame:
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, k, p, n) of rows (key, tokens): each token's least (key, position) and number in some thousand rows, NULL keys first."""
-    for b in joined_batches(batches, SEEN_ROWS):
+    for b in joined_batches(batches, SEEN_ROWS, SEEN_TOKENS):
         keys = b.column(0)
         sizes, flat = flat_lists(b.column(1))
         if not len(flat):
@@ -59,7 +60,12 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         coded = flat.dictionary_encode("encode")
         code = coded.indices.to_numpy()
-        order = np.lexsort((place, rank[row]))[::-1]
+        if rank.max() == len(rank):     # a key a row: its words follow each other as they stand
+            turned = np.argsort(rank)
+            n, starts = sizes[turned], (np.cumsum(sizes) - sizes)[turned]
+            order = (np.arange(len(flat)) + np.repeat(starts - (np.cumsum(n) - n), n))[::-1]
+        else:
+            order = np.lexsort((place, rank[row]))[::-1]
         first = np.empty(len(coded.dictionary), np.int64)
         first[code[order]] = order      # the last one written is the least
         yield pa.RecordBatch.from_arrays(

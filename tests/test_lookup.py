@@ -69,3 +69,27 @@ def test_ngrams_of_rows_with_a_key_of_their_own_are_not_exchanged(spark):
     alone = df.where("sid < 5")
     assert "Exchange" not in _plan(ngram_matches(alone))
     assert [r["bleu1"] for r in sentence_bleu(alone).orderBy("sid").collect()] == [0.5, 0.0, 0.0, 0.0]
+
+
+def test_rows_with_a_key_of_their_own_are_neither_sorted_nor_gathered(spark):
+    df, v = _frames(spark)
+    alone = df.where("sid not in (3, 5)")
+    for bound in (1, 100):      # with rarer entries beside the workers', and without
+        got = encode(alone, "w", v, sos=False, eos=False, vocab_bound=bound)
+        assert {r["sid"]: r["ids"] for r in got.collect()} == {k: IDS[k] for k in (1, 2, 4, 6)}
+        # the rows reach their output by the side of a hashed join that is streamed: no aggregate and no sort holds them
+        plan = _plan(got)
+        assert "collect_list(_v" not in plan and "SortMergeJoin [sid" not in plan
+    assert "ShuffledHashJoin [sid" in _plan(encode(alone, "w", v, vocab_bound=1))
+    assert "Exchange" not in _plan(encode(alone, "w", v.where("token != '<unk>'"), vocab_bound=100))
+
+
+def test_places_of_many_small_batches(spark):
+    import pyarrow as pa
+
+    rows = [(5, ["x", "y", "x"]), (2, ["y", None, "q"]), (None, ["x"]), (9, []), (3, None)]
+    whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([w for _, w in rows], pa.list_(pa.string()))], names=["k", "_t"])
+    parts = [whole.slice(i, 1) for i in range(len(rows))]
+    assert [b.num_rows for b in lookup.joined_batches(iter(parts), 100, 4)] == [2, 3]
+    got = {r["token"]: (r["k"], r["p"], r["n"]) for b in vocab._firsts(iter(parts)) for r in b.to_pylist()}
+    assert got == {"x": (None, 0, 3), "y": (2, 0, 2), None: (2, 1, 1), "q": (2, 2, 1)}
