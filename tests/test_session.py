@@ -27,3 +27,17 @@ def test_spread_only_widens_narrow_inputs(spark):
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 1000, numPartitions=16)
     assert spread(wide, "id").rdd.getNumPartitions() == 16
+
+
+def test_buckets_are_written_without_an_exchange(spark):
+    from pyspark.sql import functions as F
+
+    from tandem.session import bucketed_table
+
+    df = spark.range(0, 40, 1, 4).select("id", F.spark_partition_id().alias("part"))
+    t = bucketed_table(df, 4, "id", "buckets").select("id", F.input_file_name().alias("file"))
+    moved = t.join(spark.createDataFrame([(i, i // 10) for i in range(40)], "id long, part int"), "id").groupBy("file").agg(F.countDistinct("part").alias("parts")).collect()
+    assert len(moved) > 4 and all(r["parts"] == 1 for r in moved)     # each file holds rows of one task
+    same = bucketed_table(df, 4, "id", "buckets")
+    plan = t.join(same.hint("shuffle_hash"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
