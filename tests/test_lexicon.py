@@ -232,3 +232,14 @@ def test_no_exchange_of_cells_in_a_round(spark, monkeypatch):
     lines = src._jdf.queryExecution().executedPlan().toString().splitlines()
     exchanges = [line for line in lines if "Exchange" in line and "cell_pair" in line]
     assert not exchanges and any("Bucketed: true" in line and "cell_pair" in line for line in lines)
+
+
+def test_aligned_positions_are_added_up_without_a_sort(spark):
+    from tandem.plans.catalog import _aligned
+
+    rows = [("a", (1, 0), 0, 3, 0.4), ("a", (1, 0), 0, 1, 0.4000001), ("a", (1, 0), 0, 7, 0.2), ("a", (1, 0), 1, 0, 1.0), (None, (1, None), 0, 2, 1e-9), (None, (1, None), 0, 5, 0.123456)]
+    got = _aligned(spark.createDataFrame(rows, "region string, sid struct<sid:long,sent:long>, t_pos long, s_pos long, p double"))
+    assert sorted((r["region"] or "", r["t_pos"], r["sources"], round(r["sum_p"], 6), r["s_pos"], r["p"]) for r in got.collect()) == [
+        ("", 0, 2, 0.123456, 5, 0.123456), ("a", 0, 3, 1.0, 1, 0.4), ("a", 1, 1, 1.0, 0, 1.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
