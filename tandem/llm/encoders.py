@@ -18,7 +18,7 @@ import os
 import struct
 from collections.abc import Callable
 
-KEEP_WORDS, KEEP_CHUNKS = 400_000, 800_000
+KEEP_WORDS, KEEP_CHUNKS = 50_000, 800_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # one piece as a run behind letters; no apostrophe
 
 

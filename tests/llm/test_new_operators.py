@@ -180,3 +180,13 @@ def test_packing_hands_out_pieces_in_small_batches():
     while packer.out:
         got.append(packer.take(7))
     assert max(map(len, got)) == 7 and [p for x in got for p in x] == whole
+
+
+def test_a_worker_keeps_few_chunks():
+    """The ids that a worker keeps for packing stay bounded when texts go on bringing new words."""
+    from tandem.llm.encoders import WordEncoder
+
+    encode = WordEncoder(lambda w: b"whole", lambda w: b"1234")
+    for lo in range(0, 250_000, 1000):
+        assert encode(b" ".join(b"w%d" % i for i in range(lo, lo + 1000))) == b"whole" * 1000
+    assert len(encode.chunks) + len(encode.chunks.old) <= 100_000
