@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import words
 from tandem.operators import em
-from tandem.operators.lexicon import (align, compose_lexicons, learn, learn_lexicon, learn_with_history, nll, pivot_pairs,
-                                      sentence_nll, translate, zip_pairs)
+from tandem.operators.lexicon import (align, alignment_mass, best_translations, compose_lexicons, learn, learn_lexicon, learn_with_history, nll,
+                                      pivot_pairs, selective_read, sentence_nll, translate, zip_pairs)
 
 
 def _pairs(spark, rows):
@@ -243,3 +243,33 @@ def test_aligned_positions_are_added_up_without_a_sort(spark):
         ("", 0, 2, 0.123456, 5, 0.123456), ("a", 0, 3, 1.0, 1, 0.4), ("a", 1, 1, 1.0, 0, 1.0)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_model_gives_best_masses_and_sizes_without_its_table(spark, monkeypatch, size):
+    """The same as from the named table and the long alignment, ties and words split over blocks included."""
+    rows = [*_corpus(), *[("x", [f"s{i}"], ["t2", "t1"]) for i in range(3)], (None, ["n"], ["m"])]
+    pairs = _frame(spark, rows)
+    for k, v in SIZES[size].items():
+        monkeypatch.setattr(em, k, v)
+    model = learn(pairs, iters=2)
+    table = model.table()
+    want = {(r.region, r.e): r.best for r in best_translations(table).collect()}
+    assert {(r.region, r.e): r.best for r in best_translations(model).collect()} == want and want["x", "s0"] == "t1"
+    top = {(r.region, r.e): r.p for r in table.groupBy("region", "e").agg(F.round(F.max("p"), 6).alias("p")).collect()}
+    assert {(r.region, r.e): r.p for r in model.best().collect()} == pytest.approx(top)
+    sizes = {r.region: (r.n, r.s) for r in table.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.col("p") * F.col("p")).alias("s")).collect()}
+    got = {r.region: (r.n, r.p2) for r in model.sizes_of_table().collect()}
+    assert got.keys() == sizes.keys() and all(got[k] == pytest.approx(sizes[k]) for k in got)
+    cells = align(pairs, model)
+    mass = {(r.sid, r.s_pos): r.m for r in cells.groupBy("sid", "s_pos").agg(F.sum("p").alias("m")).collect()}
+    assert {(r.sid, r.s_pos): r.mass for r in alignment_mass(pairs, model).collect()} == pytest.approx(mass)
+
+
+def test_selective_read_of_whole_rows_equals_that_of_cells(spark):
+    copies = spark.createDataFrame([(1, 0, "a", 2.0), (1, 2, "a", -1.0), (1, 1, "b", 3.0), (2, 0, "c", 1.0)], "sid long, pos long, token string, score double")
+    chosen = spark.createDataFrame([(1, "a"), (2, "z")], "sid long, token string")
+    rows = spark.createDataFrame([(1, 0, [0.5, 0.25, 0.25]), (1, 1, [0.0, 0.0, 1.0]), (1, 1, [1.0, 0.0, 0.0]), (2, 0, [1.0])], "sid long, dim long, xs array<double>")
+    cells = rows.select("sid", "dim", F.posexplode("xs").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
+    got, want = ({(r.sid, r.dim): r.value for r in selective_read(copies, v, chosen).collect()} for v in (rows, cells))
+    assert got == pytest.approx(want) and got[2, 0] == 0
