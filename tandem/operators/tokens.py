@@ -6,6 +6,7 @@ exploded, so the work grows with the vocabulary, not with the corpus.
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def tokenize_lr(df: DataFrame, tokens, scores: DataFrame, key: str = "sid", out:
     """
     # a cut stands as "length of L:word", which holds for any word
     cuts = lr_splits(df, tokens, scores, key).select("word", F.concat_ws(":", F.length("l"), "word").alias("cut"), "freq")
-    g = looked_up(df, tokens, cuts, "word", "cut", lambda x: F.concat(F.lit("0:"), x["t"]), key, "_cuts")
+    g = looked_up(df, tokens, cuts, "word", "cut", lambda t, p, row, c: pc.binary_join_element_wise("0:", t, ""), key, "_cuts")
     n = lambda c: F.substring_index(c, ":", 1)
     word = lambda c: F.substring(c, F.length(n(c)) + 2, F.lit(1 << 30))
     parts = lambda c: F.when(n(c) == "0", F.array(word(c))).otherwise(F.filter(

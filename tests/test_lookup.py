@@ -93,3 +93,36 @@ def test_places_of_many_small_batches(spark):
     assert [b.num_rows for b in lookup.joined_batches(iter(parts), 100, 4)] == [2, 3]
     got = {r["token"]: (r["k"], r["p"], r["n"]) for b in vocab._firsts(iter(parts)) for r in b.to_pylist()}
     assert got == {"x": (None, 0, 3), "y": (2, 0, 2), None: (2, 1, 1), "q": (2, 2, 1)}
+
+
+def test_rows_are_not_exchanged_for_their_rarer_elements(spark):
+    df, v = _frames(spark)
+    alone = df.where("sid not in (3, 5)")
+    plan = _plan(encode(alone, "w", v, vocab_bound=1))
+    assert "hashpartitioning(sid#" not in plan and "hashpartitioning(sid_block" in plan     # values go to the blocks of rows
+
+
+def test_blocks_of_few_elements_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BLOCK_ELEMENTS", 2)
+    df, v = _frames(spark)
+    got = {r["sid"]: r["ids"] for r in encode(df.coalesce(1), "w", v, sos=False, eos=False, vocab_bound=1).collect()}
+    assert got == IDS
+
+
+def test_least_places_of_many_batches_are_put_together(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vocab, "SEEN_ROWS", 1)
+    monkeypatch.setattr(vocab, "SEEN_TOKENS", 1)
+    rows = [(5, ["x", "y", "x"]), (2, ["y", None, "q"]), (None, ["x"]), (2, ["q", "z"]), (7, ["x"])]
+    whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([w for _, w in rows], pa.list_(pa.string()))], names=["k", "_t"])
+    for held, n in ((100, 5), (2, None)):
+        monkeypatch.setattr(vocab, "HELD_TOKENS", held)
+        out = [r for b in vocab._gathered(whole.slice(i, 1) for i in range(len(rows))) for r in b.to_pylist()]
+        assert sum(r["n"] for r in out) == 10 and (n is None or len(out) == n)
+    assert {r["token"]: (r["k"], r["p"]) for r in out if r["token"] != "x"} == {"y": (2, 0), None: (2, 1), "q": (2, 0), "z": (2, 1)}
+    df = spark.createDataFrame(rows, "sid long, w array<string>")
+    seen = vocab._seen(df, "w", "sid")
+    assert "SortAggregate" not in _plan(seen)
+    assert {r["token"]: ((r["_f"]["k"], r["_f"]["p"]), r["freq"]) for r in seen.collect()} == {
+        "x": ((None, 0), 4), "y": ((2, 0), 2), None: ((2, 1), 1), "q": ((2, 0), 2), "z": ((2, 1), 1)}
