@@ -273,3 +273,60 @@ def test_selective_read_of_whole_rows_equals_that_of_cells(spark):
     cells = rows.select("sid", "dim", F.posexplode("xs").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
     got, want = ({(r.sid, r.dim): r.value for r in selective_read(copies, v, chosen).collect()} for v in (rows, cells))
     assert got == pytest.approx(want) and got[2, 0] == 0
+
+
+def test_packed_arrays_come_back(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    arrays = [np.array([], "<i8"), np.array([-5, 1 << 60, 7], "<i8"), np.arange(1000, dtype="<i4"), np.array([0.1, -1e300], "<f8")]
+    got = em._unpack(pa.scalar(em._pack(*arrays)), ("<i8", "<i8", "<i4", "<f8"))
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, got, strict=True))
+    assert (em._whole(em._steps(arrays[1])) == arrays[1]).all()
+
+
+def _disk(path):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_rounds_leave_totals_and_no_counts(spark):
+    """What a round leaves on disk grows with the words, not with the pairs; the pairs' text and what was exchanged are gone."""
+    import os
+    import random
+
+    from tandem.session import checkpoint_root
+
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root))
+    rng = random.Random(1)
+    rows = [("x", [f"a{rng.randrange(300)}" for _ in range(60)], [f"b{rng.randrange(300)}" for _ in range(60)]) for _ in range(200)]
+    model = learn(_frame(spark, rows), iters=3, spans=False)
+    made = {n: _disk(f"{root}/{n}") for n in set(os.listdir(root)) - before}
+    pairs = model.table().count()
+    assert pairs > 80_000
+    states = [v for k, v in made.items() if "em-state" in k]
+    assert len(states) == 3 and max(states) < 2 * pairs
+    assert sum(v for k, v in made.items() if "em-blocks" in k) < 5 * 60 * 60 * 200     # bytes a cell
+    assert not any(k.startswith("tandem-em-pairs") or k.startswith("tandem-em-tokens") for k in made)
+    with pytest.raises(ValueError):
+        model.alignments(None)
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_distinct_sentences_are_aligned_once(spark, monkeypatch, size):
+    """The model's own sentences give the alignment of all pairs that are them, and no cell is exchanged for it."""
+    for k, v in SIZES[size].items():
+        monkeypatch.setattr(em, k, v)
+    pairs = _frame(spark, _corpus())
+    model = learn(pairs, iters=2)
+    links = align(None, model)
+    known = model.known(pairs)
+    got = {(r.sid, r.t_pos, r.s_pos): r.p for r in links.join(known, "m").collect()}
+    _close(got, {(r.sid, r.t_pos, r.s_pos): r.p for r in align(pairs, model).collect()})
+    assert links.select("m").distinct().count() < known.count()
+    if not size.startswith("many"):
+        assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+    mass = {(r.sid, r.s_pos): r.mass for r in alignment_mass(None, model).join(known, "m").collect()}
+    assert mass == pytest.approx({(r.sid, r.s_pos): r.mass for r in alignment_mass(pairs, model).collect()})
