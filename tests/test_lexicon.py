@@ -330,3 +330,41 @@ def test_distinct_sentences_are_aligned_once(spark, monkeypatch, size):
         assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
     mass = {(r.sid, r.s_pos): r.mass for r in alignment_mass(None, model).join(known, "m").collect()}
     assert mass == pytest.approx({(r.sid, r.s_pos): r.mass for r in alignment_mass(pairs, model).collect()})
+
+
+def test_translated_rows_are_looked_up_whole(spark):
+    """Missing and empty keys, repeated rows, words that look like names; occurrences are not dealt out with their sentences."""
+    t = spark.createDataFrame([("", "a", "A0", 1.0), ("r", "a", "A1", 0.5), ("r", "a", "A2", 0.5), ("r", "-", "dash", 1.0), (None, "a", "never", 1.0)],
+                              "region string, e string, f string, p double")
+    df = spark.createDataFrame([("r", 1, ["a", "b", "a"]), ("", 1, ["a"]), (None, 2, ["a", "-"]), ("r", 3, None), ("r", 4, [None, "72", "-"]), ("r", 5, ["a"]), ("r", 5, ["x", "y"])],
+                               "region string, sid long, w array<string>")
+    out = translate(df, "w", t)
+    assert {(r.region, r.sid): r.inference for r in out.collect()} == {
+        ("r", 1): "A1 b A1", ("", 1): "A0", (None, 2): "a -", ("r", 3): "", ("r", 4): "72 dash", ("r", 5): "A1 x y"}
+    assert {r.inference for r in translate(df.where("sid = 1"), "w", t, copy=False, max_len=2).collect()} == {"A1 <unk>", "A0"}
+    plan = translate(df.where("sid < 5"), "w", t)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "_k" in line for line in plan.splitlines())
+
+
+def test_many_parts_are_dealt_in_groups(spark, monkeypatch):
+    rows = _corpus()
+    want = {((r.region, r.e), r.f): r.p for r in learn_lexicon(_frame(spark, rows), iters=2).collect()}
+    for k, v in (SIZES["many blocks, all words split, totals joined"] | {"GROUP_CELLS": 1000, "GROUPS": 3}).items():
+        monkeypatch.setattr(em, k, v)
+    model = learn(_frame(spark, rows), iters=2)
+    assert model.buckets > 3
+    _close({((r.region, r.e), r.f): r.p for r in model.table().collect()}, want)
+    model.forget()
+    assert not any(_disk(f.removeprefix("file:").rpartition("/")[0]) for f in model.blocks.inputFiles())
+
+
+def test_sentences_that_come_twice_are_aligned_together(spark, tmp_dir):
+    """A line that comes twice has one row a target position, with the cells of both."""
+    from tandem.plans.catalog import q_align
+
+    made = {}
+    for name, n in (("once", 1), ("twice", 2)):
+        spark.createDataFrame([(1, "en", "quick the fox. the dog")] * n, "doc_id long, lang string, text string").write.parquet(f"{tmp_dir}/{name}/documents.parquet")
+        made[name] = {(r.sid, r.sent, r.t_pos): (r.sources, r.sum_p, r.s_pos, r.p) for r in q_align(spark, f"{tmp_dir}/{name}").collect()}
+    assert len(made["once"]) == 5
+    assert made["twice"] == {k: (2 * v[0], pytest.approx(2 * v[1], abs=2e-6), *v[2:]) for k, v in made["once"].items()}
